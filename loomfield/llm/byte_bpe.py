@@ -3,9 +3,10 @@
 Texts are cut into words where the public pattern always has a border: a run without white space with the
 space before it, or white space alone; the library splits a word further.  Words are gathered in blocks of
 bounded size.  A block is its dictionary (distinct words, the frequent ones first) and each text's positions
-in it, as variable-length integers.  Dictionary words are shuffled by word, so that one task encodes a
-distinct word once; the ids return to their blocks, where texts are put together again by position.  A word
-sends one row for each block, not for each use, so frequent words weigh no more than rare ones.
+in it, as variable-length integers.  Dictionary words are shuffled by word, all words of one hash bucket in
+one row, so that one task encodes a distinct word once; the ids return to their blocks, where texts are put
+together again by position.  A block sends a word once, not for each use, so frequent words weigh no more
+than rare ones.
 
 A block is named by the hash of its dictionary, so a task that runs again finds its words again; input
 whose rows come in another order each time must be written first, and is reported, not mixed up.
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import base64
 import re
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +33,20 @@ from pyspark.sql import types as T
 from loomfield.llm.common import utf8
 
 #: Bytes of text and distinct words after which a block is closed.
-BLOCK_BYTES, BLOCK_WORDS = 32 << 20, 500_000
+BLOCK_BYTES, BLOCK_WORDS = 16 << 20, 300_000
+#: Fewest hash buckets of words; more where the session shuffles to more tasks.
+BUCKETS = 256
 _CACHE = 300_000
+_TEXT, _ORDER = -1, -2
 #: White space as Unicode (and so the library's pattern engine) has it; Python's own \s has four more.
 _W = "\t-\r \x85\xa0  -     　"
 _PARTS = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]")
 
 
+#: Ends a word in a row; no UTF-8 text has that byte.
+_END = b"\xff"
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
@@ -74,7 +84,7 @@ class _Block:
     def add(self, row, text: bytes) -> None:
         index = self.index
         add = index.setdefault
-        self.texts.append(np.fromiter((add(w, len(index)) for w in _PARTS.findall(text.decode())), np.int64))
+        self.texts.append(np.fromiter((add(w, len(index)) for w in _PARTS.findall(text.decode())), np.int32))
         self.rows.append(row)
         self.bytes += len(text)
 
@@ -83,16 +93,22 @@ class _Block:
 
     def close(self) -> tuple[int, list[bytes], list[np.ndarray]]:
         """Its name, the words by falling frequency, and each text's positions among them."""
-        uses = np.bincount(np.concatenate([*self.texts, np.empty(0, np.int64)]), minlength=len(self.index))
+        uses = np.bincount(np.concatenate([*self.texts, np.empty(0, np.int32)]), minlength=len(self.index))
         order = np.argsort(-uses, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
         words = [w.encode() for w in self.index]
-        words = [words[k] for k in order]
-        name = xxhash.xxh3_64_intdigest(b"\xff".join(words))  # no UTF-8 text has that byte
+        words = [words[k] for k in order.tolist()]
+        name = xxhash.xxh3_64_intdigest(_END.join(words))
         return name - (1 << 63), words, [rank[x] for x in self.texts]
 
 
+def by_bucket(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's bucket, and the words' order by bucket."""
+    bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+    return bucket, np.argsort(bucket, kind="stable")
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
     block = _Block()
     for batch in batches:
@@ -109,73 +125,89 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     """(doc_id, ids array<int>) for every row."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))  # bounded by the vocabulary
     kind = docs.schema[doc_id].dataType
+    buckets = max(BUCKETS, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = ["block", "at", "data", "doc_id"]
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             name, found, _ = block.close()
-            for k in range(0, len(found), 50_000):
-                part = found[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([name] * len(part), pa.int64()), pa.array(range(k, k + len(part)), pa.int32())], names=["word", "block", "at"])
+            bucket, order = by_bucket(found, buckets)
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
+            ordered = [found[k] for k in order.tolist()]
+            data = [_END.join(ordered[a:b]) for a, b in zip(cuts, [*cuts[1:], len(ordered)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order[cuts]], pa.int32()), pa.array([name] * len(data), pa.int64()), pa.array(data, pa.binary())], names=["bucket", "block", "words"])
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        tokens = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={}).encode_ordinary
-        known: dict[bytes, bytes] = {}
+        tokens = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})._core_bpe.encode_ordinary
+        kind, known = "H" if max(ranks.value.values()) < 1 << 16 else "I", {}
         for batch in batches:
-            out = []
-            for w in batch.column(0).to_pylist():
-                got = known.get(w)
-                if got is None:
+            for bucket, block, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = row.split(_END)
+                if missing := [w for w in found if w not in known]:
                     if len(known) > _CACHE:
                         known.clear()
-                    got = known[w] = pack_integers(np.asarray(tokens(w.decode()), np.int64))
-                out.append(got)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.binary()), pa.nulls(len(out), id_type)], names=["block", "at", "data", "doc_id"])
+                        missing = found
+                    for w in missing:
+                        known[w] = array(kind, tokens(w.decode())).tobytes()
+                parts = [known[w] for w in found]
+                # sizes first: one unsigned 16-bit number a word, or 32-bit where a word is that long
+                sizes = array("H" if len(max(parts, key=len)) < 1 << 16 else "I", map(len, parts))
+                data = sizes.itemsize.to_bytes(1, "little") + len(parts).to_bytes(4, "little") + sizes.tobytes() + b"".join(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary()), pa.nulls(1, id_type)], names=names)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            name, _, texts = block.close()
+            name, found, texts = block.close()
+            order = by_bucket(found, buckets)[1]
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([_ORDER], pa.int32()), pa.array([place.astype("<u4").tobytes()], pa.binary()), pa.nulls(1, id_type)], names=names)
             for k in range(0, len(texts), 1000):
                 part = texts[k : k + 1000]
                 rows = pa.array([x.as_py() for x in block.rows[k : k + 1000]], id_type)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.int64()), pa.array([-1] * len(part), pa.int32()), pa.array([pack_integers(x) for x in part], pa.binary()), rows], names=["block", "at", "data", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.int64()), pa.array([_TEXT] * len(part), pa.int32()), pa.array([pack_integers(x) for x in part], pa.binary()), rows], names=names)
 
-    def together(key: tuple, group: pa.Table) -> Iterator[pa.RecordBatch]:
-        group = group.combine_chunks()
+    def together(group: pa.Table) -> Iterator[pa.RecordBatch]:
         at = group.column("at").to_numpy()
-        data = group.column("data").to_pylist()
-        dictionary, texts = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
-        byplace = [b""] * (int(at.max(initial=-1)) + 1)
-        for k in dictionary.tolist():
-            byplace[at[k]] = data[k]
-        flat = unpack_integers(b"".join(byplace)).astype(np.int32)
-        ends = np.cumsum(np.fromiter((sum(x < 128 for x in w) for w in byplace), np.int64, len(byplace)))
-        lengths = np.diff(ends, prepend=0)
-        for k in range(0, len(texts), 1000):
-            part, found, stops = texts[k : k + 1000], [np.empty(0, np.int32)], [0]
+        data, rows = group.column("data"), group.column("doc_id").combine_chunks()
+        kind = "<u2" if max(ranks.value.values()) < 1 << 16 else "<u4"
+        by = {int(at[k]): k for k in np.flatnonzero(at >= 0)}  # equal blocks send equal words
+        sizes, flat = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        for b in sorted(by):
+            raw = data[by[b]].as_py()
+            n, wide = int.from_bytes(raw[1:5], "little"), raw[0]
+            sizes.append(np.frombuffer(raw, f"<u{wide}", n, 5).astype(np.int64) // int(kind[2]))
+            flat.append(np.frombuffer(raw, kind, -1, 5 + n * wide).astype(np.int32))
+        sizes, flat = np.concatenate(sizes), np.concatenate(flat)
+        place = np.frombuffer(data[int(np.flatnonzero(at == _ORDER)[0])].as_py(), "<u4") if (at == _ORDER).any() else None
+        if place is None or len(place) != len(sizes):
+            raise RuntimeError("a block's words are missing: the input's rows come in another order each time; write it to a table first")
+        sizes, starts = sizes[place], (np.cumsum(sizes) - sizes)[place]
+        texts = np.flatnonzero(at == _TEXT)
+        for k in range(0, len(texts), 500):
+            part, found, stops = texts[k : k + 500], [np.empty(0, np.int32)], [0]
             for t in part.tolist():
-                where = unpack_integers(data[t])
-                if len(where) and where.max() >= len(byplace):
-                    raise RuntimeError("a block's words are missing: the input's rows come in another order each time; write it to a table first")
-                size = lengths[where]
+                where = unpack_integers(data[t].as_py())
+                size = sizes[where]
                 past = np.cumsum(size)
                 total = int(past[-1]) if len(past) else 0
-                found.append(flat[np.repeat(ends[where] - past, size) + np.arange(total)])
+                found.append(flat[np.repeat(starts[where] - past + size, size) + np.arange(total)])
                 stops.append(stops[-1] + total)
-            rows = group.column("doc_id").combine_chunks().take(pa.array(part, pa.int64()))
             lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
-            yield pa.RecordBatch.from_arrays([rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows, lists], names=["doc_id", "ids"])
+            taken = rows.take(pa.array(part, pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken.combine_chunks() if isinstance(taken, pa.ChunkedArray) else taken, lists], names=["doc_id", "ids"])
 
     def regroup(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from together(key, pa.Table.from_batches(batches))
+        yield from together(pa.Table.from_batches(batches).combine_chunks())
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(kind)
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("doc_id", kind)])
-    encoded = source.mapInArrow(words, "word binary, block long, at int").repartition("word").mapInArrow(ids, schema)
+    encoded = source.mapInArrow(words, "bucket int, block long, words binary").repartition("bucket").mapInArrow(ids, schema)
     both = encoded.unionByName(source.mapInArrow(places, schema))
     return both.groupBy("block").applyInArrow(regroup, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import byte_bpe, packing, simhash, token_counts, warc
+from loomfield.llm import byte_bpe, packing, pii, quality, simhash, token_counts, warc
 from loomfield.llm.common import table
 
 
@@ -29,6 +29,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.assess(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    both = F.concat_ws(",", F.nullif(pii.written(F.col("base")), F.lit("")), F.nullif(pii.written(pii.by_kind(F.col("terms"))), F.lit("")))
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), both.alias("spans"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_round_trip(table(spark, sf_dir, "pages"))
     return found.select("page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
@@ -43,6 +55,8 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_pii": op7_pii,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
 }
