@@ -26,6 +26,7 @@ CAPACITY, END_ID = 2048, 1
 GROUP_PIECES = 8192
 _CACHE = 600_000
 _TOGETHER = 256
+_MARKS = b".,;:!?#*$%&|>()\""
 
 
 class WordIds:
@@ -46,24 +47,20 @@ class WordIds:
         self.last[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
     def learn(self, missing: list[bytes]) -> None:
-        known, plain, rest = self.known, {}, []
+        known, bases, rest = self.known, {}, []
         for w in missing:
-            # case never matters but in special tokens; punctuation after an ASCII letter is a pre-token of its own
-            low = w.lower()
-            base = low.rstrip(b".,;:!?")
-            if b"<" in w or not base.replace(b"'", b"<").decode().isalpha():
-                rest.append(w)
-            elif base in known:
-                known[w] = known[base] + self.tail(low[len(base) :])
+            # case never matters but in special tokens; marks after a word of letters are pre-tokens of their own
+            base = w.lower().rstrip(_MARKS)
+            if b"<" not in w and base.decode().isalpha():
+                bases[w] = base
             else:
-                plain.setdefault(base, []).append(w)
-        found = self.words(list(plain))
-        for base, ids in zip(plain, found, strict=True):
-            known[base] = ids
-            for w in plain[base]:
-                known[w] = ids + self.tail(w.lower()[len(base) :])
+                rest.append(w)
+        new = list(set(bases.values()) - known.keys())
+        known.update(zip(new, self.words(new), strict=True))
+        for w, base in bases.items():
+            known[w] = known[base] + self.tail(w[len(base) :])
         if rest:
-            done = self.tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False)
+            done = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
             known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(rest, done, strict=True))
 
     def tail(self, marks: bytes) -> bytes:
@@ -73,7 +70,7 @@ class WordIds:
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of letters, encoded as one text and parted after each token that ends a word."""
-        ids = np.asarray(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words):
             return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
