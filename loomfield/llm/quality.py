@@ -74,6 +74,7 @@ METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "n_dup_lines": lambda text, w: let(lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     "n_repeat_words": lambda text, w: repeat_words(w),
     "n_capitals": lambda text, w: F.length(F.regexp_replace(text, "\\P{Lu}+", "")).cast("long"),
+    "n_stutters": lambda text, w: let(w, lambda x: F.size(F.filter(F.zip_with(x, F.slice(x, 2, F.size(x)), lambda a, b: a == b), lambda e: e))).cast("long"),
     "n_letters": lambda text, w: F.length(F.regexp_replace(text, "\\P{L}+", "")).cast("long"),
 }
 #: What the contract's base columns need, in its order.
@@ -94,6 +95,7 @@ RULES = (
     Rule("symbols", lambda m: m("n_symbols") * 10 > m("n_words")),
     Rule("repeated_lines", lambda m: m("n_dup_lines") * 2 > m("n_lines")),
     Rule("capitals", lambda m: m("n_capitals") * 10 > m("word_chars") * 4),
+    Rule("stutters", lambda m: m("n_stutters") * 10 > m("n_words") * 3),
     Rule("word_length", lambda m: (m("word_chars") < m("n_words") * 2) | (m("word_chars") > m("n_words") * 15)),
     Rule("letters", lambda m: m("n_letters") * 10 < m("word_chars") * 4),
 )
