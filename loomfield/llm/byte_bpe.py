@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,17 +136,19 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
             bucket, order = by_bucket(found, buckets)
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
             ordered = [found[k] for k in order.tolist()]
-            data = [_END.join(ordered[a:b]) for a, b in zip(cuts, [*cuts[1:], len(ordered)], strict=True)]
+            squeeze = zstandard.ZstdCompressor(3).compress
+            data = [squeeze(_END.join(ordered[a:b])) for a, b in zip(cuts, [*cuts[1:], len(ordered)], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[order[cuts]], pa.int32()), pa.array([name] * len(data), pa.int64()), pa.array(data, pa.binary())], names=["bucket", "block", "words"])
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         tokens = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})._core_bpe.encode_ordinary
+        squeeze, expand = zstandard.ZstdCompressor(3).compress, zstandard.ZstdDecompressor().decompress
         kind, known = "H" if max(ranks.value.values()) < 1 << 16 else "I", {}
         for batch in batches:
             for bucket, block, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = row.split(_END)
+                found = expand(row).split(_END)
                 if missing := [w for w in found if w not in known]:
                     if len(known) > _CACHE:
                         known.clear()
@@ -155,7 +158,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
                 parts = [known[w] for w in found]
                 # sizes first: one unsigned 16-bit number a word, or 32-bit where a word is that long
                 sizes = array("H" if len(max(parts, key=len)) < 1 << 16 else "I", map(len, parts))
-                data = sizes.itemsize.to_bytes(1, "little") + len(parts).to_bytes(4, "little") + sizes.tobytes() + b"".join(parts)
+                data = squeeze(sizes.itemsize.to_bytes(1, "little") + len(parts).to_bytes(4, "little") + sizes.tobytes() + b"".join(parts))
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary()), pa.nulls(1, id_type)], names=names)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,11 +176,12 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     def together(group: pa.Table) -> Iterator[pa.RecordBatch]:
         at = group.column("at").to_numpy()
         data, rows = group.column("data"), group.column("doc_id").combine_chunks()
+        expand = zstandard.ZstdDecompressor().decompress
         kind = "<u2" if max(ranks.value.values()) < 1 << 16 else "<u4"
         by = {int(at[k]): k for k in np.flatnonzero(at >= 0)}  # equal blocks send equal words
         sizes, flat = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
         for b in sorted(by):
-            raw = data[by[b]].as_py()
+            raw = expand(data[by[b]].as_py())
             n, wide = int.from_bytes(raw[1:5], "little"), raw[0]
             sizes.append(np.frombuffer(raw, f"<u{wide}", n, 5).astype(np.int64) // int(kind[2]))
             flat.append(np.frombuffer(raw, kind, -1, 5 + n * wide).astype(np.int32))
