@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -40,10 +39,8 @@ BUCKETS = 256
 _CACHE = 300_000
 _TEXT, _ORDER = -1, -2
 #: White space as Unicode (and so the library's pattern engine) has it; Python's own \s has four more.
-_W = "\t-\r \x85\xa0  -     　"
+_W = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PARTS = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]")
-
-
 #: Ends a word in a row; no UTF-8 text has that byte.
 _END = b"\xff"
 
