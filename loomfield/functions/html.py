@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.functions.text import decode_entities, html_to_text
+from loomfield.functions.text import bare, decode_entities, html_to_text
 
 _SPACES = "[ \\t\\r\\n\\f]+"
 
@@ -36,7 +36,7 @@ def meta_pairs(html: Column) -> Column:
 def json_ld(html: Column) -> Column:
     """Texts of the JSON-LD blocks that parse."""
     blocks = F.regexp_extract_all(html, F.lit("(?i)<script\\b[^>]*type\\s*=\\s*[\"']application/ld\\+json[\"'][^>]*>([\\s\\S]*?)</script>"), F.lit(1))
-    return F.filter(F.transform(blocks, F.trim), lambda b: F.try_parse_json(b).isNotNull())
+    return F.filter(F.transform(blocks, lambda b: bare(b)), lambda b: F.try_parse_json(b).isNotNull())
 
 
 def page_to_text(html: Column, meta: bool = True, structured: bool = True, body: bool = True) -> Column:

@@ -38,7 +38,7 @@ def decode_entities(text: Column) -> Column:
         inner = F.lower(F.substring(r, F.lit(2), F.length(r) - 2))
         code = F.when(inner.startswith("#x"), F.conv(F.substr(inner, F.lit(3)), 16, 10)).otherwise(F.substr(inner, F.lit(2))).cast("long")
         # a character from its number, by the bytes of its UTF-32 form
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         fine = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         return F.when(inner.startswith("#"), F.when(fine, char).otherwise(r)).otherwise(F.coalesce(F.try_element_at(named, inner), r))
 
@@ -72,6 +72,11 @@ def html_to_text(html: Column) -> Column:
     return tidy_lines(decode_entities(F.regexp_replace(t, "<[^>]+>", " ")))
 
 
+def bare(text: Column) -> Column:
+    """``text`` without white space at its ends."""
+    return F.btrim(text, F.lit(" \t\n\x0b\x0c\r\xa0\ufeff"))
+
+
 def strip_bom(text: Column) -> Column:
     return F.regexp_replace(text, "^\\uFEFF", "")
 
@@ -145,7 +150,7 @@ def parse_number(text: Column) -> Column:
 def split_list(text: Column) -> Column:
     """Items between line breaks, or semicolons, or bars, or commas: the first of these that occurs."""
     by = F.when(text.contains("\n"), F.split(text, "\\r?\\n")).when(text.contains(";"), F.split(text, ";")).when(text.contains("|"), F.split(text, "\\|")).otherwise(F.split(text, ","))
-    return F.filter(F.transform(by, F.trim), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(by, lambda x: bare(x)), lambda x: F.length(x) > 0)
 
 
 def image_type(content: Column) -> Column:

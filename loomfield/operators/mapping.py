@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.functions.text import parse_number, split_list
+from loomfield.functions.text import bare, parse_number, split_list
 from loomfield.plans.schema import ArrayType, BooleanType, EnumType, FieldType, NumberType, Schema
 
 YES = ("true", "yes", "y", "1", "on", "x", "✓")
@@ -15,7 +15,7 @@ CELL_WIDTH = 40
 
 def cast_cell(text: Column, kind: FieldType) -> Column:
     """A cell as JSON: of the declared type where that is unambiguous, else the trimmed string."""
-    t = F.trim(text)
+    t = bare(text)
     string = F.to_json(F.to_variant_object(F.array(t)))
     quoted = F.substring(string, F.lit(2), F.length(string) - 2)
     if isinstance(kind, NumberType):
@@ -55,7 +55,7 @@ def apply_mapping(rows: DataFrame, mapping: list[tuple[str, str | None]], schema
             continue
         cell = F.col(f"`{name}`")
         value = cast_cell(cell, types[path]) if path in types else cast_cell(cell, FieldType())
-        value = F.when(F.length(F.trim(cell)) > 0, value)
+        value = F.when(F.length(bare(cell)) > 0, value)
         node, parts = tree, path.split(".")
         for part in parts[:-1]:
             if not isinstance(node.get(part), dict):
@@ -77,7 +77,7 @@ def apply_mapping(rows: DataFrame, mapping: list[tuple[str, str | None]], schema
 
 def row_text(columns: list[str]) -> Column:
     """``Header: value`` lines of cells that aren't blank; further lines of a cell are indented."""
-    lines = [F.when(F.length(F.trim(F.col(f"`{c}`"))) > 0, F.concat(F.lit(f"{c}: "), F.regexp_replace(F.trim(F.col(f"`{c}`")), "\\r?\\n", "\n  "))) for c in columns]
+    lines = [F.when(F.length(bare(F.col(f"`{c}`"))) > 0, F.concat(F.lit(f"{c}: "), F.regexp_replace(bare(F.col(f"`{c}`")), "\\r?\\n", "\n  "))) for c in columns]
     return F.concat_ws("\n", *lines)
 
 
