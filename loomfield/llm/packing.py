@@ -15,25 +15,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.common import fresh, keep, utf8
+from loomfield.llm.common import fresh, keep
 
 CAPACITY, END_ID = 2048, 1
 #: Expected pieces of a group: some thousand bins, so the few half-full ones at its end weigh little.
 GROUP_PIECES = 8192
-_CACHE = 600_000
-_TOGETHER = 256
-_MARKS = b".,;:!?#*$%&|>()\""
+#: Bytes of text whose distinct parts are encoded together, words in one call of the library, texts put together at once.
+SLICE_BYTES, _TOGETHER, _TEXTS = 24 << 20, 20_000, 500
+_MARKS = ".,;:!?#*$%&|>()\""
 
 
 class WordIds:
     """Ids of whole texts from ids of their parts between ASCII white space.
 
     The tokenizer drops white space and no pre-token crosses it, so a text's ids are those of its parts
-    in order; each part is encoded by the library once while it stays in the bounded cache.
+    in order.  The distinct parts of a slice of texts are encoded once, and texts gather them by position.
     """
 
     def __init__(self, path: str):
@@ -41,52 +42,84 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def learn(self, missing: list[bytes]) -> None:
-        known, bases, rest = self.known, {}, []
-        for w in missing:
-            # case never matters but in special tokens; marks after a word of letters are pre-tokens of their own
-            base = w.lower().rstrip(_MARKS)
-            if b"<" not in w and base.decode().isalpha():
-                bases[w] = base
-            else:
-                rest.append(w)
-        new = list(set(bases.values()) - known.keys())
-        known.update(zip(new, self.words(new), strict=True))
-        for w, base in bases.items():
-            known[w] = known[base] + self.tail(w[len(base) :])
-        if rest:
-            done = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
-            known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(rest, done, strict=True))
-
-    def tail(self, marks: bytes) -> bytes:
-        if marks and marks not in self.known:
-            self.known[marks] = np.asarray(self.tokenizer.encode(marks.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        return self.known[marks] if marks else b""
-
-    def words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words of letters, encoded as one text and parted after each token that ends a word."""
-        ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(words):
-            return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        data, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
-        return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of every text as little-endian unsigned 32-bit integers."""
-        for k in range(0, len(texts), _TOGETHER):
-            if len(self.known) > _CACHE:
-                self.known.clear()
-            split = [text.split() for text in texts[k : k + _TOGETHER]]
-            if missing := set().union(*split) - self.known.keys():
-                self.learn(sorted(missing))
-            for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
+    def each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters and each one's number of them; encoded together and parted after each token that ends a word."""
+        ids, sizes = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+        for k in range(0, len(words), _TOGETHER):
+            part = words[k : k + _TOGETHER]
+            found = self.each([" ".join(part)])[0]
+            size = np.diff(np.flatnonzero(self.last[found]), prepend=-1)
+            if len(size) != len(part) or size.sum() != len(found):
+                one = self.each(part)
+                found, size = np.concatenate(one), np.fromiter(map(len, one), np.int64, len(one))
+            ids.append(found)
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct parts, one after another, and each one's number of them."""
+        # case never matters but in special tokens; marks after a word of letters are pre-tokens of their own
+        low = pc.ascii_lower(parts)
+        base = pc.ascii_rtrim(low, characters=_MARKS)
+        plain = pc.and_(pc.utf8_is_alpha(base), pc.invert(pc.match_substring(low, "<")))
+        plain_at = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        rest = pc.filter(parts, pc.invert(plain))
+        bases = pc.filter(base, plain).dictionary_encode()
+        ids, sizes = self.words(bases.dictionary.to_pylist())
+        units = [(ids, sizes)]
+        # the second unit of a part is its marks; number 0 of those is nothing
+        marked = pc.filter(low, plain)
+        cut = (pc.binary_length(marked).to_numpy() - pc.binary_length(pc.filter(base, plain)).to_numpy()).astype(np.int64)
+        some = np.flatnonzero(cut)
+        tails = pa.array([x[-n:] for x, n in zip(marked.take(pa.array(some)).to_pylist(), cut[some].tolist(), strict=True)], pa.string()).dictionary_encode()
+        for one in ([np.empty(0, "<u4"), *self.each(tails.dictionary.to_pylist())], self.each(rest.to_pylist())):
+            units.append((np.concatenate([np.empty(0, "<u4"), *one]), np.fromiter(map(len, one), np.int64, len(one))))
+        nothing = len(sizes)
+        first = np.empty(len(parts), np.int64)
+        second = np.full(len(parts), nothing)
+        first[plain_at] = bases.indices.to_numpy()
+        first[np.flatnonzero(~plain.to_numpy(zero_copy_only=False))] = nothing + len(units[1][1]) + np.arange(len(rest))
+        second[plain_at[some]] = nothing + 1 + tails.indices.to_numpy()
+        ids, sizes = (np.concatenate([u[k] for u in units]) for k in (0, 1))
+        both = np.stack([first, second], axis=1).ravel()
+        return gathered(ids, sizes, np.cumsum(sizes) - sizes, both), sizes[both].reshape(-1, 2).sum(axis=1)
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of every text as little-endian unsigned 32-bit integers; null counts as empty."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            yield from self._slice(pc.fill_null(texts.slice(at, to - at), ""))
+            at = to
+
+    def _slice(self, texts: pa.Array) -> Iterator[bytes]:
+        lists = pc.ascii_split_whitespace(texts)
+        stops = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        ids, sizes = self.parts(coded.dictionary)
+        starts, which = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        for k in range(0, len(texts), _TEXTS):
+            own = stops[k : k + _TEXTS + 1]
+            part = which[own[0] : own[-1]]
+            past = np.concatenate([[0], np.cumsum(sizes[part])])[own - own[0]]
+            data = gathered(ids, sizes, starts, part).tobytes()
+            for a, b in zip((4 * past[:-1]).tolist(), (4 * past[1:]).tolist(), strict=True):
+                yield data[a:b]
+
+
+def gathered(flat: np.ndarray, sizes: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The ranges of ``flat`` that ``which`` names, one after another."""
+    size = sizes[which]
+    past = np.cumsum(size)
+    return flat[np.repeat(starts[which] - past + size, size) + np.arange(past[-1] if len(past) else 0)]
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -102,7 +135,7 @@ def tokenise(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
         encoder = _ENCODERS.setdefault(path, WordIds(path)) if path not in _ENCODERS else _ENCODERS[path]
         for batch in batches:
             take, starts, lengths, ids, totals = [], [], [], [], []
-            for row, got in enumerate(encoder.encode([x or b"" for x in utf8(batch.column(1))])):
+            for row, got in enumerate(encoder.encode(batch.column(1))):
                 got += end
                 n = len(got) // 4
                 for s in range(0, n, capacity):
