@@ -91,8 +91,9 @@ class WordIds:
         both = np.stack([first, second], axis=1).ravel()
         return gathered(ids, sizes, np.cumsum(sizes) - sizes, both), sizes[both].reshape(-1, 2).sum(axis=1)
 
-    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+    def encode(self, texts: pa.Array | list[bytes | None]) -> Iterator[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers; null counts as empty."""
+        texts = pa.array(texts, pa.binary()).cast(pa.string()) if isinstance(texts, list) else texts
         ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
         at = 0
         while at < len(texts):
