@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from loomfield.llm.common import WORD_SEPARATORS, fresh, keep
 
-#: Rows on which costs and selectivities are estimated.
-SAMPLE_ROWS = 1000
+#: Rows on which costs and selectivities are estimated, and their longest text, in code points.
+SAMPLE_ROWS, SAMPLE_LONGEST = 1000, 65_536
 WINDOW = 8
 _SPACE = "[\\x20\\x09-\\x0D]"
 _SYMBOLS = "#*$%&|<>"
@@ -102,8 +102,12 @@ RULES = (
 
 
 def order_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejections per second on at most ``rows`` rows; ties and empty samples keep the given order."""
-    sample = keep(docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).limit(rows), "sample")
+    """Rules by rejections per second on at most ``rows`` rows; ties and empty samples keep the given order.
+
+    The rows are taken partition by partition until there are enough, so no large input is read for them.
+    """
+    some = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where(F.length("text") <= SAMPLE_LONGEST)
+    sample = keep(docs.sparkSession.createDataFrame([(r["text"],) for r in some.take(rows)], "text string"), "sample")
     w = words(F.col("text"))
 
     def timed(rejects: Column) -> tuple[float, int]:
