@@ -27,8 +27,9 @@ from pyspark.sql import types as T
 
 from loomfield.llm.common import fresh, keep, utf8
 
-#: Labelled rows that the text model is fitted on, chosen by the hash of their text.
+#: Most labelled texts that the text model is fitted on, chosen by their hash.
 TRAIN_ROWS = 2000
+_SHARES = 1 << 30
 #: Weight of earlier levels in a host's prior, in rows.
 STRENGTH = 20.0
 #: n-grams of a text overlap, so their joint evidence is tempered; and how sure a result must be.
@@ -53,8 +54,11 @@ def word_grams(word: str) -> Iterator[str]:
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", rows: int = TRAIN_ROWS) -> TextModel:
     """n-gram frequencies by language over a bounded sample; the counts collected are bounded by it too."""
-    labelled = docs.select(F.lower(F.trim(F.col(f"`{label}`"))).alias("lang"), F.col(f"`{text}`").alias("text")).where("lang <> '' and text is not null")
-    sample = labelled.orderBy(F.xxhash64("text"), "lang").limit(rows)
+    labelled = docs.select(F.lower(F.trim(F.col(f"`{label}`"))).alias("lang"), F.col(f"`{text}`").alias("text")).where("lang <> ''")
+    # the hash lets about as many rows through as are wanted, so that only those are shuffled; copies are one
+    share = min(_SHARES, -(-2 * rows * _SHARES // max(1, labelled.select("lang").count())))
+    hashed = labelled.where("text is not null").withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(_SHARES)) < share)
+    sample = hashed.groupBy("h", "lang").agg(F.min("text").alias("text")).orderBy("h", "lang").limit(rows).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
