@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.common import utf8
+from loomfield.llm.common import frugal, utf8
 
 #: Bytes of text and distinct words after which a block is closed.
 BLOCK_BYTES, BLOCK_WORDS = 16 << 20, 300_000
@@ -208,8 +208,8 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
 
     id_type = to_arrow_type(kind)
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("doc_id", kind)])
-    encoded = source.mapInArrow(words, "bucket int, block long, words binary").repartition("bucket").mapInArrow(ids, schema)
-    both = encoded.unionByName(source.mapInArrow(places, schema))
+    encoded = source.mapInArrow(frugal(words), "bucket int, block long, words binary").repartition("bucket").mapInArrow(frugal(ids), schema)
+    both = encoded.unionByName(source.mapInArrow(frugal(places), schema))
     return both.groupBy("block").applyInArrow(regroup, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
@@ -227,4 +227,4 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
             found = [b"".join(map(token, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else None for x in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, out])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(frugal(run), schema)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.common import fresh, keep, utf8
+from loomfield.llm.common import fresh, frugal, keep, utf8
 
 #: Most labelled texts that the text model is fitted on, chosen by their hash.
 TRAIN_ROWS = 2000
@@ -119,7 +119,7 @@ def with_scores(docs: DataFrame, model: TextModel, text: str, out: str) -> DataF
             found = [scores.score((x or b"").decode()) if sent.value.languages else None for x in utf8(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def host_of(address: Column) -> Column:

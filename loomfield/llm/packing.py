@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.common import fresh, keep
+from loomfield.llm.common import fresh, frugal, keep
 
 CAPACITY, END_ID = 2048, 1
 #: Expected pieces of a group: some thousand bins, so the few half-full ones at its end weigh little.
@@ -148,7 +148,7 @@ def tokenise(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
             columns = [batch.column(0).take(pa.array(take, pa.int32())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(totals, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(frugal(run), schema)
 
 
 def first_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.common import fresh, keep, utf8
+from loomfield.llm.common import fresh, frugal, keep, utf8
 from loomfield.llm.graph import connected_components
 
 WIDTH, SEED, RADIUS = 3, 42, 2
@@ -59,7 +59,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprin
             prints = [fingerprint_of(x, width, seed) if x else 0 for x in utf8(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def ball_edges(prints: DataFrame, column: str = "fingerprint") -> DataFrame:

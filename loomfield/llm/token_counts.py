@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.common import utf8
+from loomfield.llm.common import frugal, utf8
 
 LIMIT = 4096
 MARK = "▁"
@@ -111,4 +111,4 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
             counts = [counter.count(x.decode()) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], names=schema.names)
 
-    return docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(frugal(run), schema)
