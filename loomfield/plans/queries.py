@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomfield.functions import html, text
 from loomfield.operators import coerce as co
 from loomfield.operators import evaluate, mapping, sources, validate
+from loomfield.plans import catalogue
 from loomfield.plans import schema as s
 from loomfield.streaming import windows
 
@@ -269,3 +270,6 @@ ORACLE_SQL = {
 _META = ORACLE_SQL["page_meta"].replace("FROM pages)", "FROM pages WHERE page_id = p.page_id)")
 ORACLE_SQL["page_sources"] = ORACLE_SQL["page_sources"].replace("{META}", f"(SELECT meta FROM ({_META}))").replace("AS meta FROM pages", "AS meta FROM pages p")
 ORACLE_SQL["request_inputs"] = f"SELECT item_id AS conv_id, md5(user_input) AS input_md5 FROM ({ORACLE_SQL['render_conversations']})"
+
+QUERIES |= catalogue.QUERIES
+ORACLE_SQL |= catalogue.ORACLE_SQL
