@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import WORD_SEPARATORS, fresh, keep
+from loomfield.llm.common import WORD_SEPARATORS, keep
 
 #: Rows on which costs and selectivities are estimated, and their longest text, in code points.
 SAMPLE_ROWS, SAMPLE_LONGEST = 1000, 65_536
@@ -148,7 +148,7 @@ def assess(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: t
 def filter_documents(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that no rule rejects, with all their columns."""
     ordered = order_rules(docs, text, rules)
-    t, w = fresh(docs, "text"), fresh(docs, "words")
-    rows = docs.withColumn(t, F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    rows = rows.withColumn(w, words(F.col(t)))
-    return rows.where(verdict(ordered, lambda n: METRICS[n](F.col(t), F.col(w))).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    # bound inside the expression: a column of words would be split again for each rule, as filters move below projections
+    failed = let(words(whole), lambda w: verdict(ordered, lambda n: METRICS[n](whole, w)))
+    return docs.where(failed.isNull())
