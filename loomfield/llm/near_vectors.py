@@ -8,7 +8,8 @@
    that lie in range until no further neighbour does.  A found pair is verified in double precision and
    counted in the block where its other end is at home and a member, thus once.
 5. Recall is audited on a bounded sample of queries against brute force over all rows; below the target the
-   search is repeated with more overlap and a wider beam.
+   search is repeated with more overlap and a wider beam; where that doesn't reach it, or too much is missing, all pairs of
+   tiles whose clusters' radii allow a link are compared in full.
 
 Defined results: a null, empty or zero vector, and one with null or non-finite components, links with
 nothing and is its own component, as does a row without an id (whose component is null).  Repeated rows are
@@ -33,7 +34,12 @@ SAMPLE, CLUSTERS, SHARD, AUDIT = 20_000, 4096, 2048, 128
 #: Clusters a class goes to, neighbours kept by pruning, candidates pruned from, beam width, pruning factor.
 OVERLAP, DEGREE, CANDIDATES, BEAM, ALPHA = 3, 20, 48, 32, 1.2
 RECALL, TRIES = 0.99, 3
+#: Recall below which a group lies over more clusters than a wider search would reach.
+WIDEN = 0.9
+#: Rows and bytes of vectors of a tile of the full comparison.
+TILE, TILE_BYTES = 8192, 64 << 20
 _QUERIES = 256
+_DENSE = 50_000
 
 
 def classes_of(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, DataFrame]:
@@ -240,11 +246,122 @@ def search(classes: DataFrame, centres: np.ndarray, dimension: int, threshold: f
             fine = home[x] & (ids[q] != ids[mine][x])
             q, x = q[fine], x[fine]
             np.add.at(count, q, n[mine][x])
+            if len(q) > _DENSE:
+                (uq, r), (ux, c) = np.unique(q, return_inverse=True), np.unique(x, return_inverse=True)
+                hits = np.zeros((len(uq), len(ux)), bool)
+                hits[r, c] = True
+                r, c = components(hits)
+                q, x = uq[r], ux[c]
             stars = forest([*stars.items(), *zip(ids[q].tolist(), ids[mine][x].tolist(), strict=True)])
         some = np.flatnonzero(count)
         return pa.table({"cid": pa.array(np.concatenate([ids[some], np.fromiter(stars, np.int64, len(stars))])), "links": pa.array(np.concatenate([count[some], np.zeros(len(stars), np.int64)])), "to": pa.array([*([None] * len(some)), *stars.values()], pa.int64())})
 
-    found = keep(rows.groupBy("cluster", "block").applyInArrow(find, "cid long, links long, to long"), "found")
+    return _told(rows.groupBy("cluster", "block").applyInArrow(find, "cid long, links long, to long"))
+
+
+def tiles(centres: np.ndarray, sizes: np.ndarray, radii: np.ndarray, threshold: float, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each cluster's first tile and number of tiles, and which tiles may link: clusters of more than ``rows``
+    members have several, lesser ones share one with near clusters."""
+    left, order, at = sizes > 0, [], int(np.argmax(sizes))
+    while left.any():
+        order.append(at)
+        left[at] = False
+        at = int(np.argmax(np.where(left, centres @ centres[at], -2)))
+    first, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    held, filled, owners = -1, rows + 1, []
+    for c in order:
+        if sizes[c] > rows or filled + sizes[c] > rows:
+            parts[c] = -(-sizes[c] // rows)
+            first[c], held = held + 1, held + parts[c]
+            filled = sizes[c] if parts[c] == 1 else rows
+            owners += [[c] for _ in range(parts[c])]
+        else:
+            first[c], filled = held, filled + sizes[c]
+            owners[held].append(c)
+    # the angle between centres is at most both radii and the angle of the threshold, with some room for rounding
+    reach = np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+    near = np.arccos(np.clip(centres @ centres.T, -1, 1)) <= radii[:, None] + radii[None, :] + reach
+    any_of = np.stack([near[own].any(axis=0) for own in owners])
+    return first, parts, np.stack([any_of[:, own].any(axis=1) for own in owners], axis=1)
+
+
+def components(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, column) of a table of links that keep its components together, few where it is dense."""
+    if np.count_nonzero(hits) <= _DENSE:
+        return np.nonzero(hits)
+    none = np.int32(hits.shape[1])
+    label = np.arange(none, dtype=np.int32)
+    while True:
+        own = np.where(hits, label[None, :], none).min(axis=1)
+        new = np.minimum(label, np.where(hits, own[:, None], none).min(axis=0))
+        if (new == label).all():
+            break
+        label = new
+    # a row stands with the least column of its component, and a column with a row of its own
+    row, column = np.flatnonzero(own < none), np.flatnonzero(hits.any(axis=0))
+    return np.concatenate([row, np.argmax(hits[:, column], axis=0)]), np.concatenate([own[row], column])
+
+
+def compare(classes: DataFrame, centres: np.ndarray, dimension: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """As ``search``, by comparing all classes of all tiles that may link: exact, with quadratic work in a hot group."""
+    spark = classes.sparkSession
+    sent = spark.sparkContext.broadcast(centres)  # at most CLUSTERS rows
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                sims = unit(matrix(part.column("v"), dimension)) @ sent.value.T
+                yield pa.RecordBatch.from_arrays([pa.array(np.argmax(sims, axis=1).astype(np.int32)), pa.array(sims.max(axis=1)), *(part.column(k) for k in ("cid", "v", "n"))], names=["cluster", "cos", "cid", "v", "n"])
+
+    homes = keep(classes.mapInArrow(place, "cluster int, cos double, cid long, v array<double>, n long"), "homes")
+    sizes, radii = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    for r in homes.groupBy("cluster").agg(F.count("*").alias("rows"), F.min("cos").alias("cos")).collect():
+        sizes[r["cluster"]], radii[r["cluster"]] = r["rows"], np.arccos(np.clip(r["cos"], -1, 1)) + 1e-6
+    first, parts, near = tiles(centres, sizes, radii, threshold, max(1, min(TILE, TILE_BYTES // (8 * dimension))))
+    where = spark.createDataFrame([(int(c), int(first[c]), int(parts[c])) for c in np.flatnonzero(sizes)], "cluster int, first int, parts int")
+    tiled = homes.join(F.broadcast(where), "cluster").select((F.col("first") + F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).alias("tile"), "cid", "v", "n")
+    allowed = spark.sparkContext.broadcast(np.packbits(near, axis=1))  # a bit for each pair of tiles
+
+    def pack(key: tuple, group: pa.Table) -> Iterator[pa.RecordBatch]:
+        group, own = group.combine_chunks(), key[0].as_py()
+        others = np.flatnonzero(np.unpackbits(allowed.value[own])[: len(allowed.value)])
+        data = [group.column("cid").to_numpy().tobytes(), group.column("n").to_numpy().tobytes(), unit(matrix(group.column("v"), dimension)).tobytes()]
+        for k in others.tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([min(own, k)], pa.int32()), pa.array([max(own, k)], pa.int32()), pa.array([own], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], names=["lo", "hi", "tile", "cids", "ns", "vs"])
+
+    def packed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pack(key, pa.Table.from_batches(batches))
+
+    def meet(key: tuple, group: pa.Table) -> pa.Table:
+        found = {t: (np.frombuffer(i, np.int64), np.frombuffer(n, np.int64), np.frombuffer(v).reshape(-1, dimension)) for t, i, n, v in zip(*(group.column(c).to_pylist() for c in ("tile", "cids", "ns", "vs")), strict=True)}
+        lo, hi = key[0].as_py(), key[1].as_py()
+        links, stars = {}, {}
+        if lo in found and hi in found:
+            (ids, n, x), (to, m, y) = found[lo], found[hi]
+            count, back = np.zeros(len(ids), np.int64), np.zeros(len(to), np.int64)
+            for a in range(0, len(ids), 1024):
+                hits = x[a : a + 1024] @ y.T >= threshold
+                if lo == hi:
+                    own = np.arange(len(hits))
+                    hits[own, a + own] = False
+                if hits.any():
+                    dense = hits.astype(np.float64)  # sums are whole numbers, and matrix products fast
+                    count[a : a + 1024] = np.rint(dense @ m.astype(np.float64)).astype(np.int64)
+                    back += np.rint(n[a : a + 1024].astype(np.float64) @ dense).astype(np.int64)
+                    r, c = components(hits)
+                    stars = forest([*stars.items(), *zip(ids[a + r].tolist(), to[c].tolist(), strict=True)])
+            links = dict(zip(ids[count > 0].tolist(), count[count > 0].tolist(), strict=True))
+            if lo != hi:
+                links |= dict(zip(to[back > 0].tolist(), back[back > 0].tolist(), strict=True))
+        return pa.table({"cid": pa.array([*links, *stars], pa.int64()), "links": pa.array([*links.values(), *([0] * len(stars))], pa.int64()), "to": pa.array([*([None] * len(links)), *stars.values()], pa.int64())})
+
+    sides = tiled.groupBy("tile").applyInArrow(packed, "lo int, hi int, tile int, cids binary, ns binary, vs binary")
+    return _told(sides.groupBy("lo", "hi").applyInArrow(meet, "cid long, links long, to long"))
+
+
+def _told(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    found = keep(found, "found")
     counts = keep(found.where("to is null").groupBy("cid").agg(F.sum("links").alias("links")), "counts")
     return counts, found.where("to is not null").select(F.col("cid").alias("a"), F.col("to").alias("b"))
 
@@ -304,6 +421,8 @@ def _of_dimension(spark: SparkSession, classes: DataFrame, dimension: int, thres
         counts, edges = search(classes, centres, dimension, threshold, overlap, beam)
         recall = audit(classes, counts, dimension, threshold)
         if recall >= target:
+            return counts, edges
+        if recall < WIDEN:
             break
         overlap, beam = 2 * overlap, 2 * beam
-    return counts, edges
+    return compare(classes, centres, dimension, threshold)

@@ -118,3 +118,26 @@ def test_vectors_over_many_shards_and_blocks(spark, monkeypatch):
     got = near_vectors.near_vectors(spark.createDataFrame([(a, b, 0) for a, b in rows], "vec_id long, embedding array<double>, label int")).collect()
     assert sum(r.n_links for r in got) >= 0.98 * sum(map(len, links.values()))
     assert all(r.n_links <= len(links[r.vec_id]) for r in got)
+
+
+def test_components_of_dense_links(monkeypatch):
+    rng = np.random.default_rng(4)
+    hits = np.kron(np.eye(3, dtype=bool), np.ones((20, 30), bool)) & (rng.random((60, 90)) < 0.5)
+    monkeypatch.setattr(near_vectors, "_DENSE", 0)
+    few = near_vectors.forest((int(r), 60 + int(c)) for r, c in zip(*near_vectors.components(hits), strict=True))
+    assert few == near_vectors.forest((int(r), 60 + int(c)) for r, c in zip(*np.nonzero(hits), strict=True))
+
+
+def test_a_third_of_distinct_vectors_in_one_group(spark):
+    rng = np.random.default_rng(3)
+    hot = rng.normal(size=64)
+    group = hot / np.linalg.norm(hot) + 0.3 / 8 * rng.normal(size=(10_000, 64))
+    x = np.concatenate([group, rng.normal(size=(20_000, 64))])
+    rows = [(k, v) for k, v in enumerate(x.tolist())]
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([np.count_nonzero(u[a : a + 1000] @ u.T >= 0.9, axis=1) for a in range(0, len(u), 1000)]) - 1
+    have = {r.vec_id: r for r in got}
+    assert sum(r.n_links for r in got) >= 0.99 * want.sum() > 10**7
+    assert all(have[k].n_links <= want[k] for k in have)
+    assert {have[k].component_id for k in np.flatnonzero(want[:10_000] > 0).tolist()} == {0}
