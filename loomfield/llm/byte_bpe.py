@@ -130,6 +130,8 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             name, found, _ = block.close()
+            if not found:  # only empty or null texts
+                continue
             bucket, order = by_bucket(found, buckets)
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
             ordered = [found[k] for k in order.tolist()]

@@ -68,6 +68,16 @@ def test_several_blocks(monkeypatch):
     assert blocks[0].close()[1] == [b" x", b"x", b" "]
 
 
+def test_blocks_without_words(spark, monkeypatch):
+    for texts in ([None, "", None], ["x " * 300, "", None]):
+        rows = [(k, t, *[None] * 8) for k, t in enumerate(texts)]
+        with monkeypatch.context() as m:
+            m.setattr(byte_bpe, "BLOCK_BYTES", 500)
+            docs = frame(spark, rows).coalesce(1)
+            got = byte_bpe.decode(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()
+        assert {r.doc_id: bytes(r.decoded) for r in got} == {k: (t or "").encode() for k, t in enumerate(texts)}
+
+
 def test_integers_round_trip():
     rng = np.random.default_rng(1)
     for values in (np.empty(0, np.int64), np.asarray([0, 127, 128, 16383, 16384, 1 << 21, (1 << 28) - 1]), rng.integers(0, 1 << 27, 1000)):
