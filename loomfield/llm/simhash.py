@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomfield.llm import shingles
 from loomfield.llm.common import fresh, frugal, keep, utf8
 from loomfield.llm.graph import connected_components
 
@@ -70,10 +71,17 @@ def ball_edges(prints: DataFrame, column: str = "fingerprint") -> DataFrame:
     return pairs.where("a is not null").where(F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= RADIUS).select("a", F.col("fp").alias("b"))
 
 
-def groups(prints: DataFrame, doc_id: str = "doc_id", column: str = "fingerprint") -> DataFrame:
-    """(fingerprint, root, component_id): each distinct fingerprint's component and the smallest id in it."""
+def groups(prints: DataFrame, doc_id: str = "doc_id", column: str = "fingerprint", texts: DataFrame | None = None) -> DataFrame:
+    """(fingerprint, root, component_id): each distinct fingerprint's component and the smallest id in it.
+
+    With ``texts`` (fingerprint, text), those with similar five-word shingles link too.
+    """
     classes = keep(prints.groupBy(F.col(column).alias("fp")).agg(F.min(doc_id).alias("least")), "classes")
-    roots = connected_components(ball_edges(classes, "fp"))
+    links = ball_edges(classes, "fp")
+    if texts is not None:
+        links = keep(links, "links")
+        links = links.unionByName(shingles.edges(texts.select(F.col(column).alias("c"), F.xxhash64("text").alias("t"), "text"), links))
+    roots = connected_components(links)
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return keep(rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias(column), "root", "component_id"), "groups")
@@ -85,13 +93,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return prints.join(groups(prints), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id (nulls last), ties by the rows' hash."""
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (nulls last), ties by the rows' hash.
+
+    ``similar`` links texts of five-word shingles at 0.8 or more as well as those within two bits.
+    """
     h, names = fresh(docs, "hash"), docs.columns
     hashed = docs.withColumn(h, F.xxhash64(*[F.col(f"`{c}`") for c in names]))
     slim = hashed.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(h).alias("h"))
-    prints = keep(with_fingerprint(slim).select("doc_id", "h", "fingerprint"), "prints")
-    joined = prints.join(groups(prints), "fingerprint")
+    printed = keep(with_fingerprint(slim), "prints")
+    prints = printed.select("doc_id", "h", "fingerprint")
+    texts = printed.where("text is not null").select("fingerprint", "text") if similar else None
+    joined = prints.join(groups(prints, texts=texts), "fingerprint")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("h").alias("h"))
     best = joined.groupBy("root").agg(F.min(rank).alias("b"))
     best = keep(best.select(F.col("b.i").alias("__i"), F.col("b.h").alias("__h")).distinct(), "best")

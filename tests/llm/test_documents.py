@@ -84,6 +84,34 @@ def test_deduplicate_keeps_one_of_each_component(spark):
     assert sorted(found) == sorted(want)
 
 
+def plain_shingles(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or ({" ".join(w)} if w else set())
+
+
+def test_deduplicate_links_similar_shingles(spark):
+    rng = random.Random(12)
+    base = [[f"w{rng.randint(0, 3000)}" for _ in range(150)] for _ in range(12)]
+    texts = [" ".join(w) for w in base]
+    for w in base[:6]:
+        for changes in (1, 2, 3, 4, 5, 8):
+            new = list(w)
+            for k in rng.sample(range(150), changes):
+                new[k] = f"x{rng.randint(0, 10**6)}"
+            texts.append(" ".join(new))
+    texts += [" ".join([*base[7][:40], *base[8][:120]]), "one two", "one two", ""]
+    rng.shuffle(texts)
+    prints, sets = [plain_print(t) for t in texts], [plain_shingles(t) for t in texts]
+
+    def linked(a, b):
+        return (prints[a] ^ prints[b]).bit_count() <= 2 or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0
+
+    docs = frame(spark, [(k, t, *[None] * 8) for k, t in enumerate(texts)])
+    found = {r.doc_id for r in simhash.deduplicate(docs, similar=True).collect()}
+    assert found == set(plain_components(range(len(texts)), linked).values())
+    assert found < {r.doc_id for r in simhash.deduplicate(docs).collect()}
+
+
 def plain_quality(text):
     w = WORD.findall(text or "")
     seen, dup = set(), 0
