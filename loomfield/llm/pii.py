@@ -1,10 +1,11 @@
 """Personal data: pattern spans, and terms that disclose them by corpus co-occurrence; DataFrame functions only.
 
-Base spans are e-mail addresses, IP addresses, card and phone numbers.  A term near a base value (the
-protected entity) discloses it where their pointwise mutual information comes within a factor ``ALPHA`` of
+Base spans are e-mail addresses, IP addresses, card and phone numbers.  A term of the documents that hold a base
+value (the protected entity), however far from it, discloses it where their pointwise mutual information comes within a factor ``ALPHA`` of
 the entity's own information: PMI(e, t) >= IC(e) / ALPHA, all probabilities being shares of the corpus's
 documents.  Such terms are removed from the documents that hold the entity, where they occur with nothing
-else, or generalised to a placeholder.  Pairs seen in fewer than ``SUPPORT`` different texts are no evidence.
+else, or generalised to a placeholder.  Evidence is a pair seen in ``SUPPORT`` different texts: in a single one
+every rare word stands with every value, which tells nothing, but an entity of two texts is covered.
 
 Patterns are written so that a long run is looked at once: possessive repeats and look-behind allow no
 other match than the plain ones.  Positions are code points and come from the lengths of what lies between
@@ -22,7 +23,7 @@ from loomfield.llm.common import fresh, keep
 from loomfield.llm.quality import let
 
 KINDS = ("email", "ip", "card", "phone")
-ALPHA, SUPPORT, NEAR = 1.25, 3, 60
+ALPHA, SUPPORT = 1.25, 2
 _LOCAL = "[A-Za-z0-9._%+-]"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 PATTERNS = {
@@ -33,7 +34,7 @@ PATTERNS = {
 }
 #: Cheap necessary conditions.
 _MAYBE = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]"}
-_TERM = "\\p{L}{4,}+"
+_TERM = "\\p{L}++"
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 _CHUNK = 128
 
@@ -93,13 +94,9 @@ def base_spans(text: Column) -> Column:
     return F.concat(*found)
 
 
-def near_terms(text: Column, span: Column) -> Column:
-    """Whole words of four letters or more within ``NEAR`` code points of a span, without addresses."""
-    before = F.substring(text, F.greatest(span["start"] - NEAR, F.lit(0)) + 1, F.least(span["start"], F.lit(NEAR)))
-    before = F.when(span["start"] > NEAR, F.regexp_replace(before, "^\\S*\\s", "")).otherwise(before)
-    after = F.substring(text, span["end"] + 1, F.lit(NEAR))
-    after = F.when(F.length(after) == NEAR, F.regexp_replace(after, "\\s\\S*$", "")).otherwise(after)
-    return F.regexp_extract_all(F.regexp_replace(F.concat_ws(" \n ", before, after), "\\S*@\\S*", " "), F.lit(_TERM), F.lit(0))
+def terms_of(text: Column) -> Column:
+    """The distinct whole words of a text, without those of addresses."""
+    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, "\\S*@\\S*", " "), F.lit(_TERM), F.lit(0)))
 
 
 def _entity(span: Column) -> Column:
@@ -107,19 +104,21 @@ def _entity(span: Column) -> Column:
 
 
 def disclosing_terms(rows: DataFrame) -> DataFrame:
-    """(doc_id, h, terms, gone) for rows (doc_id, h, text, spans): a document's disclosing terms, and those that occur with nothing else."""
-    held = rows.where(F.size("spans") > 0)
-    pairs = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.transform(near_terms(F.col("text"), s), lambda t: F.struct(_entity(s).alias("e"), t.alias("t"))))))
-    context = keep(held.select("doc_id", "h", F.explode(pairs).alias("p")).select("doc_id", "h", "p.e", "p.t"), "contexts")
-    entities = held.select(F.explode(F.array_distinct(F.transform("spans", _entity))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    together = context.groupBy("e", "t", "h").agg(F.count("*").alias("c")).groupBy("e", "t").agg(F.sum("c").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
+    """(h, terms, gone) for rows (doc_id, h, text, spans): a text's disclosing terms, and those that occur with nothing else."""
+    held = rows.where(F.size("spans") > 0).select("h", F.array_distinct(F.transform("spans", _entity)).alias("es"), terms_of(F.col("text")).alias("ts"))
+    # copies of a text are one row with their number
+    texts = keep(held.groupBy("h").agg(F.first("es").alias("es"), F.first("ts").alias("ts"), F.count("*").alias("c")), "texts")
+    holds = texts.select("h", "c", F.explode("es").alias("e"))
+    entities = keep(holds.groupBy("e").agg(F.sum("c").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts"), "entities")
+    context = holds.join(entities.select("e"), "e").join(texts.select("h", "ts"), "h").select("h", "c", "e", F.explode("ts").alias("t"))
+    together = keep(context.groupBy("e", "t").agg(F.sum("c").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT), "together")
     terms = rows.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
     n = rows.count()
     information = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
     loss = F.log2(F.col("n_t") / F.col("n_et"))  # IC(e) - PMI(e, t)
     flagged = keep(together.join(terms, "t").join(entities, "e").where(loss <= information * (1 - 1 / ALPHA)).select("e", "t", (F.col("n_t") == F.col("n_et")).alias("only")), "flagged")
-    by_doc = context.join(flagged, ["e", "t"]).groupBy("doc_id", "h", "t").agg(F.bool_or("only").alias("only"))
-    return keep(by_doc.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("t")).alias("terms"), F.array_sort(F.collect_set(F.when(F.col("only"), F.col("t")))).alias("gone")), "disclosing")
+    by_text = holds.select("h", "e").join(flagged, "e").join(texts.select("h", "ts"), "h").where(F.array_contains("ts", F.col("t"))).groupBy("h", "t").agg(F.bool_or("only").alias("only"))
+    return keep(by_text.groupBy("h").agg(F.array_sort(F.collect_set("t")).alias("terms"), F.array_sort(F.collect_set(F.when(F.col("only"), F.col("t")))).alias("gone")), "disclosing")
 
 
 def _found(docs: DataFrame, doc_id: str, text: str, t: str, spans: str, terms: str) -> DataFrame:
@@ -128,7 +127,7 @@ def _found(docs: DataFrame, doc_id: str, text: str, t: str, spans: str, terms: s
     rows = docs.withColumn(t, F.coalesce(F.col(f"`{text}`"), F.lit(""))).withColumn(h, F.xxhash64(F.col(t)))
     slim = rows.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(h).alias("h"), F.col(t).alias("text"))
     told = disclosing_terms(slim.withColumn("spans", base_spans(F.col("text"))))
-    joined = rows.join(told, rows[f"`{doc_id}`"].eqNullSafe(told["doc_id"]) & (rows[h] == told["h"]), "left")
+    joined = rows.join(told, rows[h] == told["h"], "left")
     pattern = F.concat(F.lit("(?<!\\p{L})(?:"), F.array_join(told["terms"], "|"), F.lit(")(?!\\p{L})"))
     own = F.when(told["terms"].isNotNull(), F.transform(located(F.col(t), pattern, "term"), lambda s: F.struct(F.when(F.array_contains(told["gone"], s["value"]), "gone").otherwise("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))).otherwise(F.array().cast(_SPAN))
     return joined.select(*[rows[f"`{c}`"] for c in docs.columns], rows[t], base_spans(rows[t]).alias(spans), own.alias(terms))

@@ -203,6 +203,19 @@ def test_disclosing_terms_and_sanitised_texts(spark):
     assert all(texts[k] == rows[k][1] for k in range(80))
 
 
+def test_terms_disclose_far_off_and_in_two_texts(spark):
+    rng = random.Random(14)
+    common = ["plain", "words", "about", "nothing", "much", "that", "many", "texts", "hold"]
+
+    def filler():
+        return " ".join(rng.choice(common) for _ in range(60))
+
+    texts = [filler() for _ in range(80)] + [f"Lee {filler()} rare@corp.example {filler()}" for _ in range(2)] + [f"{filler()} once@corp.example Single"]
+    found = {r.doc_id: {(s.kind, s.value) for s in r.terms} for r in pii.find(frame(spark, [(k, t, *[None] * 8) for k, t in enumerate(texts)])).collect()}
+    assert [found[k] for k in (80, 81, 82)] == [{("gone", "Lee")}, {("gone", "Lee")}, set()]
+    assert not any(found[k] for k in range(80))
+
+
 def test_languages_of_awkward_rows(spark):
     rng = random.Random(9)
     say = {"en": "the house and they were with that thing which would".split(), "de": "das Haus und sie waren mit dem Ding welches würde".split()}
