@@ -21,14 +21,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomfield.llm.common import fresh, frugal, keep, utf8
 
-#: Most labelled texts that the text model is fitted on, chosen by their hash.
+#: Labelled texts that the text model is fitted on, chosen by their hash in every language.
 TRAIN_ROWS = 2000
+#: Fewest texts of a language, where it has so many, and fewest that its share of hashes aims at.
+LEAST_ROWS, FEW = 20, 200
 _SHARES = 1 << 30
 #: Weight of earlier levels in a host's prior, in rows.
 STRENGTH = 20.0
@@ -55,10 +57,22 @@ def word_grams(word: str) -> Iterator[str]:
 def train(docs: DataFrame, text: str = "text", label: str = "lang", rows: int = TRAIN_ROWS) -> TextModel:
     """n-gram frequencies by language over a bounded sample; the counts collected are bounded by it too."""
     labelled = docs.select(F.lower(F.trim(F.col(f"`{label}`"))).alias("lang"), F.col(f"`{text}`").alias("text")).where("lang <> ''")
-    # the hash lets about as many rows through as are wanted, so that only those are shuffled; copies are one
-    share = min(_SHARES, -(-2 * rows * _SHARES // max(1, labelled.select("lang").count())))
-    hashed = labelled.where("text is not null").withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(_SHARES)) < share)
-    sample = hashed.groupBy("h", "lang").agg(F.min("text").alias("text")).orderBy("h", "lang").limit(rows).select("lang", "text")
+    hashed = labelled.where("text is not null").withColumn("h", F.xxhash64("text"))
+    # each language has its part of the rows; by distinct texts, the hash lets about twice as many through, so that
+    # only those are shuffled, and all of a language with few
+    sizes = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    total = sum(sizes.values())
+    parts = {lang: max(LEAST_ROWS, -(-rows * n // max(1, total))) for lang, n in sizes.items()}
+    shares = {lang: min(_SHARES, -(-2 * max(parts[lang], FEW) * _SHARES // max(1, n))) for lang, n in sizes.items()}
+    if not sizes:
+        hashed, shares, parts = hashed.limit(0), {"": 0}, {"": 0}
+
+    def of(table: dict[str, int]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.col("lang"))
+
+    some = hashed.where(F.pmod("h", F.lit(_SHARES)) < of(shares)).groupBy("h", "lang").agg(F.min("text").alias("text"))
+    ranked = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    sample = ranked.where(F.col("k") <= of(parts)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}

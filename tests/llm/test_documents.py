@@ -233,6 +233,16 @@ def test_languages_of_awkward_rows(spark):
     assert [r.language for r in langid.identify(frame(spark, unlabelled)).collect()] == ["und"]
 
 
+def test_languages_of_few_texts_with_many_copies(spark):
+    say = {"en": "the house and they were with that thing which would", "de": "das Haus und sie waren mit dem Ding welches würde", "fr": "la maison et ils étaient avec cette chose qui serait"}
+    rows = [(k, f"{say[lang]} {k % 3}", lang, None, *[None] * 6) for k in range(9000) for lang in [("en", "de", "fr")[min(2, k % 100)] if k % 100 < 2 else "fr"]]
+    docs = frame(spark, rows)
+    for most in (4, 2000):
+        model = langid.train(docs, rows=most)
+        assert model.languages == ("de", "en", "fr")
+    assert langid.identify(docs).where("not kept").count() == 0
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     train, rest = docs.where("doc_id < 100"), docs.where("doc_id >= 100")
