@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomfield.llm import html_extract, near_vectors, warc
+from loomfield.llm import html_extract, near_vectors, page_templates, warc
 
 PAGE = """<html lang=en><head><title>t</title></head><body><header><h1>Site</h1><a href=/>home</a></header><div id="cookie-notice"><p>We use cookies on this site.</p></div>
 <div class="sidebar"><p>Some side text that is long enough to be seen as prose, really.</p></div><main><article><h1>Title &amp; more</h1>
@@ -23,6 +23,60 @@ def test_main_text():
         html_extract.main_text(bad)
 
 
+def test_class_words_are_no_veto():
+    for html in ('<article class="legal"><p>A legal article about the law.</p></article>', '<article class="share"><p>How to share with others, in short.</p></article>', '<main><article id="search-engines"><h1>Search</h1><p>Engines look for words, and find them.</p></article></main>', '<div class="article banner-free"><p>An article without any banners, at last.</p></div>'):
+        assert html_extract.main_text(html) == "\n".join(b.text for b in html_extract.scan(html)[0]) != ""
+
+
+def extracted(pages, labels_of):
+    """Wrongly labelled blocks and pages without any."""
+    wrong = [int((np.asarray(labels_of(*html_extract.fitted().capacities(b, e)), bool) != z).sum()) for b, e, z in pages]
+    return sum(wrong), wrong.count(0)
+
+
+def test_cut_betters_the_classifier_on_held_out_pages():
+    held_out = html_extract.labelled(page_templates.pages(300, html_extract.FIT_SEED + 1))
+    assert len(held_out) > 250
+    alone, alone_pages = extracted(held_out, lambda scores, links: [s >= 0 for s in scores])
+    cut, cut_pages = extracted(held_out, html_extract.minimum_cut)
+    assert cut < 0.85 * alone and cut_pages > alone_pages
+    assert cut < 0.03 * sum(len(z) for *_, z in held_out)
+
+
+def test_extraction_by_enumeration_of_small_pages():
+    tried = 0
+    for html, said in page_templates.pages(500, 5):
+        blocks, elements = html_extract.scan(html)
+        if len(blocks) > 11:
+            continue
+        tried += 1
+        assert [b.text for b in blocks] == [t for t, _ in said]
+        scores, links = html_extract.fitted().capacities(blocks, elements)
+
+        def cost(labels):
+            return sum(abs(s) for s, x in zip(scores, labels, strict=True) if s and (s > 0) != x) + sum(w for i, j, w in links if labels[i] != labels[j])  # noqa: B023
+
+        least = min(map(cost, itertools.product([False, True], repeat=len(blocks))))
+        found = html_extract.minimum_cut(scores, links)
+        assert cost(found) == least
+        assert html_extract.main_text(html) == "\n".join(b.text for b, x in zip(blocks, found, strict=True) if x)
+    assert tried > 30
+
+
+def test_cut_of_a_long_undecided_page():
+    rng = random.Random(8)
+    scores, links = [rng.randint(-900, 900) for _ in range(20_000)], []
+    for k in range(1, 20_000):
+        links.append((k - 1, k, rng.randint(300, 1500)))
+    found = html_extract.minimum_cut(scores, links)
+    # a chain's least cost by dynamic programming
+    best = [max(0, -scores[0]), max(0, scores[0])]  # cost of content, of boilerplate
+    for k in range(1, 20_000):
+        w = links[k - 1][2]
+        best = [min(best[0], best[1] + w) + max(0, -scores[k]), min(best[1], best[0] + w) + max(0, scores[k])]
+    assert sum(abs(s) for s, x in zip(scores, found, strict=True) if (s > 0) != x and s) + sum(w for i, j, w in links if found[i] != found[j]) == min(best)
+
+
 def test_minimum_cut_by_enumeration():
     rng = random.Random(3)
     for _ in range(200):
