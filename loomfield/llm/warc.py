@@ -4,14 +4,21 @@ Reading plans partitions from file sizes: an uncompressed file is cut into range
 starts at the first record header at or behind its beginning; gzip files are one range each.  Equality
 and IN filters on record type, target address, record id and page id are taken over by the source.  A
 task parses a record's header first; where the filters reject it, or no column needs the payload, it
-seeks over the payload without reading or decoding it.
+seeks over the payload without reading or decoding it.  gzip files are inflated piece by piece, whether
+each record is a member of its own or not, so memory holds one record and unwanted payloads are let go.
+
+Any WARC/1.x archive is read: header names in any case, with or without a blank behind the colon, folded
+lines; the payload of an ``application/http`` block is what follows its HTTP header.  Addresses stay as they
+are written.  Bytes that are no record where one must begin raise an error, so none is lost silently.
 
 Writing makes one archive file per task below the given folder, which all executors must share (the
 folder may be any that pyarrow's file systems reach).  File names hold the task attempt, and only the
 files of committed attempts are listed in the manifest, so retries of lost tasks leave no records behind.
 
 Defined results: a null payload is empty; null page ids and addresses leave their header out and come back
-as null; an empty table gives an archive without records.
+as null; an empty table gives an archive without records.  A revisit names the record of the response it
+refers to; rows that repeat a page id and payload have one record id.  Archives of ours begin with their first
+record, without a ``warcinfo`` record.
 """
 
 from __future__ import annotations
@@ -37,7 +44,13 @@ SCHEMA = "record_id string, record_type string, target_uri string, page_id long,
 _COLUMNS = ("record_id", "record_type", "target_uri", "page_id", "payload_digest", "payload_length", "refers_to", "payload")
 _HEADERS = {"warc-record-id": "record_id", "warc-type": "record_type", "warc-target-uri": "target_uri", "x-page-id": "page_id", "warc-payload-digest": "payload_digest", "x-payload-length": "payload_length", "x-refers-to-page-id": "refers_to"}
 _PUSHED = ("record_id", "record_type", "target_uri", "page_id", "payload_digest")
-_START = b"WARC/1.1\r\n"
+_VERSION = b"WARC/1.1\r\n"
+_START = b"WARC/1."
+_LENGTH = re.compile(rb"(?im)^content-length[ \t]*:[ \t]*(\d+)[ \t]*\r?$")
+#: What a header line can't carry as it is.
+_UNSAFE = re.compile(r"[\x00-\x20\x7f]")
+_PIECE = 1 << 16
+_LONGEST_HEADER = 1 << 20
 _DATE = "2000-01-01T00:00:00Z"
 RANGE_BYTES = 64 << 20
 
@@ -56,25 +69,29 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def record_id(kind: str, page_id: int | None, url: str | None, payload_digest: str) -> str:
+    """A response with a page id is named by both and its payload, so that revisits can name it."""
+    name = f"{kind} {page_id} {payload_digest}" if page_id is not None and kind == "response" else f"{kind} {page_id} {url} {payload_digest}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
 def record(kind: str, page_id: int | None, url: str | None, payload: bytes | None, payload_digest: str, payload_length: int, refers_to: int | None) -> bytes:
     """One record; a revisit has no block, but says the full payload's digest and length."""
     block = b"" if kind == "revisit" else payload or b""
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{kind} {page_id} {url} {payload_digest}")
-    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {_DATE}", f"WARC-Payload-Digest: sha1:{payload_digest}", f"X-Payload-Length: {payload_length}"]
+    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(kind, page_id, url, payload_digest)}", f"WARC-Date: {_DATE}", f"WARC-Payload-Digest: sha1:{payload_digest}", f"X-Payload-Length: {payload_length}"]
     if url is not None:
-        lines.append(f"WARC-Target-URI: {quote(url, safe=_SAFE)}")
+        if not url or _UNSAFE.search(url):
+            lines += [f"WARC-Target-URI: {quote(url, safe='')}", "X-Target-URI-Quoted: true"]
+        else:
+            lines.append(f"WARC-Target-URI: {url}")
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if kind == "revisit":
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         if refers_to is not None:
-            lines.append(f"X-Refers-To-Page-ID: {refers_to}")
+            lines += [f"WARC-Refers-To: {record_id('response', refers_to, None, payload_digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
     lines.append(f"Content-Length: {len(block)}")
-    return _START + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
-
-
-# all of ASCII but white space, control characters and the per cent sign, so that addresses come back as they were
-_SAFE = "".join(chr(c) for c in range(33, 127) if chr(c) != "%")
+    return _VERSION + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 @dataclass
@@ -148,59 +165,146 @@ class WarcReader(DataSourceReader):
             yield from self._compressed(system, partition)
             return
         with system.open_input_file(partition.path) as f:
-            at = _seek_record(f, partition.start)
+            at, size = _seek_record(f, partition.start), f.size()
             while at is not None and at < partition.end:
                 head, body = _header_at(f, at)
                 row, length = self._row(head)
                 if row is not None and "payload" in self.columns:
                     f.seek(body)
-                    row["payload"] = f.read(length)
+                    _fill(row, head, f.read(length))
                 at = body + length + 4
+                if at - 4 > size:
+                    raise ValueError(f"{partition.path}: the record before {at} is cut off")
                 if row is not None:
                     yield row
+            # the record that begins behind the range must be where the next range finds it
+            if at is not None and at < size and not _believed(f, at):
+                raise ValueError(f"{partition.path}: no record at {at}")
 
     def _compressed(self, system, partition: FileRange) -> Iterator[dict]:
         with system.open_input_stream(partition.path, compression=None) as f:
-            data = f.read()
-        while data:
-            stream = zlib.decompressobj(31)
-            head, rest = b"", data
-            while b"\r\n\r\n" not in head and rest:
-                head += stream.decompress(rest, 4096)
-                rest = stream.unconsumed_tail
-            body = head.index(b"\r\n\r\n") + 4
-            row, length = self._row(head[:body])
-            payload = head[body:]
-            # the end of a member is only found by inflating it; an unwanted payload is let go piece by piece
-            while not stream.eof:
-                more = stream.decompress(rest, 1 << 16)
-                rest = stream.unconsumed_tail
+            stream = Inflated(f)
+            while (head := stream.header()) is not None:
+                if not head.startswith(_START):
+                    raise ValueError(f"{partition.path}: no record at {stream.at - len(head)} of the inflated bytes")
+                row, length = self._row(head)
+                if row is not None and "payload" in self.columns:
+                    _fill(row, head, stream.take(length))
+                else:
+                    stream.skip(length)
+                stream.skip(4, whole=False)
                 if row is not None:
-                    payload += more
-                if not more and not rest:
-                    break
-            data = stream.unused_data
-            if row is not None:
-                row["payload"] = payload[:length]
-                yield row
+                    yield row
 
     def _row(self, head: bytes) -> tuple[dict | None, int]:
         row: dict = dict.fromkeys(_COLUMNS)
-        length = 0
-        for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(": ")
-            name = name.lower()
-            if name == "content-length":
-                length = int(value)
-            elif name in _HEADERS:
-                row[_HEADERS[name]] = value
+        said = headers(head)
+        for name, column in _HEADERS.items():
+            row[column] = said.get(name)
         for c in ("page_id", "payload_length", "refers_to"):
-            row[c] = int(row[c]) if row[c] is not None else None
-        if row["target_uri"] is not None:
+            row[c] = int(row[c]) if row[c] is not None and re.fullmatch(r"-?\d+", row[c]) else None
+        if row["target_uri"] is not None and said.get("x-target-uri-quoted") == "true":
             row["target_uri"] = unquote(row["target_uri"])
         if row["payload_digest"] is not None:
             row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
-        return (row if all(row[k] in v for k, v in self.wanted.items()) else None), length
+        if "content-length" not in said:
+            raise ValueError(f"a record has no length: {head[:200]!r}")
+        # of an HTTP block only reading it would tell
+        if row["payload_length"] is None and not _is_http(said):
+            row["payload_length"] = int(said["content-length"])
+        return (row if all(row[k] in v for k, v in self.wanted.items()) else None), int(said["content-length"])
+
+
+def headers(head: bytes) -> dict[str, str]:
+    """Header values by lower-case name; a line that begins with a blank continues the one before, the first of equal names counts."""
+    found: dict[str, str] = {}
+    name = ""
+    for line in re.split("\r?\n", head.decode("utf-8", "replace"))[1:]:
+        if line[:1] in (" ", "\t") and name:
+            found[name] += " " + line.strip()
+        elif ":" in line:
+            key, _, value = line.partition(":")
+            name = key.strip().lower()
+            if name in found:
+                name = ""
+            else:
+                found[name] = value.strip()
+    return found
+
+
+def _fill(row: dict, head: bytes, block: bytes) -> None:
+    if _is_http(headers(head)):
+        block = block[block.find(b"\r\n\r\n") + 4 :] if b"\r\n\r\n" in block else b""
+    row["payload"] = block
+
+
+def _is_http(said: dict[str, str]) -> bool:
+    return said.get("content-type", "").lower().startswith("application/http")
+
+
+class Inflated:
+    """The bytes of a gzip file's members, one after another, inflated piece by piece."""
+
+    def __init__(self, f):
+        self.f, self.raw, self.held, self.at = f, b"", bytearray(), 0
+        self.z, self.open = zlib.decompressobj(31), False
+
+    def _more(self) -> bool:
+        """Hold some more bytes; false at the end."""
+        while True:
+            if not self.raw:
+                self.raw = self.f.read(_PIECE)
+            if not self.raw:
+                # what zlib itself still holds back
+                out = self.z.decompress(b"", _PIECE) if self.open else b""
+                if self.open and not out and not self.z.eof:
+                    raise ValueError("a gzip member is cut off")
+                self.held += out
+                self.open = self.open and not self.z.eof
+                return bool(out)
+            if not self.open:
+                self.raw = self.raw.lstrip(b"\0")  # padding between members
+                if not self.raw:
+                    continue
+                self.z, self.open = zlib.decompressobj(31), True
+            out = self.z.decompress(self.raw, _PIECE)
+            self.raw = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+            self.open = not self.z.eof
+            if out:
+                self.held += out
+                return True
+
+    def header(self) -> bytes | None:
+        """Up to the empty line; null at the end of the file."""
+        tried = 0
+        while (end := self.held.find(b"\r\n\r\n", max(0, tried - 3))) < 0:
+            tried = len(self.held)
+            if tried > _LONGEST_HEADER or not self._more():
+                if self.held.strip():
+                    raise ValueError(f"no complete record header at {self.at} of the inflated bytes")
+                return None
+        return self.take(end + 4)
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n and self._more():
+            pass
+        if len(self.held) < n:
+            raise ValueError(f"the record at {self.at} of the inflated bytes is cut off")
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        self.at += n
+        return out
+
+    def skip(self, n: int, whole: bool = True) -> None:
+        while n:
+            if not self.held and not self._more():
+                if whole:
+                    raise ValueError(f"the record at {self.at} of the inflated bytes is cut off")
+                return
+            part = min(n, len(self.held))
+            del self.held[:part]
+            self.at += part
+            n -= part
 
 
 def _header_at(f, at: int) -> tuple[bytes, int]:
@@ -209,9 +313,11 @@ def _header_at(f, at: int) -> tuple[bytes, int]:
     head = f.read(2048)
     while (end := head.find(b"\r\n\r\n")) < 0:
         more = f.read(1 << 14)
-        if not more:
+        if not more or len(head) > _LONGEST_HEADER:
             raise ValueError(f"no complete record header at {at}")
         head += more
+    if not head.startswith(_START):
+        raise ValueError(f"no record at {at}")
     return head[: end + 4], at + end + 4
 
 
@@ -247,12 +353,12 @@ def _believed(f, at: int) -> bool:
             head, body = _header_at(f, at)
         except ValueError:
             return False
-        m = re.search(rb"\r\nContent-Length: (\d+)\r\n", head)
-        if not head.startswith(_START) or not m or b"WARC-Record-ID:" not in head:
+        m = _LENGTH.search(head)
+        if not m or b"warc-record-id" not in head.lower():
             return False
         at = body + int(m[1]) + 4
         if at >= f.size():
-            return at == f.size()
+            return at - 4 <= f.size()
     return True
 
 

@@ -1,13 +1,17 @@
 import base64
+import gzip
 import hashlib
 import itertools
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomfield.llm import html_extract, near_vectors, page_templates, warc
+from loomfield.llm.common import scratch_path
 
 PAGE = """<html lang=en><head><title>t</title></head><body><header><h1>Site</h1><a href=/>home</a></header><div id="cookie-notice"><p>We use cookies on this site.</p></div>
 <div class="sidebar"><p>Some side text that is long enough to be seen as prose, really.</p></div><main><article><h1>Title &amp; more</h1>
@@ -131,6 +135,74 @@ def test_ranges_filters_and_columns(spark, tmp_path, compression):
     assert [type(f).__name__ for f in left] == ["GreaterThan"] and reader.wanted == {"record_type": {"response"}}
 
 
+def foreign(k, version="1.0", colon=": ", body=None, extra=()):
+    body = f"payload {k} {'y' * (k * 37 % 300)}".encode() if body is None else body
+    lines = [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{k}>"), ("WARC-Date", "2001-01-01T00:00:00Z"), ("WARC-Target-URI", f"http://h/a%2Fb?{k}"), *extra, ("Content-Length", str(len(body)))]
+    return f"WARC/{version}\r\n".encode() + "".join(f"{n}{colon}{v}\r\n" for n, v in lines).encode() + b"\r\n" + body + b"\r\n\r\n"
+
+
+def read_all(path, size=1000, columns=warc._COLUMNS):
+    reader = warc.WarcReader({"path": f"file://{path}", "rangebytes": str(size)}, columns)
+    return [row for part in reader.partitions() for batch in reader.read(part) for row in batch.to_pylist()]
+
+
+@pytest.mark.parametrize("version", ["1.0", "1.1"])
+@pytest.mark.parametrize("colon", [": ", ":", " :\t"])
+def test_foreign_archives_in_small_ranges(tmp_path, version, colon):
+    path = tmp_path / "a.warc"
+    path.write_bytes(b"".join(foreign(k, version, colon if k % 3 else ": ") for k in range(200)))
+    for size in (300, 4321, 1 << 20):
+        rows = read_all(path, size)
+        assert [r["record_id"] for r in rows] == [f"<urn:uuid:{k}>" for k in range(200)]
+        assert all(r["target_uri"] == f"http://h/a%2Fb?{k}" and r["payload_length"] == len(r["payload"]) and r["record_type"] == "response" for k, r in enumerate(rows))
+    assert [r["payload_length"] for r in read_all(path, 700, ("payload_length",))] == [len(r["payload"]) for r in rows]
+
+
+def test_http_blocks_and_folded_lines(tmp_path):
+    path = tmp_path / "a.warc"
+    path.write_bytes(foreign(1, body=b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>x\r\n\r\ny", extra=[("Content-Type", "application/http;\r\n msgtype=response"), ("WARC-Payload-Digest", "sha1:ABC")]) + foreign(2))
+    rows = read_all(path)
+    assert [r["payload"] for r in rows] == [b"<p>x\r\n\r\ny", foreign(2).split(b"\r\n\r\n")[1]] and rows[0]["payload_digest"] == "ABC"
+
+
+def test_broken_archives_raise(tmp_path):
+    whole = [foreign(k) for k in range(40)]
+    for name, data in (("junk", b"".join(whole[:20]) + b"junk" + b"".join(whole[20:])), ("short", b"".join(whole)[:-60]), ("other", b"nothing of the kind" * 100), ("no length", whole[0].replace(b"Content-Length", b"Content-Lengte"))):
+        (tmp_path / f"{name}.warc").write_bytes(data)
+        with pytest.raises(ValueError):
+            read_all(tmp_path / f"{name}.warc", 1000)
+        (tmp_path / f"{name}.warc.gz").write_bytes(gzip.compress(data))
+        with pytest.raises(ValueError):
+            read_all(tmp_path / f"{name}.warc.gz")
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(b"".join(whole))[:-300])
+    with pytest.raises(ValueError):
+        read_all(tmp_path / "cut.warc.gz")
+
+
+def test_gzip_members_in_linear_time(tmp_path):
+    took = []
+    for n in (3000, 24_000):
+        path = tmp_path / f"{n}.warc.gz"
+        path.write_bytes(b"".join(gzip.compress(foreign(k)) for k in range(n)))
+        began = time.perf_counter()
+        assert len(read_all(path, columns=("record_id",))) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * 2.5 * took[0]
+    path = tmp_path / "one.warc.gz"
+    path.write_bytes(gzip.compress(b"".join(foreign(k) for k in range(500)) + foreign(500, body=b"z" * 3_000_000)))
+    rows = read_all(path)
+    assert [r["record_id"] for r in rows] == [f"<urn:uuid:{k}>" for k in range(501)] and len(rows[-1]["payload"]) == 3_000_000
+
+
+def test_revisits_name_the_record_they_refer_to(spark):
+    rows = [(5, "u", "same", None, None), (3, "v w\n", "same", None, None), (4, "", "same", None, None)]
+    path = warc.write(warc.with_revisits(spark.createDataFrame(rows, PAGES)), scratch_path(spark, "warc"))
+    found = {r.page_id: r for r in warc.read(spark, path).collect()}
+    assert {k: r.target_uri for k, r in found.items()} == {5: "u", 3: "v w\n", 4: ""}
+    text = b"".join(p.read_bytes() for p in Path(path.removeprefix("file://")).glob("*.warc")).decode()
+    assert text.count(f"WARC-Refers-To: {found[3].record_id}\r\n") == 2
+
+
 def plain_links(rows):
     ok = {}
     for k, (vec_id, v) in enumerate(rows):
