@@ -2,9 +2,14 @@
 
 Every distinct text is sketched by ``BANDS`` bands of ``ROWS`` least hashes; a pair at 0.8 shares none with a
 chance of (1 - 0.8^4)^20, three in 100,000.  Texts that share a band are candidates, and every link is verified
-on the whole shingle sets.  A band of many texts is compared with its least text first; after components are
-known, only texts that aren't in the component of that text meet the others, in every pair that would join two
-components.  So a group of near copies costs no more than its rows, and no pair is left out by size.
+on the whole shingle sets.
+
+A band's texts are compared with its head first, the text that shares most bands with others, which is the
+original in a group of near copies.  After components are known, only texts that aren't in the head's component
+meet the others, in every pair that would join two components: directly in bands of up to ``MOST`` texts.  In
+larger ones, where that would grow with the square of the group, candidates come from the texts' rarest shingles
+(prefix and positional filter): two sets at 0.8 must share one of the rarest fifth of each, so passages that
+many texts share make no pairs, and no link is left out by size.
 
 Defined results: words as in ``simhash``; fewer than five words make one shingle; texts without words link nothing.
 """
@@ -16,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.llm.common import frugal, keep, utf8
@@ -25,6 +30,8 @@ from loomfield.llm.graph import connected_components
 WIDTH, BANDS, ROWS = 5, 20, 4
 #: The least similarity, as a fraction.
 OVER, UNDER = 4, 5
+#: Texts of a band whose pairs are compared directly.
+MOST = 64
 _CACHE = 300_000
 _CHUNK = 4096
 _ODD = np.random.default_rng(11).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,26 +107,51 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, own = Hashes(), None, None
-        for batch in batches:
-            keep_ = []
-            for t, x, y in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), utf8(batch.column(2)), strict=True):
-                if t != last:
-                    last, own = t, hashes.shingles(x)
-                keep_.append(similar(own, hashes.shingles(y)))
-            yield batch.filter(pa.array(keep_, pa.bool_())).select([3, 4])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):  # so that few texts are Python objects at once
+                batch, keep_ = whole.slice(k, 256), []
+                for t, x, y in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), utf8(batch.column(2)), strict=True):
+                    if t != last:
+                        last, own = t, hashes.shingles(x)
+                    keep_.append(similar(own, hashes.shingles(y)))
+                yield batch.filter(pa.array(keep_, pa.bool_())).select([3, 4])
 
     return pairs.join(left, "ta").join(right, "tb").select("ta", "xa", "xb", "a", "b").mapInArrow(frugal(run), "a long, b long")
 
 
+def rare_shingles(texts: DataFrame) -> DataFrame:
+    """(key, t, c, size, at) of ``texts`` (t, c, text): of each set the rarest shingles that two texts hold, up to
+    a fifth of the set and one, with the size of the set and the shingle's place from the rarest on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                sets = [hashes.shingles(x or b"").view(np.int64) for x in utf8(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("t"), part.column("c"), pa.array(sets, pa.list_(pa.int64()))], names=["t", "c", "s"])
+
+    sets = keep(texts.select("t", "c", "text").mapInArrow(frugal(run), "t long, c long, s array<long>"), "sets")
+    each = sets.select("t", "c", F.size("s").alias("size"), F.explode("s").alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    mine = each.join(shared, "key").groupBy("t", "c", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("s"))
+    first = F.col("size") - F.size("s")  # shingles of one text come before all others
+    length = F.col("size") - F.ceil(F.col("size") * OVER / UNDER) + 1 - first
+    rows = mine.where(length > 0).select("t", "c", "size", first.alias("first"), F.posexplode(F.slice("s", F.lit(1), length.cast("int"))).alias("at", "s"))
+    return rows.select(F.col("s.key").alias("key"), "t", "c", "size", (F.col("first") + F.col("at")).alias("at"))
+
+
+def _near(x: str, y: str) -> Column:
+    """Whether sets that have no common shingle before the places of this one can be similar."""
+    most = F.least(F.col(f"{x}.size") - F.col(f"{x}.at"), F.col(f"{y}.size") - F.col(f"{y}.at"))
+    return most * (OVER + UNDER) >= (F.col(f"{x}.size") + F.col(f"{y}.size")) * OVER
+
+
 def edges(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(a, b) links of classes that, with the ``known`` ones, keep the components of similar texts together.
 
     ``docs`` has (c, t, text): a class of rows that are one anyway, the hash of the text, and the text.
     """
-    sketched = keep(with_bands(docs).groupBy("t").agg(F.min("c").alias("c"), F.first("bands").alias("bands")), "sketches")
-    dealt = sketched.select("t", "c", F.explode("bands").alias("key"))
-    heads = dealt.groupBy("key").agg(F.min(F.struct("t", "c")).alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    members = keep(dealt.join(heads, "key"), "bands")
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         pairs = keep(pairs.distinct(), f"{name}-pairs")
@@ -127,12 +159,41 @@ def edges(docs: DataFrame, known: DataFrame) -> DataFrame:
         texts = keep(docs.join(wanted, "t", "left_semi").groupBy("t").agg(F.min("text").alias("text")), f"{name}-texts")
         return keep(verified(pairs, texts), name)
 
-    first = checked(members.where("c <> head.c").select(F.col("head.t").alias("ta"), F.col("t").alias("tb"), F.col("head.c").alias("a"), F.col("c").alias("b")), "first")
-    roots = keep(connected_components(known.unionByName(first)), "roots")
-    rooted = members.join(roots.select(F.col("node").alias("c"), "component"), "c", "left").select("key", "t", "c", "head", F.coalesce("component", "c").alias("r"))
-    rooted = rooted.join(roots.select(F.col("node").alias("hc"), F.col("component").alias("hr")), F.col("head.c") == F.col("hc"), "left")
-    rooted = keep(rooted.select("key", "t", "c", "r", F.col("head.t").alias("head"), (F.col("r") != F.coalesce("hr", "head.c")).alias("apart")), "rooted")
-    apart = rooted.where("apart").select("key", F.col("t").alias("ta"), F.col("c").alias("a"), F.col("r").alias("ra"))
-    others = rooted.where("t <> head").select("key", F.col("t").alias("tb"), F.col("c").alias("b"), F.col("r").alias("rb"), F.col("apart").alias("also"))
-    second = checked(apart.join(others, "key").where("ra <> rb and (not also or ta < tb)").select("ta", "tb", "a", "b"), "second")
-    return first.unionByName(second)
+    def meet(rows: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """``links`` with those to the heads of groups, and the groups' rows with their components.
+
+        ``rows`` has (key, m), m being (t, c, size, at); only keys of several texts stay.
+        """
+        shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        members = keep(rows.join(shared, "key"), f"{name}-members")
+        weights = members.groupBy(F.col("m.t").alias("t")).agg(F.sum("n").alias("w"))
+        weighted = members.join(weights, members.m.t == weights.t).select("key", "n", "m", "w")
+        heads = weighted.groupBy("key").agg(F.max_by("m", F.struct("w", F.col("m.t"))).alias("head"))
+        headed = keep(members.join(heads, "key"), f"{name}-headed")
+        pairs = headed.where("m.c <> head.c").where(_near("m", "head"))
+        links = keep(links.unionByName(checked(pairs.select(F.col("head.t").alias("ta"), F.col("m.t").alias("tb"), F.col("head.c").alias("a"), F.col("m.c").alias("b")), f"{name}-heads")), f"{name}-links")
+        roots = keep(connected_components(links), f"{name}-roots")
+        mine, its = roots.select(F.col("node").alias("mc"), F.col("component").alias("mr")), roots.select(F.col("node").alias("hc"), F.col("component").alias("hr"))
+        rooted = headed.join(mine, F.col("m.c") == F.col("mc"), "left").join(its, F.col("head.c") == F.col("hc"), "left")
+        r = F.coalesce("mr", "m.c")
+        return links, keep(rooted.select("key", "n", "m", r.alias("r"), (r != F.coalesce("hr", "head.c")).alias("apart")), f"{name}-rooted")
+
+    def rest(rooted: DataFrame, name: str) -> DataFrame:
+        """The links between texts of one group that join components; those within the head's component aren't looked at."""
+        x = rooted.where("apart").select("key", F.col("m").alias("x"), F.col("r").alias("rx"))
+        y = rooted.select("key", F.col("m").alias("y"), F.col("r").alias("ry"), F.col("apart").alias("also"))
+        pairs = x.join(y, "key").where("rx <> ry and (not also or x.t < y.t)").where(_near("x", "y"))
+        return checked(pairs.select(F.col("x.t").alias("ta"), F.col("y.t").alias("tb"), F.col("x.c").alias("a"), F.col("y.c").alias("b")), name)
+
+    sketched = keep(with_bands(docs).groupBy("t").agg(F.min("c").alias("c"), F.first("bands").alias("bands")), "sketches")
+    whole = F.struct("t", "c", F.lit(1).alias("size"), F.lit(0).alias("at"))  # bands tell nothing of places
+    links, rooted = meet(sketched.select(whole.alias("m"), F.explode("bands").alias("key")), known, "bands")
+    out = links.unionByName(rest(rooted.where(F.col("n") <= MOST), "pairs"))
+    large = rooted.where(F.col("n") > MOST)
+    left = keep(large.join(large.where("apart").select("key").distinct(), "key", "left_semi").select("m.t", "m.c").distinct(), "left")
+    if left.isEmpty():
+        return out
+    texts = docs.select("t", "text").join(left, "t").groupBy("t", "c").agg(F.min("text").alias("text"))
+    rows = rare_shingles(texts).select("key", F.struct("t", "c", "size", "at").alias("m"))
+    links, rooted = meet(rows, keep(out, "out"), "rare")
+    return links.unionByName(rest(rooted, "rare-pairs"))

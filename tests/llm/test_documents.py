@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import xxhash
 from data import documents, frame
 
-from loomfield.llm import graph, langid, pii, quality, simhash
+from loomfield.llm import graph, langid, pii, quality, shingles, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -112,6 +112,32 @@ def test_deduplicate_links_similar_shingles(spark):
     assert found < {r.doc_id for r in simhash.deduplicate(docs).collect()}
 
 
+def test_large_bands_lose_no_link(spark, monkeypatch):
+    rng = random.Random(21)
+    base = [f"w{rng.randint(0, 3000)}" for _ in range(120)]
+    texts = [" ".join(base)]
+    for _ in range(160):
+        new = list(base)
+        for k in rng.sample(range(120), rng.choice((0, 1, 2, 3, 4, 6, 9, 14))):
+            new[k] = f"x{rng.randint(0, 40)}"
+        texts.append(" ".join(new))
+    # texts that share a passage and little else, and pairs of near copies among them
+    for _ in range(60):
+        own = [f"y{rng.randint(0, 10**6)}" for _ in range(60)]
+        texts += [" ".join([*base[:90], *own]), " ".join([*base[:90], *own[:-2], "z"])]
+    texts = sorted(set(texts))
+    rng.shuffle(texts)
+    sets = [plain_shingles(t) for t in texts]
+    want = plain_components(range(len(texts)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "c long, t long, text string")
+    none = spark.createDataFrame([], "a long, b long")
+    for most in (64, 8, 1):
+        monkeypatch.setattr(shingles, "MOST", most)
+        roots = {r.node: r.component for r in graph.connected_components(shingles.edges(docs, none)).collect()}
+        assert {k: roots.get(k, k) for k in range(len(texts))} == want
+    assert 20 < len(set(want.values())) < len(texts) - 50
+
+
 def plain_quality(text):
     w = WORD.findall(text or "")
     seen, dup = set(), 0
