@@ -34,7 +34,7 @@ OVER, UNDER = 4, 5
 MOST = 64
 _CACHE = 300_000
 _CHUNK = 4096
-_ODD = np.random.default_rng(11).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -72,11 +72,11 @@ def bands_of(shingles: np.ndarray) -> list[int]:
         return []
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(shingles), _CHUNK):
-        h = shingles[a : a + _CHUNK, None] * _ODD[0]
-        least = np.minimum(least, _mixed(h + _ODD[1]).min(axis=0))
+        # the hashes are mixed already, so multiplying by odd numbers orders them anew
+        least = np.minimum(least, (shingles[a : a + _CHUNK, None] * _ODD).min(axis=0))
     out = np.arange(BANDS, dtype=np.uint64)
     for row in least.reshape(BANDS, ROWS).T:
-        out = _mixed(out * _ODD[1][0] + row)
+        out = _mixed(out * _ODD[0] + row)
     return out.view(np.int64).tolist()
 
 
