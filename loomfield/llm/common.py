@@ -1,17 +1,16 @@
-"""Shared helpers of the training-data operators: inputs, shared scratch space, Arrow mapping."""
+"""Shared helpers of the training-data operators: inputs, shared scratch space, Arrow workers."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: ASCII white space as the contracts define it: words are maximal runs of anything else.
 WORD_SEPARATORS = " \t\n\x0b\x0c\r"
@@ -22,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where the session has none."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a local session without one has one of its own."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
     sc = spark.sparkContext
     if (have := sc._jsc.sc().getCheckpointDir()).isDefined():
         return have.get()
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(own := "file://" + tempfile.mkdtemp(prefix="loomfield-"))
     return own
 
@@ -37,16 +38,50 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables written by ``keep`` and not deleted yet, by application.
+_KEPT: dict[str, list[str]] = {}
+
+
 def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, has true sizes.
 
-    Spark decides on broadcasting the reread table from the size of its files.
+    Spark decides on broadcasting the reread table from the size of its files.  ``release`` deletes it.
     """
     spark = df.sparkSession
-    df.write.parquet(path := scratch_path(spark, name))
+    path = scratch_path(spark, name)
+    _KEPT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *still: DataFrame) -> None:
+    """Delete the tables ``keep`` has written in this application, but for those that ``still`` reads.
+
+    For use once results that are computed from them have been written.
+    """
+    files = [f for df in still for f in df.inputFiles()]
+    mine = _KEPT.get(spark.sparkContext.applicationId, [])
+    gone = [p for p in mine if not any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files)]
+    for path in gone:
+        delete(spark, path)
+    _KEPT[spark.sparkContext.applicationId] = [p for p in mine if p not in gone]
+
+
+def drop(df: DataFrame) -> None:
+    """Delete one table that ``keep`` has written, when what is computed from it has been written as well."""
+    spark = df.sparkSession
+    names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+    mine = _KEPT.get(spark.sparkContext.applicationId, [])
+    for path in [p for p in mine if p.rsplit("/", 1)[-1] in names]:
+        delete(spark, path)
+        mine.remove(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, so that inputs may bring any extra columns."""
     taken = {c.lower() for c in df.columns}
@@ -57,27 +92,6 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def map_arrow(
-    df: DataFrame,
-    function: Callable[[pa.RecordBatch], Iterator[dict]],
-    schema: T.StructType,
-) -> DataFrame:
-    """``mapInArrow`` with a function from a batch to column dictionaries."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for columns in function(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for x, f in zip((columns[n] for n in arrow.names), arrow, strict=True)],
-                    schema=arrow,
-                )
-
-    return df.mapInArrow(run, schema)
-
-
 def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run``, after which a worker that waits for its next task gives free memory back to the system."""
 
@@ -94,6 +108,3 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     """A string column's UTF-8 bytes without decoding them."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
-
-def null_safe_text(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))

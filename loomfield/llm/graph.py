@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import keep
+from loomfield.llm.common import drop, keep
 
 #: So many edges at most are finished by one task; more go through further rounds.
 ONE_TASK_EDGES = 10_000
@@ -76,7 +76,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     pairs = keep(_stars(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("hi") != F.col("lo")))), "edges")
     before = _size(pairs)
     while before[0] > ONE_TASK_EDGES:
-        pairs = keep(_round(pairs), "edges")
+        pairs, last = keep(_round(pairs), "edges"), pairs
+        drop(last)
         after = _size(pairs)
         if after == before:
             break
