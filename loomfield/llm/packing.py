@@ -1,8 +1,9 @@
 """Packing of tokenised documents by first-fit decreasing with a tournament tree of bin capacities.
 
 Documents are cut into pieces of at most ``capacity`` ids where they are tokenised, pieces go to
-randomised groups of bounded expected size, and every group is packed alone.  Group choice hashes a
-piece's place, so that no document, source or copy can make a group large, and a retry gives the same.
+randomised groups of bounded expected size, and every group is packed alone.  Group choice hashes a piece's
+row number in the kept table of pieces, so that nothing pieces have in common, be it the document, a null id or
+being copies, can make a group large, and a retry gives the same.
 
 Defined results: a null or empty text is a document of the end id alone; ties are broken by document
 and start; repeated rows are packed as often as they come; an empty table gives no pieces.
@@ -28,6 +29,7 @@ GROUP_PIECES = 8192
 #: Bytes of text whose distinct parts are encoded together, words in one call of the library, texts put together at once.
 SLICE_BYTES, _TOGETHER, _TEXTS = 24 << 20, 20_000, 500
 _MARKS = ".,;:!?#*$%&|>()\""
+_PROBES = ("The Quick brown\tfox, JUMPED over\n\nthe lazy dog... (twice!)", "naïve ÉTÉ, 漢字 🙂 a1b2 3.14 don't x_y state-of-the-art #tag $5 50% a|b <b>", " \x0b\x0c\r  ", "Supercalifragilistic; word: word? word\"", "ß İstanbul ﬁne e\u0301té")
 
 
 class WordIds:
@@ -35,6 +37,8 @@ class WordIds:
 
     The tokenizer drops white space and no pre-token crosses it, so a text's ids are those of its parts
     in order.  The distinct parts of a slice of texts are encoded once, and texts gather them by position.
+    That a tokenizer is of this kind (case doesn't matter, marks are pre-tokens, words end in ``</w>``) is tried
+    on ``_PROBES``; another one raises an error.
     """
 
     def __init__(self, path: str):
@@ -45,6 +49,9 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        for probe, found in zip(_PROBES, self.encode([x.encode() for x in _PROBES]), strict=True):
+            if found != self.each([probe])[0].tobytes():
+                raise ValueError(f"{path}: texts' ids aren't those of their parts between white space ({probe!r})")
 
     def each(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -184,7 +191,8 @@ def first_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = ("doc_id", "start"), group_pieces: int = GROUP_PIECES, seed: int = 17) -> DataFrame:
-    """``pieces`` with sequence_id and offset; all other columns stay.  ``pieces`` should be a kept table."""
+    """``pieces`` with sequence_id and offset; all other columns stay.  ``pieces`` must be a written table, whose
+    rows have the same numbers each time it is read."""
     groups = max(1, -(-pieces.count() // group_pieces))
     g = fresh(pieces, "group")
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType(), False), T.StructField("offset", T.LongType(), False)])
@@ -196,14 +204,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", or
         first = key[0].as_py() << 32
         return group.append_column("sequence_id", pa.array([first + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    dealt = pieces.withColumn(g, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in order], F.lit(seed)), F.lit(groups)))
+    dealt = pieces.withColumn(g, F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)))
     return dealt.groupBy(g).applyInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Packed pieces with the CRC-32 of their ids in place of the ids, which ``tokenise`` gives again."""
-    pieces = tokenise(docs, path, doc_id, text).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(keep(pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens"), "pieces"))
+def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
+    """Packed pieces with their ids (binary, little-endian unsigned 32-bit) and the CRC-32 of them, or that alone."""
+    pieces = tokenise(docs, path, doc_id, text).withColumn("ids_crc32", F.crc32("ids"))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if ids else [])]
+    return pack(keep(pieces.select(*columns), "pieces"))
 
 
 def first_fit_plain(lengths: list[int], capacity: int) -> list[int]:

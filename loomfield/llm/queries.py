@@ -12,7 +12,7 @@ from loomfield.llm.common import table
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings")).drop("recall")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
