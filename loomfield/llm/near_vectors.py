@@ -7,9 +7,12 @@
 4. In every block the queries search the united graph greedily from the block's medoid, then expand from all
    that lie in range until no further neighbour does.  A found pair is verified in double precision and
    counted in the block where its other end is at home and a member, thus once.
-5. Recall is audited on a bounded sample of queries against brute force over all rows; below the target the
-   search is repeated with more overlap and a wider beam; where that doesn't reach it, or too much is missing, all pairs of
-   tiles whose clusters' radii allow a link are compared in full.
+5. Recall is audited before a result is given.  For ``AUDIT`` classes a neighbour is planted at a cosine a little
+   over the threshold, in a random direction; planted vectors are searched like all others, count for nothing,
+   and tell the share of known links that was found.  The true links of as many classes, by brute force over all
+   rows, are audited as well.  Where either share is below the target the search is repeated with more overlap
+   and a wider beam; where that doesn't reach it, or too much is missing, all pairs of tiles whose clusters'
+   radii allow a link are compared in full, which is exact.  The share is the column ``recall``.
 
 Defined results: a null, empty or zero vector, and one with null or non-finite components, links with
 nothing and is its own component, as does a row without an id (whose component is null).  Repeated rows are
@@ -30,7 +33,9 @@ from loomfield.llm.graph import connected_components, forest
 
 THRESHOLD = 0.9
 #: Rows that centroids are fitted on, most clusters, members of a block, and queries audited.
-SAMPLE, CLUSTERS, SHARD, AUDIT = 20_000, 4096, 2048, 128
+SAMPLE, CLUSTERS, SHARD, AUDIT = 20_000, 4096, 2048, 512
+#: Planted cosines lie between the threshold and this share of the way from it to 1; fewest true links that tell a share.
+PLANTED_SPAN, LINKS_TOLD = 0.3, 100
 #: Clusters a class goes to, neighbours kept by pruning, candidates pruned from, beam width, pruning factor.
 OVERLAP, DEGREE, CANDIDATES, BEAM, ALPHA = 3, 20, 48, 32, 1.2
 RECALL, TRIES = 0.99, 3
@@ -43,13 +48,17 @@ _DENSE = 50_000
 
 
 def classes_of(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """(all rows with id, vector and validity; kept classes with cid, v, n, least)."""
-    v = F.col(f"`{embedding}`").cast("array<double>")
+    """(all rows with id, the vector's key and validity; kept classes with cid, key, v, n, least).
+
+    A key is 128 bits of two hashes, so that joins needn't carry vectors.
+    """
+    v = F.transform(F.col(f"`{embedding}`").cast("array<double>"), lambda x: x + F.lit(0.0))  # one zero only
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(f"`{vec_id}`").alias("vec_id"), v.alias("v"), (F.coalesce(fine, F.lit(False)) & F.col(f"`{vec_id}`").isNotNull()).alias("valid"))
-    found = rows.where("valid").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    rows = rows.select("vec_id", "valid", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit("v"), "v").alias("b")).alias("key"), "v")
+    found = rows.where("valid").groupBy("key").agg(F.first("v").alias("v"), F.min("vec_id").alias("least"), F.count("*").alias("n"))
     # ids are fixed by writing them
-    return rows, keep(found.select(F.monotonically_increasing_id().alias("cid"), "v", "n", "least"), "classes")
+    return rows.drop("v"), keep(found.select(F.monotonically_increasing_id().alias("cid"), "key", "v", "n", "least"), "classes")
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -216,7 +225,7 @@ def _blocks(dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, queries
 
 
-def search(classes: DataFrame, centres: np.ndarray, dimension: int, threshold: float, overlap: int, beam: int) -> tuple[DataFrame, DataFrame]:
+def search(classes: DataFrame, centres: np.ndarray, dimension: int, threshold: float, overlap: int, beam: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Kept (cid, links) and (a, b) edges over classes that keep components together."""
     dealt = keep(deal(classes, centres, dimension, overlap), "dealt")
     members, queries = _blocks(dealt)
@@ -242,9 +251,14 @@ def search(classes: DataFrame, centres: np.ndarray, dimension: int, threshold: f
         starts = np.full(len(ids), -1)
         starts[mine] = np.arange(len(mine))
         count, stars = np.zeros(len(ids), np.int64), {}
+        known = []
         for q, x in range_search(v[mine], links, v, threshold, beam, starts):
             fine = home[x] & (ids[q] != ids[mine][x])
             q, x = q[fine], x[fine]
+            # of a planted vector only the link that it was planted for counts, and none to it
+            known.append(ids[q][ids[mine][x] == -1 - ids[q]])
+            fine = (ids[q] >= 0) & (ids[mine][x] >= 0)
+            q, x = q[fine], x[fine]
             np.add.at(count, q, n[mine][x])
             if len(q) > _DENSE:
                 (uq, r), (ux, c) = np.unique(q, return_inverse=True), np.unique(x, return_inverse=True)
@@ -253,8 +267,9 @@ def search(classes: DataFrame, centres: np.ndarray, dimension: int, threshold: f
                 r, c = components(hits)
                 q, x = uq[r], ux[c]
             stars = forest([*stars.items(), *zip(ids[q].tolist(), ids[mine][x].tolist(), strict=True)])
-        some = np.flatnonzero(count)
-        return pa.table({"cid": pa.array(np.concatenate([ids[some], np.fromiter(stars, np.int64, len(stars))])), "links": pa.array(np.concatenate([count[some], np.zeros(len(stars), np.int64)])), "to": pa.array([*([None] * len(some)), *stars.values()], pa.int64())})
+        some, planted = np.flatnonzero(count), np.unique(np.concatenate([*known, np.empty(0, np.int64)]))
+        none = np.zeros(len(stars) + len(planted), np.int64)
+        return pa.table({"cid": pa.array(np.concatenate([ids[some], np.fromiter(stars, np.int64, len(stars)), planted])), "links": pa.array(np.concatenate([count[some], none])), "to": pa.array([*([None] * len(some)), *stars.values(), *(-1 - planted).tolist()], pa.int64())})
 
     return _told(rows.groupBy("cluster", "block").applyInArrow(find, "cid long, links long, to long"))
 
@@ -302,7 +317,7 @@ def components(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([row, np.argmax(hits[:, column], axis=0)]), np.concatenate([own[row], column])
 
 
-def compare(classes: DataFrame, centres: np.ndarray, dimension: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+def compare(classes: DataFrame, centres: np.ndarray, dimension: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """As ``search``, by comparing all classes of all tiles that may link: exact, with quadratic work in a hot group."""
     spark = classes.sparkSession
     sent = spark.sparkContext.broadcast(centres)  # at most CLUSTERS rows
@@ -360,17 +375,36 @@ def compare(classes: DataFrame, centres: np.ndarray, dimension: int, threshold:
     return _told(sides.groupBy("lo", "hi").applyInArrow(meet, "cid long, links long, to long"))
 
 
-def _told(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _told(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links by class, edges, and the planted classes whose link was found."""
     found = keep(found, "found")
     counts = keep(found.where("to is null").groupBy("cid").agg(F.sum("links").alias("links")), "counts")
-    return counts, found.where("to is not null").select(F.col("cid").alias("a"), F.col("to").alias("b"))
+    return counts, found.where("to is not null and cid >= 0").select(F.col("cid").alias("a"), F.col("to").alias("b")), found.where("cid < 0").select("cid").distinct()
+
+
+def plant(classes: DataFrame, dimension: int, threshold: float, rows: int = AUDIT, seed: int = 23) -> DataFrame:
+    """Classes of no rows near some of ``classes``, with -1 - cid for their id; none in one dimension."""
+    picked = classes.orderBy(F.xxhash64("cid")).limit(rows).select("cid", "v").toArrow()
+    found = []
+    if dimension > 1 and picked.num_rows and threshold < 1:
+        rng, v = np.random.default_rng(seed), unit(matrix(picked.column("v"), dimension))
+        w = rng.normal(size=v.shape)
+        w -= (w * v).sum(axis=1, keepdims=True) * v
+        cosine = rng.uniform(threshold, threshold + PLANTED_SPAN * (1 - threshold), (len(v), 1)) + 1e-9
+        near = cosine * v + np.sqrt(1 - cosine * cosine) * w / np.linalg.norm(w, axis=1, keepdims=True)
+        found = [(-1 - cid, x, 0) for cid, x in zip(picked.column("cid").to_pylist(), near.tolist(), strict=True)]
+    return classes.sparkSession.createDataFrame(found, "cid long, v array<double>, n long")
+
 
+def audit(classes: DataFrame, counts: DataFrame, planted: int, met: int, dimension: int, threshold: float, rows: int = AUDIT) -> float:
+    """The lesser of two shares: of the planted links, and of the true links of a bounded sample of classes.
 
-def audit(classes: DataFrame, counts: DataFrame, dimension: int, threshold: float, rows: int = AUDIT) -> float:
-    """Share of the true links of a bounded sample of classes that the search has counted."""
+    The second counts from ``LINKS_TOLD`` links on, or where nothing was planted.
+    """
+    share = met / planted if planted else 1.0
     picked = classes.orderBy(F.xxhash64("cid")).limit(rows).select("cid", "v").join(counts, "cid", "left").toArrow()
     if not picked.num_rows:
-        return 1.0
+        return share
     ids, q = picked.column("cid").to_numpy(), unit(matrix(picked.column("v"), dimension))
     sent = classes.sparkSession.sparkContext.broadcast((ids, q))
 
@@ -379,50 +413,56 @@ def audit(classes: DataFrame, counts: DataFrame, dimension: int, threshold: floa
         true = np.zeros(len(own), np.int64)
         for batch in batches:
             other, n = batch.column("cid").to_numpy(), batch.column("n").to_numpy()
-            near = (q @ unit(matrix(batch.column("v"), dimension)).T >= threshold) & (own[:, None] != other[None, :])
-            true += near @ n
+            x = unit(matrix(batch.column("v"), dimension))
+            for a in range(0, len(x), 2048):
+                near = (q @ x[a : a + 2048].T >= threshold) & (own[:, None] != other[None, a : a + 2048])
+                true += near @ n[a : a + 2048]
         yield pa.RecordBatch.from_arrays([pa.array([int(true.sum())])], names=["n"])
 
     true = classes.mapInArrow(run, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
     have = sum(x or 0 for x in picked.column("links").to_pylist())
-    return 1.0 if not true else min(1.0, have / true)
+    return min(share, have / true) if true >= LINKS_TOLD or true and not planted else share
 
 
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row."""
+    """(vec_id, n_links, component_id, kept, recall) for every row; the recall is that of the row's dimension."""
     spark = vectors.sparkSession
     rows, classes = classes_of(vectors, vec_id, embedding)
-    links, labels = None, None
+    links, labels, recalls = None, None, {}
     for (dimension,) in sorted(classes.select(F.size("v")).distinct().collect()):
-        counts, edges = _of_dimension(spark, classes.where(F.size("v") == dimension), dimension, threshold, target)
+        counts, edges, recalls[dimension] = _of_dimension(spark, classes.where(F.size("v") == dimension), dimension, threshold, target)
         links = counts if links is None else links.unionByName(counts)
         labels = edges if labels is None else labels.unionByName(edges)
     if links is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"), F.lit(1.0).alias("recall"))
     roots = connected_components(labels)
+    recall = F.element_at(F.create_map(*[F.lit(x) for pair in recalls.items() for x in pair]), F.size("v"))
     tagged = classes.join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    tagged = tagged.select("v", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("root"))
+    tagged = tagged.select("key", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("root"), recall.alias("recall"))
     least = tagged.groupBy("root").agg(F.min("least").alias("component_id"))
-    told = keep(tagged.join(least, "root").select("v", "n_links", "component_id", F.lit(True).alias("valid")), "told")
-    joined = rows.join(told, ["v", "valid"], "left")
+    told = keep(tagged.join(least, "root").select("key", "n_links", "component_id", "recall", F.lit(True).alias("valid")), "told")
+    joined = rows.join(told, ["key", "valid"], "left")
     own = F.coalesce("component_id", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"))
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"), F.coalesce("recall", F.lit(1.0)).alias("recall"))
 
 
-def _of_dimension(spark: SparkSession, classes: DataFrame, dimension: int, threshold: float, target: float) -> tuple[DataFrame, DataFrame]:
+def _of_dimension(spark: SparkSession, classes: DataFrame, dimension: int, threshold: float, target: float) -> tuple[DataFrame, DataFrame, float]:
+    classes = classes.select("cid", "v", "n")
     total = classes.count()
     k = min(CLUSTERS, -(-total * OVERLAP // (SHARD // 2))) if total > SHARD else 1
     sample = classes.select("v").sample(min(1.0, 1.2 * SAMPLE / max(total, 1)), seed=5).limit(SAMPLE).toArrow()
     if not sample.num_rows:
         sample = classes.select("v").limit(1).toArrow()
     centres = centroids(unit(matrix(sample.column("v"), dimension)), k)
+    planted = keep(plant(classes, dimension, threshold), "planted")
+    n, both = planted.count(), classes.unionByName(planted)
     overlap, beam = OVERLAP, BEAM
     for _ in range(TRIES):
-        counts, edges = search(classes, centres, dimension, threshold, overlap, beam)
-        recall = audit(classes, counts, dimension, threshold)
+        counts, edges, met = search(both, centres, dimension, threshold, overlap, beam)
+        recall = audit(classes, counts, n, met.count(), dimension, threshold)
         if recall >= target:
-            return counts, edges
+            return counts, edges, recall
         if recall < WIDEN:
             break
         overlap, beam = 2 * overlap, 2 * beam
-    return compare(classes, centres, dimension, threshold)
+    return *compare(classes, centres, dimension, threshold)[:2], 1.0

@@ -246,6 +246,21 @@ def test_vectors_over_many_shards_and_blocks(spark, monkeypatch):
     assert all(r.n_links <= len(links[r.vec_id]) for r in got)
 
 
+def test_few_links_just_over_the_threshold(spark, monkeypatch):
+    """Planted links show what a sample of rows with few true links can't, and the exact way finds all."""
+    monkeypatch.setattr(near_vectors, "SHARD", 256)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(5000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    w = rng.normal(size=(240, 32))
+    w -= (w * x[:240]).sum(axis=1, keepdims=True) * x[:240]
+    c = rng.uniform(0.901, 0.93, (240, 1))
+    x = np.concatenate([x, c * x[:240] + np.sqrt(1 - c * c) * w / np.linalg.norm(w, axis=1, keepdims=True)])
+    got = near_vectors.near_vectors(spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)).collect()
+    assert sum(r.n_links for r in got) == np.count_nonzero(x @ x.T >= 0.9) - len(x) > 400
+    assert {r.recall for r in got} == {1.0}
+
+
 def test_components_of_dense_links(monkeypatch):
     rng = np.random.default_rng(4)
     hits = np.kron(np.eye(3, dtype=bool), np.ones((20, 30), bool)) & (rng.random((60, 90)) < 0.5)
