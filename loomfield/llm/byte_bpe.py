@@ -8,10 +8,15 @@ one row, so that one task encodes a distinct word once; the ids return to their
 together again by position.  A block sends a word once, not for each use, so frequent words weigh no more
 than rare ones.
 
-A block is named by the hash of its dictionary, so a task that runs again finds its words again; input
-whose rows come in another order each time must be written first, and is reported, not mixed up.
+A block is named by its dictionary, the file range its rows come from and its number there, so a task that runs
+again finds its words again, and blocks of copies stay apart.  Input that isn't a plain read of files is written
+to a table first, as its rows may come in another order each time.
 
-Defined results: a null text is empty and has no ids; extra columns are ignored; repeated rows repeat.
+Decoding looks ids up in the table of token bytes, a map-side join: the table has a row for each token of the
+vocabulary, whatever the input's size.
+
+Defined results: a null text is empty and has no ids; extra columns are ignored; repeated rows repeat.  A pattern
+that has no border where texts are cut, tried on ``_PROBES``, raises an error.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.common import frugal, utf8
+from loomfield.llm.common import frugal, keep, utf8
 
 #: Bytes of text and distinct words after which a block is closed.
 BLOCK_BYTES, BLOCK_WORDS = 16 << 20, 300_000
@@ -41,6 +46,7 @@ _TEXT, _ORDER = -1, -2
 #: White space as Unicode (and so the library's pattern engine) has it; Python's own \s has four more.
 _W = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PARTS = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]")
+_PROBES = ("The Quick  brown\tfox, it's \n\n the 3.14 dogs' x_y", " naïve ÉTÉ, 漢字 🙂\x85a\xa0b\u2003c  \u3000 d", "a\x1cb\x1d c\r\n  \r\n e", "   ", "x   y    z \n q")
 #: Ends a word in a row; no UTF-8 text has that byte.
 _END = b"\xff"
 
@@ -75,7 +81,8 @@ def unpack_integers(data: bytes) -> np.ndarray:
 
 
 class _Block:
-    def __init__(self):
+    def __init__(self, place: int = 0, number: int = 0):
+        self.place, self.number = place, number
         self.index: dict[str, int] = {}
         self.bytes, self.rows, self.texts = 0, [], []
 
@@ -97,7 +104,7 @@ class _Block:
         rank[order] = np.arange(len(order))
         words = [w.encode() for w in self.index]
         words = [words[k] for k in order.tolist()]
-        name = xxhash.xxh3_64_intdigest(_END.join(words))
+        name = xxhash.xxh3_64_intdigest(b"%d %d " % (self.place, self.number) + _END.join(words))
         return name - (1 << 63), words, [rank[x] for x in self.texts]
 
 
@@ -108,24 +115,47 @@ def by_bucket(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+    """Blocks of rows (id, text, place), each of one place only, numbered there."""
     block = _Block()
     for batch in batches:
-        for row, text in zip(batch.column(0), utf8(batch.column(1)), strict=True):
-            block.add(row, text or b"")
-            if block.full():
+        places = batch.column(2).to_pylist() if batch.num_columns > 2 else [0] * batch.num_rows
+        for row, text, place in zip(batch.column(0), utf8(batch.column(1)), places, strict=True):
+            if block.rows and (place != block.place or block.full()):
                 yield block
-                block = _Block()
+                block = _Block(place, block.number + 1 if place == block.place else 0)
+            block.place = place
+            block.add(row, text or b"")
     if block.rows:
         yield block
 
 
+def check_pattern(pattern: str) -> None:
+    """Whether matches of ``pattern`` end wherever texts are cut."""
+    import regex
+
+    for probe in _PROBES:
+        ends = {m.end() for m in regex.finditer(pattern, probe)}
+        if "".join(_PARTS.findall(probe)) != probe or not {m.end() for m in _PARTS.finditer(probe)} <= ends:
+            raise ValueError(f"the pattern has no border at all cuts of {probe!r}")
+
+
+def source_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text, place): rows in an order that holds, with the file range they come from."""
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    plan = slim._jdf.queryExecution().sparkPlan().toString()
+    if not re.fullmatch(r"(?:(?:[:+\- ]*)(?:Project|Filter|FileScan) .*\n?)+", plan):
+        slim = keep(slim, "texts")
+    return slim.select("doc_id", "text", F.xxhash64(F.input_file_name(), F.call_function("input_file_block_start")).alias("place"))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) for every row."""
+    check_pattern(pattern)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))  # bounded by the vocabulary
     kind = docs.schema[doc_id].dataType
     buckets = max(BUCKETS, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = ["block", "at", "data", "doc_id"]
-    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    source = source_of(docs, doc_id, text)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
@@ -187,7 +217,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
         sizes, flat = np.concatenate(sizes), np.concatenate(flat)
         place = np.frombuffer(data[int(np.flatnonzero(at == _ORDER)[0])].as_py(), "<u4") if (at == _ORDER).any() else None
         if place is None or len(place) != len(sizes):
-            raise RuntimeError("a block's words are missing: the input's rows come in another order each time; write it to a table first")
+            raise RuntimeError("a block's words are missing: the input's files changed while they were read")
         sizes, starts = sizes[place], (np.cumsum(sizes) - sizes)[place]
         texts = np.flatnonzero(at == _TEXT)
         for k in range(0, len(texts), 500):

@@ -9,6 +9,7 @@ import pytest
 from data import documents, frame
 
 from loomfield.llm import byte_bpe, packing, token_counts
+from loomfield.llm.common import keep
 
 WORDS, RANKS, PIECES = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
 ALPHABET = " \n\t\r  　\x1c\x1f▁aaébß漢字🙂'sT0123,.<|endoftext|>́​\x00<s>  "
@@ -78,6 +79,51 @@ def test_blocks_without_words(spark, monkeypatch):
         assert {r.doc_id: bytes(r.decoded) for r in got} == {k: (t or "").encode() for k, t in enumerate(texts)}
 
 
+def test_shuffled_input_and_copies_keep_their_ids(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "BLOCK_BYTES", 200)
+    rows = [(k if k % 3 else None, "the same text of many copies" if k % 2 else f"own text {k}", *[None] * 8) for k in range(300)]
+    docs = frame(spark, rows).repartition(5).orderBy("lang")
+    got = byte_bpe.decode(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()
+    assert Counter((r.doc_id, bytes(r.decoded).decode()) for r in got) == Counter((r[0], r[1]) for r in rows)
+    # blocks of equal words have names of their own
+    batch = pa.RecordBatch.from_pydict({"a": [1] * 60, "b": ["same words here"] * 60, "place": [1] * 30 + [2] * 30})
+    names = [b.close()[0] for b in byte_bpe._blocks(iter([batch]))]
+    assert len(set(names)) == len(names) > 2
+
+
+def test_sources_of_plain_reads_are_not_written(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(byte_bpe, "keep", lambda df, name: written.append(name) or keep(df, name))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    byte_bpe.source_of(docs, "doc_id", "text")
+    byte_bpe.source_of(docs.where("n_chars > 5"), "doc_id", "text")
+    assert not written
+    byte_bpe.source_of(docs.orderBy("lang"), "doc_id", "text")
+    assert written == ["texts"]
+
+
+def test_tokenizers_and_patterns_of_another_kind_raise():
+    with pytest.raises(ValueError):
+        packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+    byte_bpe.check_pattern(public_tokenizers.PATTERN)
+    with pytest.raises(ValueError):
+        byte_bpe.check_pattern(r"\S+\s*|\s+")
+
+
+def test_groups_of_pieces_without_ids(spark):
+    rows = [(None, 0, 1 + k % 7, "x") for k in range(3000)]
+    pieces = keep(spark.createDataFrame(rows, "doc_id long, start long, length long, sequence_id2 string").repartition(3))
+    got = packing.pack(pieces, capacity=16, group_pieces=100).select("sequence_id", "length").toPandas()
+    sizes = (got["sequence_id"] // (1 << 32)).value_counts()
+    assert len(sizes) == 30 and sizes.max() < 200 and len(got) == 3000
+    assert got.groupby("sequence_id")["length"].sum().max() <= 16
+
+
+def test_packed_ids_are_those_of_the_crc(spark):
+    for r in packing.pack_documents(frame(spark), WORDS).collect():
+        assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length
+
+
 def test_integers_round_trip():
     rng = np.random.default_rng(1)
     for values in (np.empty(0, np.int64), np.asarray([0, 127, 128, 16383, 16384, 1 << 21, (1 << 28) - 1]), rng.integers(0, 1 << 27, 1000)):
