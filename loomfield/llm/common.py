@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts define it: words are maximal runs of anything else.
 WORD_SEPARATORS = " \t\n\x0b\x0c\r"
@@ -54,6 +55,15 @@ def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table (ids, hashes, counts) that may be sent to all executors: some megabytes.
+FEW_ROWS = 200_000
+
+
+def few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """``df``, a kept narrow table, marked for a broadcast if it has few rows; joins shuffle it else."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def release(spark: SparkSession, *still: DataFrame) -> None:
     """Delete the tables ``keep`` has written in this application, but for those that ``still`` reads.
 

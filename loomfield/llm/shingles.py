@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import frugal, keep, utf8
+from loomfield.llm.common import few, frugal, keep, utf8
 from loomfield.llm.graph import connected_components
 
 WIDTH, BANDS, ROWS = 5, 20, 4
@@ -153,47 +153,49 @@ def edges(docs: DataFrame, known: DataFrame) -> DataFrame:
     ``docs`` has (c, t, text): a class of rows that are one anyway, the hash of the text, and the text.
     """
 
-    def checked(pairs: DataFrame, name: str) -> DataFrame:
+    def checked(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
         pairs = keep(pairs.distinct(), f"{name}-pairs")
-        wanted = pairs.select(F.col("ta").alias("t")).unionAll(pairs.select("tb")).distinct()
-        texts = keep(docs.join(wanted, "t", "left_semi").groupBy("t").agg(F.min("text").alias("text")), f"{name}-texts")
-        return keep(verified(pairs, texts), name)
+        wanted = keep(pairs.select(F.col("ta").alias("t")).unionAll(pairs.select("tb")).distinct(), f"{name}-wanted")
+        return keep(verified(pairs, keep(texts.join(few(wanted), "t", "left_semi"), f"{name}-texts")), name)
 
-    def meet(rows: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """``links`` with those to the heads of groups, and the groups' rows with their components.
+    def shared(rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` (key, m), m being (t, c, size, at), of keys that several texts have, with their number."""
+        several = keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-keys")
+        return keep(rows.join(few(several), "key"), f"{name}-members")
 
-        ``rows`` has (key, m), m being (t, c, size, at); only keys of several texts stay.
-        """
-        shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        members = keep(rows.join(shared, "key"), f"{name}-members")
+    def meet(members: DataFrame, texts: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """``links`` with those to the heads of groups, and the groups' rows with their components."""
         weights = members.groupBy(F.col("m.t").alias("t")).agg(F.sum("n").alias("w"))
         weighted = members.join(weights, members.m.t == weights.t).select("key", "n", "m", "w")
         heads = weighted.groupBy("key").agg(F.max_by("m", F.struct("w", F.col("m.t"))).alias("head"))
         headed = keep(members.join(heads, "key"), f"{name}-headed")
         pairs = headed.where("m.c <> head.c").where(_near("m", "head"))
-        links = keep(links.unionByName(checked(pairs.select(F.col("head.t").alias("ta"), F.col("m.t").alias("tb"), F.col("head.c").alias("a"), F.col("m.c").alias("b")), f"{name}-heads")), f"{name}-links")
+        links = keep(links.unionByName(checked(pairs.select(F.col("head.t").alias("ta"), F.col("m.t").alias("tb"), F.col("head.c").alias("a"), F.col("m.c").alias("b")), texts, f"{name}-heads")), f"{name}-links")
         roots = keep(connected_components(links), f"{name}-roots")
         mine, its = roots.select(F.col("node").alias("mc"), F.col("component").alias("mr")), roots.select(F.col("node").alias("hc"), F.col("component").alias("hr"))
         rooted = headed.join(mine, F.col("m.c") == F.col("mc"), "left").join(its, F.col("head.c") == F.col("hc"), "left")
         r = F.coalesce("mr", "m.c")
         return links, keep(rooted.select("key", "n", "m", r.alias("r"), (r != F.coalesce("hr", "head.c")).alias("apart")), f"{name}-rooted")
 
-    def rest(rooted: DataFrame, name: str) -> DataFrame:
+    def rest(rooted: DataFrame, texts: DataFrame, name: str) -> DataFrame:
         """The links between texts of one group that join components; those within the head's component aren't looked at."""
         x = rooted.where("apart").select("key", F.col("m").alias("x"), F.col("r").alias("rx"))
         y = rooted.select("key", F.col("m").alias("y"), F.col("r").alias("ry"), F.col("apart").alias("also"))
         pairs = x.join(y, "key").where("rx <> ry and (not also or x.t < y.t)").where(_near("x", "y"))
-        return checked(pairs.select(F.col("x.t").alias("ta"), F.col("y.t").alias("tb"), F.col("x.c").alias("a"), F.col("y.c").alias("b")), name)
+        return checked(pairs.select(F.col("x.t").alias("ta"), F.col("y.t").alias("tb"), F.col("x.c").alias("a"), F.col("y.c").alias("b")), texts, name)
 
     sketched = keep(with_bands(docs).groupBy("t").agg(F.min("c").alias("c"), F.first("bands").alias("bands")), "sketches")
     whole = F.struct("t", "c", F.lit(1).alias("size"), F.lit(0).alias("at"))  # bands tell nothing of places
-    links, rooted = meet(sketched.select(whole.alias("m"), F.explode("bands").alias("key")), known, "bands")
-    out = links.unionByName(rest(rooted.where(F.col("n") <= MOST), "pairs"))
+    members = shared(sketched.select(whole.alias("m"), F.explode("bands").alias("key")), "bands")
+    # only texts that share a band are looked at again
+    mine = keep(members.select("m.t").distinct(), "mine")
+    texts = keep(docs.select("t", "text").join(few(mine), "t", "left_semi").groupBy("t").agg(F.min("text").alias("text")), "texts")
+    links, rooted = meet(members, texts, known, "bands")
+    out = links.unionByName(rest(rooted.where(F.col("n") <= MOST), texts, "pairs"))
     large = rooted.where(F.col("n") > MOST)
     left = keep(large.join(large.where("apart").select("key").distinct(), "key", "left_semi").select("m.t", "m.c").distinct(), "left")
     if left.isEmpty():
         return out
-    texts = docs.select("t", "text").join(left, "t").groupBy("t", "c").agg(F.min("text").alias("text"))
-    rows = rare_shingles(texts).select("key", F.struct("t", "c", "size", "at").alias("m"))
-    links, rooted = meet(rows, keep(out, "out"), "rare")
-    return links.unionByName(rest(rooted, "rare-pairs"))
+    rows = keep(rare_shingles(texts.join(few(left), "t")), "rare").select("key", F.struct("t", "c", "size", "at").alias("m"))
+    links, rooted = meet(shared(rows, "rare"), texts, keep(out, "out"), "rare")
+    return links.unionByName(rest(rooted, texts, "rare-pairs"))
