@@ -1,11 +1,15 @@
 """Personal data: pattern spans, and terms that disclose them by corpus co-occurrence; DataFrame functions only.
 
-Base spans are e-mail addresses, IP addresses, card and phone numbers.  A term of the documents that hold a base
-value (the protected entity), however far from it, discloses it where their pointwise mutual information comes within a factor ``ALPHA`` of
-the entity's own information: PMI(e, t) >= IC(e) / ALPHA, all probabilities being shares of the corpus's
-documents.  Such terms are removed from the documents that hold the entity, where they occur with nothing
-else, or generalised to a placeholder.  Evidence is a pair seen in ``SUPPORT`` different texts: in a single one
-every rare word stands with every value, which tells nothing, but an entity of two texts is covered.
+Base spans are e-mail addresses, IP addresses, card and phone numbers.  Protected entities are their values and
+the classes that values belong to: an address's domain, a network, a card's issuer, a phone number's area.  A term
+of the documents that hold an entity, however far from it, discloses it where their pointwise mutual information
+comes within a factor ``ALPHA`` of the entity's own information: PMI(e, t) >= IC(e) / ALPHA, all probabilities
+being shares of the corpus's documents.  Such terms are removed from the documents that hold the entity, where
+they occur with nothing else, or generalised to a placeholder.  Evidence is a pair seen in ``SUPPORT`` different
+texts: in a single one every rare word stands with every value, which tells nothing; its class still counts.
+
+Spans are computed once and kept.  Pairs of entities and terms are counted first, over the texts with entities;
+only the terms that may disclose are counted in all documents.
 
 Patterns are written so that a long run is looked at once: possessive repeats and look-behind allow no
 other match than the plain ones.  Positions are code points and come from the lengths of what lies between
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import fresh, keep
+from loomfield.llm.common import few, fresh, keep
 from loomfield.llm.quality import let
 
 KINDS = ("email", "ip", "card", "phone")
@@ -99,38 +103,61 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, "\\S*@\\S*", " "), F.lit(_TERM), F.lit(0)))
 
 
-def _entity(span: Column) -> Column:
-    return F.concat(span["kind"], F.lit(":"), span["value"])
+def _class(span: Column) -> Column:
+    """What a value shares with others of its kind."""
+    value, digits = span["value"], _digits(span["value"])
+    domain, network = F.lower(F.regexp_extract(value, "@(.*)$", 1)), F.regexp_extract(value, "^([0-9]+\\.[0-9]+)", 1)
+    return F.when(span["kind"] == "email", domain).when(span["kind"] == "ip", network).when(span["kind"] == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+
+
+def entities_of(spans: Column) -> Column:
+    """The distinct entities of base spans: values, and their classes."""
+    values = F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), s["value"]))
+    return F.array_distinct(F.concat(values, F.transform(spans, lambda s: F.concat(s["kind"], F.lit("~"), _class(s)))))
 
 
 def disclosing_terms(rows: DataFrame) -> DataFrame:
-    """(h, terms, gone) for rows (doc_id, h, text, spans): a text's disclosing terms, and those that occur with nothing else."""
-    held = rows.where(F.size("spans") > 0).select("h", F.array_distinct(F.transform("spans", _entity)).alias("es"), terms_of(F.col("text")).alias("ts"))
+    """(h, terms, gone) for a kept table (h, text, spans): a text's disclosing terms, and those that occur with nothing else."""
+    held = rows.where(F.size("spans") > 0).select("h", entities_of(F.col("spans")).alias("es"), terms_of(F.col("text")).alias("ts"))
     # copies of a text are one row with their number
     texts = keep(held.groupBy("h").agg(F.first("es").alias("es"), F.first("ts").alias("ts"), F.count("*").alias("c")), "texts")
     holds = texts.select("h", "c", F.explode("es").alias("e"))
     entities = keep(holds.groupBy("e").agg(F.sum("c").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts"), "entities")
-    context = holds.join(entities.select("e"), "e").join(texts.select("h", "ts"), "h").select("h", "c", "e", F.explode("ts").alias("t"))
+    # each text's entities that others hold too stay beside its terms, so that no terms are shuffled for the join
+    shared = holds.join(few(entities.select("e")), "e").groupBy("h").agg(F.collect_list("e").alias("es"))
+    context = texts.drop("es").join(few(keep(shared, "shared")), "h").select("c", F.explode("es").alias("e"), "ts").select("c", "e", F.explode("ts").alias("t"))
     together = keep(context.groupBy("e", "t").agg(F.sum("c").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT), "together")
-    terms = rows.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
     n = rows.count()
     information = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
+    bound = information * (1 - 1 / ALPHA)
+    # a term occurs at least as often as with all entities of any one kind of pair, so most can't disclose
+    most = together.groupBy("t").agg(F.max("n_et").alias("least"))
+    likely = together.join(few(entities), "e").join(most, "t").where(F.log2(F.col("least") / F.col("n_et")) <= bound)
+    likely = keep(likely.select("e", "t", "n_et", bound.alias("bound")), "likely")
+    wanted = keep(likely.select("t").distinct(), "wanted")
+    each = rows.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))).alias("t"))
+    terms = each.join(few(wanted), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
     loss = F.log2(F.col("n_t") / F.col("n_et"))  # IC(e) - PMI(e, t)
-    flagged = keep(together.join(terms, "t").join(entities, "e").where(loss <= information * (1 - 1 / ALPHA)).select("e", "t", (F.col("n_t") == F.col("n_et")).alias("only")), "flagged")
-    by_text = holds.select("h", "e").join(flagged, "e").join(texts.select("h", "ts"), "h").where(F.array_contains("ts", F.col("t"))).groupBy("h", "t").agg(F.bool_or("only").alias("only"))
-    return keep(by_text.groupBy("h").agg(F.array_sort(F.collect_set("t")).alias("terms"), F.array_sort(F.collect_set(F.when(F.col("only"), F.col("t")))).alias("gone")), "disclosing")
+    flagged = keep(likely.join(terms, "t").where(loss <= F.col("bound")).select("e", "t", (F.col("n_t") == F.col("n_et")).alias("only")), "flagged")
+    by_text = holds.join(few(flagged.select("e").distinct()), "e").select("h", "e").join(flagged, "e").join(texts.select("h", "ts"), "h").where(F.array_contains("ts", F.col("t")))
+    found = by_text.groupBy("h", "t").agg(F.bool_or("only").alias("only"))
+    return keep(found.groupBy("h").agg(F.array_sort(F.collect_set("t")).alias("terms"), F.array_sort(F.collect_set(F.when(F.col("only"), F.col("t")))).alias("gone")), "disclosing")
 
 
 def _found(docs: DataFrame, doc_id: str, text: str, t: str, spans: str, terms: str) -> DataFrame:
     """``docs`` with the text (never null), its base spans and its term spans."""
     h = fresh(docs, "h")
-    rows = docs.withColumn(t, F.coalesce(F.col(f"`{text}`"), F.lit(""))).withColumn(h, F.xxhash64(F.col(t)))
-    slim = rows.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(h).alias("h"), F.col(t).alias("text"))
-    told = disclosing_terms(slim.withColumn("spans", base_spans(F.col("text"))))
-    joined = rows.join(told, rows[h] == told["h"], "left")
+    never_null = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = keep(docs.withColumn(spans, base_spans(never_null)).withColumn(h, F.xxhash64(never_null)), "spans").withColumn(t, never_null)
+    told = disclosing_terms(rows.select(F.col(h).alias("h"), F.col(t).alias("text"), F.col(spans).alias("spans")))
+    # only texts with entities may have terms
+    some = rows.where(F.size(spans) > 0)
+    joined = some.join(told, some[h] == told["h"], "left")
     pattern = F.concat(F.lit("(?<!\\p{L})(?:"), F.array_join(told["terms"], "|"), F.lit(")(?!\\p{L})"))
-    own = F.when(told["terms"].isNotNull(), F.transform(located(F.col(t), pattern, "term"), lambda s: F.struct(F.when(F.array_contains(told["gone"], s["value"]), "gone").otherwise("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))).otherwise(F.array().cast(_SPAN))
-    return joined.select(*[rows[f"`{c}`"] for c in docs.columns], rows[t], base_spans(rows[t]).alias(spans), own.alias(terms))
+    own = F.when(told["terms"].isNotNull(), F.transform(located(some[t], pattern, "term"), lambda s: F.struct(F.when(F.array_contains(told["gone"], s["value"]), "gone").otherwise("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))).otherwise(F.array().cast(_SPAN))
+    with_terms = joined.select(*[some[f"`{c}`"] for c in docs.columns], some[t], some[spans], own.alias(terms))
+    rest = rows.where(F.size(spans) == 0)
+    return with_terms.unionByName(rest.select(*[rest[f"`{c}`"] for c in docs.columns], rest[t], rest[spans], F.array().cast(_SPAN).alias(terms)))
 
 
 def written(spans: Column) -> Column:

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -242,6 +243,59 @@ def test_terms_disclose_far_off_and_in_two_texts(spark):
     assert not any(found[k] for k in range(80))
 
 
+def plain_entities(text):
+    found = set()
+    for kind, a, b in plain_spans(text):
+        value = text[a:b]
+        digits = re.sub("[^0-9]", "", value)
+        found |= {f"{kind}:{value}", f"{kind}~" + {"email": value.split("@")[-1].lower(), "ip": ".".join(value.split(".")[:2]), "card": digits[:6], "phone": digits[:4]}[kind]}
+    return found
+
+
+def plain_terms(texts):
+    """Each text's disclosing terms, by the definition: PMI(e, t) >= IC(e) / ALPHA over documents, pairs in two different texts or more."""
+    n, held = len(texts), [plain_entities(t) for t in texts]
+    inside = [set(re.findall(r"[^\W\d_]+", t)) for t in texts]
+    bare = [set(re.findall(r"[^\W\d_]+", re.sub(r"\S*@\S*", " ", t))) for t in texts]
+    n_t = Counter(x for w in inside for x in w)
+    n_e, pairs, different = Counter(), Counter(), defaultdict(set)
+    for k in range(n):
+        for e in held[k]:
+            n_e[e] += 1
+            different[e].add(texts[k])
+            for x in bare[k]:
+                pairs[e, x] += 1
+                different[e, x].add(texts[k])
+    flagged = set()
+    for (e, x), c in pairs.items():
+        if len(different[e, x]) >= 2:
+            pmi, ic = math.log2(n * c / (n_e[e] * n_t[x])), math.log2(n / n_e[e])
+            if pmi >= ic / pii.ALPHA - 1e-9:
+                flagged.add((e, x))
+    return [{x for e in held[k] for x in bare[k] if (e, x) in flagged} for k in range(n)]
+
+
+def test_terms_by_plain_pmi(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    # classes and values of our own beside the table's
+    rng = random.Random(3)
+    words = [w for _, t in rows[:50] for w in t.split()[:20]]
+    for k in range(60):
+        said = " ".join(rng.choice(words) for _ in range(40))
+        rows.append((10**6 + k, f"{said} Quibbledom user{k % 7}@corp{k % 3}.example {said[:50]} from 10.{k % 4}.3.{k}"))
+    want = plain_terms([t for _, t in rows])
+    found = {r.doc_id: {s.value for s in r.terms} for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {k: w for (k, _), w in zip(rows, want, strict=True)}
+    assert sum(map(bool, want)) >= 50
+
+
+def test_terms_of_the_whole_table(spark):
+    found = pii.find(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    assert found.where("size(terms) > 0").count() > 0
+    assert found.where("size(terms) > 0 and size(base) = 0").count() == 0
+
+
 def test_languages_of_awkward_rows(spark):
     rng = random.Random(9)
     say = {"en": "the house and they were with that thing which would".split(), "de": "das Haus und sie waren mit dem Ding welches würde".split()}
