@@ -6,9 +6,14 @@ smoothed in steps: all rows, then the address suffix, then the host.  A small ta
 texts of each language gives the weight of a declaration.  The second step adds the logarithms and
 normalises; hosts meet their priors in a join that adaptive execution splits where one host is hot.
 
-Defined results: a text without letters (null or empty ones too) has language ``und`` and is rejected;
-without a host, a suffix or a declaration that evidence is left out; repeated rows count each time; an
-empty table, or one without labels, gives ``und``.
+A model knows the languages of its labels alone, so a text is unfamiliar, and has no language, where its n-grams
+are less likely, in its best language, than that language's own by more than ``UNFAMILIAR`` nats each and the
+spread that so many n-grams have.  Labels and declarations count by their primary subtag.
+
+Defined results: a text without letters (null or empty ones too) or an unfamiliar one has language ``und`` and is
+rejected, as is one whose best language is less likely than ``LEAST`` or isn't wanted; without a host, a suffix
+or a declaration that evidence is left out; a label or declaration that has no language subtag counts as none;
+repeated rows count each time; an empty table, or one without labels, gives ``und``.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomfield.llm import html_extract
 from loomfield.llm.common import fresh, frugal, keep, utf8
 
 #: Labelled texts that the text model is fitted on, chosen by their hash in every language.
@@ -36,6 +42,10 @@ _SHARES = 1 << 30
 STRENGTH = 20.0
 #: n-grams of a text overlap, so their joint evidence is tempered; and how sure a result must be.
 TEMPER, LEAST = 0.3, 0.5
+#: Nats an n-gram may be less likely than a language's own on average, and spreads of that average besides.
+UNFAMILIAR, SPREADS = 2.0, 4.0
+#: Most languages of a model, those with most texts.
+LANGUAGES = 200
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 300_000
 
@@ -45,6 +55,7 @@ class TextModel:
     languages: tuple[str, ...]
     grams: dict[str, int]
     weights: np.ndarray  # a row of log probabilities for each gram; the last is that of unknown grams
+    usual: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))  # each language's mean of a gram's log probability, and its deviation
 
 
 def word_grams(word: str) -> Iterator[str]:
@@ -54,13 +65,18 @@ def word_grams(word: str) -> Iterator[str]:
             yield w[k : k + n]
 
 
+def primary(label: Column) -> Column:
+    """The primary language subtag of a label such as ``en-US``, or null."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(label)), "^([a-z]{2,3})(?:[-_].*)?$", 1), F.lit(""))
+
+
 def train(docs: DataFrame, text: str = "text", label: str = "lang", rows: int = TRAIN_ROWS) -> TextModel:
     """n-gram frequencies by language over a bounded sample; the counts collected are bounded by it too."""
-    labelled = docs.select(F.lower(F.trim(F.col(f"`{label}`"))).alias("lang"), F.col(f"`{text}`").alias("text")).where("lang <> ''")
+    labelled = docs.select(primary(F.col(f"`{label}`")).alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null")
     hashed = labelled.where("text is not null").withColumn("h", F.xxhash64("text"))
     # each language has its part of the rows; by distinct texts, the hash lets about twice as many through, so that
     # only those are shuffled, and all of a language with few
-    sizes = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     total = sum(sizes.values())
     parts = {lang: max(LEAST_ROWS, -(-rows * n // max(1, total))) for lang, n in sizes.items()}
     shares = {lang: min(_SHARES, -(-2 * max(parts[lang], FEW) * _SHARES // max(1, n))) for lang, n in sizes.items()}
@@ -93,7 +109,11 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", rows: int =
     for lang, g, n in zip(counts["lang"], counts["gram"], counts["n"], strict=True):
         table[grams[g], languages.index(lang)] = n
     smooth = table + 0.5
-    return TextModel(languages, grams, np.log(smooth / smooth.sum(axis=0)) if languages else smooth)
+    if not languages:
+        return TextModel(languages, grams, smooth)
+    weights, shares = np.log(smooth / smooth.sum(axis=0)), table / np.maximum(1, table.sum(axis=0))
+    mean = (shares * weights).sum(axis=0)
+    return TextModel(languages, grams, weights, np.stack([mean, np.sqrt(np.maximum(0, (shares * weights**2).sum(axis=0) - mean**2))]))
 
 
 class _Scores(dict):
@@ -101,14 +121,16 @@ class _Scores(dict):
 
     def __init__(self, model: TextModel):
         super().__init__()
-        self.model, self.table = model, np.zeros((1024, len(model.languages)))
+        # the last column is the word's number of n-grams
+        self.model, self.table = model, np.zeros((1024, len(model.languages) + 1))
 
     def __missing__(self, word: str) -> int:
         k, m = len(self), self.model
         if k >= len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         get, unknown = m.grams.get, len(m.grams)
-        self.table[k] = m.weights[[get(g, unknown) for g in word_grams(word)]].sum(axis=0)
+        at = [get(g, unknown) for g in word_grams(word)]
+        self.table[k, :-1], self.table[k, -1] = m.weights[at].sum(axis=0), len(at)
         self[word] = k
         return k
 
@@ -117,11 +139,16 @@ class _Scores(dict):
             self.clear()
         # the index list comes first: it may grow the table
         at = [self[w] for w in _WORD.findall(text.lower())]
-        return self.table[at].sum(axis=0).tolist() if at else None
+        if not at:
+            return None
+        *found, n = self.table[at].sum(axis=0).tolist()
+        best = int(np.argmax(found))
+        mean, spread = self.model.usual[:, best]
+        return found if found[best] / n >= mean - UNFAMILIAR - SPREADS * spread / math.sqrt(n * TEMPER) else None
 
 
 def with_scores(docs: DataFrame, model: TextModel, text: str, out: str) -> DataFrame:
-    """``docs`` with each language's log likelihood, null for texts without letters."""
+    """``docs`` with each language's log likelihood, null for texts without letters and unfamiliar ones."""
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
@@ -163,8 +190,8 @@ def fuse(scored: DataFrame, model: TextModel, ll: str, declared: str, address: s
     if not n:
         return scored.select(*out, F.lit("und").alias(f"{prefix}language"), F.lit(0.0).alias(f"{prefix}confidence"))
     said, host, post = f"{prefix}said", f"{prefix}host", f"{prefix}post"
-    claim = F.lower(F.substring_index(F.trim(F.col(f"`{declared}`")), "-", 1))
-    claim = F.when(F.nullif(claim, F.lit("")).isNotNull(), F.when(claim.isin(*languages), claim).otherwise("other"))
+    claim = primary(F.col(f"`{declared}`"))
+    claim = F.when(claim.isNotNull(), F.when(claim.isin(*languages), claim).otherwise("other"))
     rows = scored.select(*out, claim.alias(said), host_of(F.col(f"`{address}`")).alias(host))
     alone = rows.where(F.col(ll).isNotNull()).select(said, host, F.transform(ll, lambda x: x * TEMPER).alias("x")).select(said, host, _softmax(F.col("x")).alias(post))
     sums = [F.sum(F.col(post)[k]).alias(f"s{k}") for k in range(n)]
@@ -193,19 +220,30 @@ def fuse(scored: DataFrame, model: TextModel, ll: str, declared: str, address: s
     return sure.select(*out, F.when(best >= LEAST, named).otherwise("und").alias(f"{prefix}language"), F.coalesce(best, F.lit(0.0)).alias(f"{prefix}confidence"))
 
 
-def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", declared: str = "lang", address: str = "source", model: TextModel | None = None) -> DataFrame:
-    """(doc_id, language, confidence, kept) for every row."""
+def _kept(language: Column, wanted: tuple[str, ...] | None) -> Column:
+    return language.isin(*wanted) if wanted is not None else language != "und"
+
+
+def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", declared: str = "lang", address: str = "source", model: TextModel | None = None, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """(doc_id, language, confidence, kept) for every row; with ``wanted`` only rows of those languages are kept."""
     model = model or train(docs, text, declared)
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{declared}`").alias("declared"), F.col(f"`{address}`").alias("address"))
     scored = keep(with_scores(slim, model, "text", "ll").drop("text"), "scores")
     found = fuse(scored, model, "ll", "declared", "address")
-    return found.select("doc_id", F.col("__llanguage").alias("language"), F.col("__lconfidence").alias("confidence"), (F.col("__llanguage") != "und").alias("kept"))
+    return found.select("doc_id", F.col("__llanguage").alias("language"), F.col("__lconfidence").alias("confidence"), _kept(F.col("__llanguage"), wanted).alias("kept"))
 
 
-def filter_documents(docs: DataFrame, text: str = "text", declared: str = "lang", address: str = "source", model: TextModel | None = None) -> DataFrame:
-    """The rows whose language is known, with all their columns."""
+def filter_documents(docs: DataFrame, text: str = "text", declared: str = "lang", address: str = "source", model: TextModel | None = None, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows whose language is known, and among ``wanted`` where those are given, with all their columns."""
     model = model or train(docs, text, declared)
     ll, prefix = fresh(docs, "ll"), fresh(docs, "id")
     scored = keep(with_scores(docs, model, text, ll), "scores")
     found = fuse(scored, model, ll, declared, address, prefix)
-    return found.where(F.col(f"{prefix}language") != "und").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.where(_kept(F.col(f"{prefix}language"), wanted)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def identify_pages(pages: DataFrame, page_id: str = "page_id", html: str = "html", address: str = "url", wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """(page_id, language, confidence, kept) of web pages: their main text, what their markup declares, and their address."""
+    texts = html_extract.extract(pages.withColumn("__declared", declared_in_markup(F.col(f"`{html}`"))), html, (page_id, address, "__declared"))
+    found = identify(keep(texts, "pages"), page_id, "text", "__declared", address, wanted=wanted)
+    return found.withColumnRenamed("doc_id", "page_id")

@@ -42,6 +42,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
@@ -77,6 +81,7 @@ QUERIES = {
     "op4_near_vectors": op4_near_vectors,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
+    "page_languages": page_languages,
     "op7_pii": op7_pii,
     "op8_html_extraction": op8_html_extraction,
     "op9_warc": op9_warc,
