@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +40,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Tables written by ``keep`` and not deleted yet, by application.
-_KEPT: dict[str, list[str]] = {}
+#: Tables written by ``keep`` and not deleted yet, with their owner, by application.
+_KEPT: dict[str, list[tuple[str, str]]] = {}
+_OWNER: ContextVar[str] = ContextVar("owner", default="")
+
+
+@contextlib.contextmanager
+def owner(name: str) -> Iterator[None]:
+    """Tables kept inside belong to ``name``, so that ``release`` leaves all others alone."""
+    token = _OWNER.set(name)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
 
 
 def keep(df: DataFrame, name: str = "kept") -> DataFrame:
@@ -50,7 +62,7 @@ def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    _KEPT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _KEPT.setdefault(spark.sparkContext.applicationId, []).append((path, _OWNER.get()))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -64,27 +76,25 @@ def few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def release(spark: SparkSession, *still: DataFrame) -> None:
-    """Delete the tables ``keep`` has written in this application, but for those that ``still`` reads.
+def release(spark: SparkSession, name: str, *still: DataFrame) -> None:
+    """Delete the tables that ``keep`` has written for the owner ``name``, but for those that ``still`` reads.
 
     For use once results that are computed from them have been written.
     """
-    files = [f for df in still for f in df.inputFiles()]
-    mine = _KEPT.get(spark.sparkContext.applicationId, [])
-    gone = [p for p in mine if not any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files)]
-    for path in gone:
-        delete(spark, path)
-    _KEPT[spark.sparkContext.applicationId] = [p for p in mine if p not in gone]
+    _forget(spark, lambda path, by, names: by == name and path.rsplit("/", 1)[-1] not in names, *still)
 
 
 def drop(df: DataFrame) -> None:
     """Delete one table that ``keep`` has written, when what is computed from it has been written as well."""
-    spark = df.sparkSession
-    names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+    _forget(df.sparkSession, lambda path, by, names: path.rsplit("/", 1)[-1] in names, df)
+
+
+def _forget(spark: SparkSession, gone: Callable[[str, str, set[str]], bool], *read: DataFrame) -> None:
+    folders = {part for df in read for f in df.inputFiles() for part in f.split("/")[:-1]}
     mine = _KEPT.get(spark.sparkContext.applicationId, [])
-    for path in [p for p in mine if p.rsplit("/", 1)[-1] in names]:
+    for path, by in [x for x in mine if gone(*x, folders)]:
         delete(spark, path)
-        mine.remove(path)
+        mine.remove((path, by))
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -1,12 +1,15 @@
 import math
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 from data import documents, frame
 
 from loomfield.llm import graph, langid, pii, quality, shingles, simhash
+from loomfield.llm.common import keep
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -170,6 +173,45 @@ def test_quality_metrics_and_verdicts(spark):
     assert quality.assess(frame(spark, [])).count() == 0
 
 
+def test_order_of_rules_by_rejections_per_cost(spark):
+    texts = ["word " * 8] * 5 + ["WE SHOUT " + " ".join(f"W{k}X" for k in range(30))] * 30 + [" ".join(f"a{k} ##" for k in range(40))] * 3 + [" ".join(f"plain{k}" for k in range(60))] * 60
+    docs = frame(spark, [(k, t, *[None] * 8) for k, t in enumerate(texts)])
+    left, paid, rest, want = texts, set(), list(quality.RULES), []
+    got = {(r.doc_id, r.failed_rule) for r in quality.assess(docs, rules=(quality.RULES[4],)).collect()}
+    rejects = {"capitals": {texts[k] for k, x in got if x}}
+    for rule in quality.RULES:
+        rejects[rule.name] = {texts[r.doc_id] for r in quality.assess(docs, rules=(rule,)).collect() if r.failed_rule}
+    while rest:
+        cost = {r.name: 1 + sum(map(len, left)) * sum(quality.COSTS[m] for m in quality.needs(r) - paid) for r in rest}
+        best = max(rest, key=lambda r: sum(t in rejects[r.name] for t in left) / cost[r.name])  # noqa: B023
+        want.append(best.name)
+        rest.remove(best)
+        paid |= quality.needs(best)
+        left = [t for t in left if t not in rejects[best.name]]
+    for _ in range(2):
+        assert [r.name for r in quality.order_rules(docs)] == want
+    assert want[0] == "capitals"
+    assert [r.name for r in quality.order_rules(frame(spark, []))] == [r.name for r in quality.RULES]
+
+
+def plain_kept(text):
+    """Whether no rule rejects: the rules' thresholds over plain counts."""
+    text = text or ""
+    n, chars, symbols, dup, repeats = plain_quality(text)
+    w = WORD.findall(text)
+    lines = sum(1 for line in text.split("\n") if WORD.search(line))
+    capitals, letters = (sum(1 for c in text if ok(unicodedata.category(c))) for ok in (lambda c: c == "Lu", lambda c: c[0] == "L"))
+    stutters = sum(a == b for a, b in zip(w, w[1:], strict=False))
+    return not (n < 20 or 100 * repeats > 30 * n or 10 * symbols > n or 2 * dup > lines or 10 * capitals > 4 * chars or 10 * stutters > 3 * n or chars < 2 * n or chars > 15 * n or 10 * letters < 4 * chars)
+
+
+def test_verdicts_by_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    found = {r.doc_id: r.kept for r in quality.assess(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert found == {r.doc_id: plain_kept(r.text) for r in rows}
+    assert 0 < sum(found.values()) < len(found)
+
+
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -313,6 +355,86 @@ def test_languages_of_awkward_rows(spark):
     assert [r.language for r in langid.identify(frame(spark, unlabelled)).collect()] == ["und"]
 
 
+def test_unfamiliar_unwanted_and_dirty_labels(spark):
+    rng = random.Random(10)
+    say = {"en": "the house and they were with that thing which would".split(), "de": "das Haus und sie waren mit dem Ding welches würde".split()}
+    labels = {"en": ["en", "en-US", " EN_gb"], "de": ["de", "de-AT", "?"]}
+    rows = [(k, " ".join(rng.choice(say[lang]) for _ in range(40)), rng.choice(labels[lang]), None, *[None] * 6) for k in range(80) for lang in [rng.choice(["en", "de"])]]
+    rows += [(90, "это совсем другой язык и другие буквы " * 5, "en", None, *[None] * 6), (91, "日本語の文章です。" * 9, None, None, *[None] * 6), (92, " ".join(say["de"]), "xx-yy", None, *[None] * 6)]
+    docs = frame(spark, rows)
+    assert langid.train(docs).languages == ("de", "en", "xx")
+    docs = frame(spark, rows[:-1])
+    assert langid.train(docs).languages == ("de", "en")
+    found = {r.doc_id: (r.language, r.kept) for r in langid.identify(docs).collect()}
+    assert found[90] == found[91] == ("und", False)
+    assert all(found[r[0]] == ("de" if "Haus" in r[1] or "das" in r[1] else "en", True) for r in rows[:80])
+    only = {r.doc_id for r in langid.identify(docs, wanted=("de",)).where("kept").collect()}
+    assert only == {k for k, (lang, _) in found.items() if lang == "de"}
+    assert {r.doc_id for r in langid.filter_documents(docs, wanted=("de",)).collect()} == only
+
+
+def plain_fusion(rows, model):
+    """(language, confidence) of (log likelihoods or None, claim or None, host or None) rows."""
+    n, names = len(model.languages), [*model.languages, "other"]
+
+    def softmax(x):
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    post = [softmax([v * langid.TEMPER for v in ll]) if ll else None for ll, *_ in rows]
+    claims = [None if c is None else c if c in model.languages else "other" for _, c, _ in rows]
+    suffix = [(re.search(r"\.([a-z]{2,})$", h or "") or ["", ""])[1] for *_, h in rows]
+
+    def total(chosen):
+        return [sum(p[k] for p, ok in zip(post, chosen, strict=True) if p and ok) for k in range(n)]
+
+    world = total([True] * len(rows))
+    world = [(x + 1) / (sum(world) + n) for x in world]
+    told = total([c is not None for c in claims])
+    out = []
+    for (ll, _, host), claim, end in zip(rows, claims, suffix, strict=True):
+        if not ll:
+            out.append(("und", 0.0))
+            continue
+        prior = world
+        if host:
+            in_suffix = total([h is not None and x == end for (*_, h), x in zip(rows, suffix, strict=True)])
+            prior = [(x + langid.STRENGTH * p) / (sum(in_suffix) + langid.STRENGTH) for x, p in zip(in_suffix, prior, strict=True)]
+            in_host = total([h == host for *_, h in rows])
+            prior = [(x + langid.STRENGTH * p) / (sum(in_host) + langid.STRENGTH) for x, p in zip(in_host, prior, strict=True)]
+        said = total([c == claim for c in claims])
+        evidence = [v * langid.TEMPER + math.log(p) + (math.log((s + 1) / (t + len(names))) if claim else 0.0) for v, p, s, t in zip(ll, prior, said, told, strict=True)]
+        sure = softmax(evidence)
+        best = max(range(n), key=lambda k: sure[k])
+        out.append((model.languages[best] if sure[best] >= langid.LEAST else "und", sure[best]))
+    return out
+
+
+def test_fusion_by_plain_sums(spark):
+    rng = random.Random(17)
+    model = langid.TextModel(("de", "en", "fr"), {}, np.zeros((1, 3)), np.zeros((2, 3)))
+    rows = []
+    for k in range(120):
+        ll = [rng.uniform(-40, -30) for _ in range(3)] if k % 9 else None
+        rows.append((ll, rng.choice([None, "de", "en", "it"]), rng.choice([None, "a.example.de", "b.example.de", "c.example.fr", "plain"])))
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, ll array<double>, said string, address string")
+    got = sorted((r.k, r["__llanguage"], r["__lconfidence"]) for r in langid.fuse(keep(table), model, "ll", "said", "address").collect())
+    for (_, language, confidence), (want, sure) in zip(got, plain_fusion(rows, model), strict=True):
+        assert language == want and abs(confidence - sure) < 1e-9
+
+
+def test_languages_of_pages(spark):
+    rng = random.Random(19)
+    say = {"en": "the house and they were with that thing which would".split(), "de": "das Haus und sie waren mit dem Ding welches würde".split()}
+    pages = []
+    for k in range(60):
+        lang = rng.choice(["en", "de"])
+        pages.append((k, f"https://h{k % 3}.example.{'de' if lang == 'de' else 'com'}/x", f"<html lang='{lang if k % 5 else 'de'}'><body><nav><a href=/>start</a></nav><article><p>{' '.join(rng.choice(say[lang]) for _ in range(40))}.</p></article></body>", lang))
+    pages += [(100, None, None, "und"), (101, "u", "<html><body></body>", "und")]
+    got = {r.page_id: r.language for r in langid.identify_pages(spark.createDataFrame(pages, "page_id long, url string, html string, truth string")).collect()}
+    assert got == {p[0]: p[3] for p in pages}
+
+
 def test_languages_of_few_texts_with_many_copies(spark):
     say = {"en": "the house and they were with that thing which would", "de": "das Haus und sie waren mit dem Ding welches würde", "fr": "la maison et ils étaient avec cette chose qui serait"}
     rows = [(k, f"{say[lang]} {k % 3}", lang, None, *[None] * 6) for k in range(9000) for lang in [("en", "de", "fr")[min(2, k % 100)] if k % 100 < 2 else "fr"]]
