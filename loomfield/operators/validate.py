@@ -25,7 +25,7 @@ ISSUES = "array<struct<path:string,message:string,received:string>>"
 MAX_LISTED = 10
 _EMAIL = re.compile(r"[^\s@]+@[^\s@]+\.[^\s@]+")
 _DATE = re.compile(r"(\d{4})-(\d{2})-(\d{2})")
-_DATETIME = re.compile(r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?")
+_DATETIME = re.compile(r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?")
 
 
 def _units(s: str) -> int:

@@ -1,25 +1,35 @@
-"""iCalendar events, recurrence and busy ranges."""
+"""iCalendar events, recurrence, busy ranges and their text.
+
+A rule is expanded inside a window: what lies before it counts for COUNT and is neither kept nor shipped, and the
+ceiling ``MAX_OCCURRENCES`` holds for occurrences in the window.  An occurrence keeps its wall-clock length across
+a change of the clocks.
+"""
 
 from __future__ import annotations
 
 import re
-from calendar import monthrange
+from calendar import month_name, monthrange
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomfield.sources.feeds import put, tidy
 from loomfield.sources.rows import explode_text
-from loomfield.streaming.windows import merge_ranges, overlapping
+from loomfield.streaming.windows import overlapping
 
 MAX_OCCURRENCES, MAX_PERIODS = 20_000, 200_000
 DAYS = ("MO", "TU", "WE", "TH", "FR", "SA", "SU")
 EVENT = (
     "uid string, summary string, description string, location string, status string, transparency string, all_day boolean, start_wall timestamp_ntz, start_zone string, start_utc timestamp, "
-    "end_utc timestamp, rule string, recurrence_id timestamp, added array<timestamp>, excluded array<timestamp>"
+    "end_utc timestamp, rule string, recurrence_id timestamp, added array<timestamp>, excluded array<timestamp>, span_seconds double, fixed_offset double, added_wall array<timestamp_ntz>"
 )
+DAY = timedelta(days=1)
+#: The widest distance between a zone's wall clock and UTC, and some room.
+SLACK = timedelta(hours=26)
 
 
 class CalendarError(ValueError):
@@ -112,8 +122,10 @@ def parse_rule(value: str, line: int = 0) -> dict:
         raise CalendarError(f"line {line}: INTERVAL and COUNT are 1 at least")
     rule["byday"] = []
     for x in parts.pop("BYDAY", "").split(","):
-        if m := re.fullmatch(r"([+-]?\d+)?(MO|TU|WE|TH|FR|SA|SU)", x):
+        if m := re.fullmatch(r"([+-]?\d+)?(MO|TU|WE|TH|FR|SA|SU)", x.strip()):
             rule["byday"].append((int(m[1] or 0), DAYS.index(m[2])))
+        elif x:
+            raise CalendarError(f"line {line}: {x!r} is no BYDAY entry")
     for name in ("BYMONTHDAY", "BYMONTH", "BYSETPOS"):
         rule[name.lower()] = [int(x) for x in parts.pop(name, "").split(",") if x]
     rule["other"] = parts
@@ -136,48 +148,66 @@ def _days_of_month(rule: dict, year: int, month: int, start: datetime) -> list[i
     return days
 
 
-def occurrences(rule: dict, start: datetime, until: datetime | None) -> Iterator[datetime]:
-    """Wall-clock starts from ``start`` up to ``until``; hourly and shorter rules give the start alone."""
-    if rule["freq"] not in ("DAILY", "WEEKLY", "MONTHLY", "YEARLY"):
-        yield start
-        return
-    given, clock = 0, start.time()
+def _periods(rule: dict, start: datetime) -> Iterator[list[date]]:
+    """Each period's days, the first period being that of ``start``."""
+    weekdays = {w for _, w in rule["byday"]}
     for period in range(MAX_PERIODS):
         step = period * rule["interval"]
-        if rule["freq"] == "DAILY":
-            days = [start.date() + timedelta(days=step)]
-            if rule["byday"]:
-                days = [d for d in days if d.weekday() in {w for _, w in rule["byday"]}]
-            if rule["bymonthday"]:
-                days = [d for d in days if d.day in rule["bymonthday"] or d.day - 1 - monthrange(d.year, d.month)[1] in rule["bymonthday"]]
-        elif rule["freq"] == "WEEKLY":
-            first = start.date() - timedelta(days=(start.weekday() - DAYS.index(rule["wkst"])) % 7) + timedelta(weeks=step)
-            wanted = {w for _, w in rule["byday"]} or {start.weekday()}
-            days = [d for k in range(7) if (d := first + timedelta(days=k)).weekday() in wanted]
-        else:
-            if rule["freq"] == "MONTHLY":
-                month = start.month - 1 + step
-                months = [(start.year + month // 12, month % 12 + 1)]
+        try:
+            if rule["freq"] == "DAILY":
+                d = start.date() + timedelta(days=step)
+                days = [d] if not weekdays or d.weekday() in weekdays else []
+                if rule["bymonthday"]:
+                    days = [d for d in days if d.day in rule["bymonthday"] or d.day - 1 - monthrange(d.year, d.month)[1] in rule["bymonthday"]]
+            elif rule["freq"] == "WEEKLY":
+                first = start.date() - timedelta(days=(start.weekday() - DAYS.index(rule["wkst"])) % 7) + timedelta(weeks=step)
+                days = [d for k in range(7) if (d := first + timedelta(days=k)).weekday() in (weekdays or {start.weekday()})]
             else:
-                year = start.year + step
-                months = [(year, m) for m in (sorted(rule["bymonth"]) or [start.month])]
-            if months[0][0] > 9998:
-                return
-            days = [date(y, m, d) for y, m in months for d in _days_of_month(rule, y, m, start)]
-        if rule["bymonth"]:
-            days = [d for d in days if d.month in rule["bymonth"]]
+                if rule["freq"] == "MONTHLY":
+                    month = start.month - 1 + step
+                    months = [(start.year + month // 12, month % 12 + 1)]
+                else:
+                    every = range(1, 13) if rule["byday"] and not rule["bymonthday"] else [start.month]
+                    months = [(start.year + step, m) for m in (sorted(rule["bymonth"]) or every)]
+                days = [date(y, m, d) for y, m in months for d in _days_of_month(rule, y, m, start)]
+        except (ValueError, OverflowError):  # behind the last year there is
+            return
+        yield [d for d in days if d.month in rule["bymonth"]] if rule["bymonth"] else days
+
+
+def occurrences(rule: dict, start: datetime, since: datetime | None, stop: datetime, until: datetime | None = None) -> Iterator[datetime]:
+    """Wall-clock starts in [since, stop), up to ``until``; the first is always ``start``, whatever the rule says.
+
+    Earlier ones count for COUNT.  Hourly and shorter rules give the start alone.
+    """
+    given, kept = 1, 0
+    if start >= stop:
+        return
+    if since is None or start >= since:
+        kept += 1
+        yield start
+    if rule["freq"] not in ("DAILY", "WEEKLY", "MONTHLY", "YEARLY") or rule["count"] == 1:
+        return
+    skip = since - start - timedelta(days=1) if since is not None and rule["count"] is None and rule["freq"] in ("DAILY", "WEEKLY") else timedelta()
+    if skip > timedelta():
+        # without COUNT nothing before the window matters, so whole periods are left out
+        length = timedelta(days=rule["interval"] * (7 if rule["freq"] == "WEEKLY" else 1))
+        begin = start + max(0, skip // length - 1) * length
+    else:
+        begin = start
+    for days in _periods(rule, begin):
         for d in days:
-            at = datetime.combine(d, clock)
-            if at < start:
+            at = datetime.combine(d, start.time())
+            if at <= start:
                 continue
-            if until is not None and at > until:
+            if at >= stop or until is not None and at > until:
                 return
-            yield at
             given += 1
-            if given == rule["count"] or given >= MAX_OCCURRENCES:
+            if since is None or at >= since:
+                kept += 1
+                yield at
+            if given == rule["count"] or kept >= MAX_OCCURRENCES:
                 return
-        if not days and until is not None and rule["freq"] != "YEARLY" and start + timedelta(days=step * {"DAILY": 1, "WEEKLY": 7, "MONTHLY": 28}[rule["freq"]]) > until + timedelta(days=62):
-            return
 
 
 def events(text: str) -> Iterator[dict]:
@@ -196,12 +226,17 @@ def events(text: str) -> Iterator[dict]:
                 raise CalendarError("an event has no DTSTART")
 
             def when(name: str, many: bool = False):
-                found = [instant(*(w := wall_time(x, p, k))[::2], offsets) for n, p, v, k in event["properties"] if n == name for x in (split_values(v) if many else [v])]  # noqa: B023, F841
+                found = [instant(*(w := wall_time(x, p, k))[::2], offsets) for n, p, v, k in event["properties"] if n == name for x in ([y.partition("/")[0] for y in split_values(v)] if many else [v])]  # noqa: B023, F841
                 return found if many else next(iter(found), None)
 
             p, v, k = one["DTSTART"]
             wall, whole, zone = wall_time(v, p, k)
             begin = instant(wall, zone, offsets)
+            if "DTEND" in one:
+                end_wall, _, end_zone = wall_time(one["DTEND"][1], one["DTEND"][0], one["DTEND"][2])
+                span = end_wall - wall if end_zone == zone else instant(end_wall, end_zone, offsets) - begin
+            else:
+                span = duration(*one["DURATION"][1:]) if "DURATION" in one else DAY if whole else timedelta()
             end = when("DTEND") or begin + (duration(*one["DURATION"][1:]) if "DURATION" in one else timedelta(days=1) if whole else timedelta())
             words = {c: unescape(one[n][1]) if n in one else None for c, n in (("summary", "SUMMARY"), ("description", "DESCRIPTION"), ("location", "LOCATION"))}
             yield words | {
@@ -217,6 +252,9 @@ def events(text: str) -> Iterator[dict]:
                 "recurrence_id": when("RECURRENCE-ID"),
                 "added": when("RDATE", True),
                 "excluded": when("EXDATE", True),
+                "span_seconds": span.total_seconds(),
+                "fixed_offset": offsets[zone].total_seconds() if zone in offsets else None,
+                "added_wall": [wall_time(x.partition("/")[0], p, k)[0] for n, p, v, k in event["properties"] if n == "RDATE" for x in split_values(v)],
             }
 
 
@@ -224,39 +262,201 @@ def read_events(rows: DataFrame, key: str, ics: str) -> DataFrame:
     return explode_text(rows, key, ics, events, EVENT)
 
 
-def busy_ranges(found: DataFrame, key: str, since: datetime, until: datetime, merge: bool = True) -> DataFrame:
-    """Busy ranges of ``read_events`` rows that meet [since, until).
+def expand(event: dict, since: datetime, until: datetime) -> Iterator[tuple[datetime, datetime]]:
+    """(start, end) in UTC of the event's occurrences that may meet [since, until), without its excluded ones."""
+    wall, zone, span = event["start_wall"], event["start_zone"], timedelta(seconds=event["span_seconds"] or 0)
+    offsets = {zone: timedelta(seconds=event["fixed_offset"])} if event["fixed_offset"] is not None else {}
+    walls = [wall]
+    if event["rule"] is not None:
+        rule, last = parse_rule(event["rule"]), None
+        if rule["until"]:
+            last, whole, last_zone = wall_time(rule["until"], {})
+            if whole and not event["all_day"]:
+                last += DAY - timedelta(milliseconds=1)
+            elif last_zone == "UTC" and zone not in (None, "UTC"):
+                known = _known(zone)
+                last = last.replace(tzinfo=timezone.utc).astimezone(ZoneInfo(zone)).replace(tzinfo=None) if known else last + offsets.get(zone, timedelta())
+        walls = occurrences(rule, wall, since.replace(tzinfo=None) - SLACK - max(span, timedelta()), until.replace(tzinfo=None) + SLACK, last)
+    gone, seen = set(event["excluded"] or ()), set()
+    for w in (*walls, *(event["added_wall"] or ())):
+        begin = instant(w, zone, offsets)
+        if begin not in seen and begin not in gone:
+            seen.add(begin)
+            end = begin + span if event["all_day"] or zone in (None, "UTC") else instant(w + span, zone, offsets)
+            yield begin, max(begin, end)
+
+
+def _known(zone: str) -> bool:
+    try:
+        return bool(ZoneInfo(zone))
+    except (KeyError, ValueError, OSError):
+        return False
+
 
-    Rules are expanded by one task for each event; excluded dates and moved occurrences leave by anti joins;
-    transparent and cancelled events don't count; touching ranges become one.
+def busy_ranges(found: DataFrame, key: str, since: datetime, until: datetime, merge: bool = True, transparent: bool = False, cancelled: bool = False) -> DataFrame:
+    """(key, start, end, all_day, summary, uid) of the occurrences of ``read_events`` rows that meet [since, until).
+
+    Moved occurrences replace those of the same uid by an anti join.  Transparent and cancelled events count only
+    where asked for.  Merged ranges that overlap or touch have ``n`` of them, their summaries in order, are whole
+    days where all are, and keep a uid that all share.
     """
     from pyspark.sql import types as T
-
-    live = found.where("error is null").withColumn("seconds", F.col("end_utc").cast("double") - F.col("start_utc").cast("double"))
-    counted = (F.coalesce("transparency", F.lit("OPAQUE")) != "TRANSPARENT") & (F.coalesce("status", F.lit("")) != "CANCELLED")
-    key_type = found.schema[key].dataType
-    limit = until.replace(tzinfo=None) + timedelta(days=2)
-
-    def expand(rule: str | None, wall: datetime, zone: str | None) -> list[datetime]:
-        if rule is None:
-            return [instant(wall, zone, {})]
-        parsed = parse_rule(rule)
-        last = limit
-        if parsed["until"]:
-            end, whole, end_zone = wall_time(parsed["until"], {})
-            if end_zone == "UTC" and zone not in (None, "UTC"):
-                end = end.replace(tzinfo=timezone.utc).astimezone(ZoneInfo(zone)).replace(tzinfo=None)
-            last = min(last, end + (timedelta(days=1, seconds=-1) if whole else timedelta()))
-        return [instant(w, zone, {}) for w in occurrences(parsed, wall, last)]
-
-    starts = F.udf(expand, T.ArrayType(T.TimestampType()), useArrow=True)
-    base = live.where(counted & F.col("recurrence_id").isNull())
-    ruled = base.select(key, "uid", "seconds", F.explode(F.array_distinct(F.concat(F.when(F.col("rule").isNull(), F.array("start_utc")).otherwise(starts("rule", "start_wall", "start_zone")), F.coalesce("added", F.array().cast("array<timestamp>"))))).alias("at"))
-    gone = live.select(key, "uid", F.explode("excluded").alias("at")).unionByName(live.where("recurrence_id is not null").select(key, "uid", F.col("recurrence_id").alias("at")))
-    same = lambda a, b: a[key].eqNullSafe(b[key]) & a["uid"].eqNullSafe(b["uid"]) & (a["at"] == b["at"])
-    left = ruled.join(gone, same(ruled, gone), "left_anti")
-    moved = live.where(counted & F.col("recurrence_id").isNotNull()).select(key, "uid", "seconds", F.col("start_utc").alias("at"))
-    ranges = left.unionByName(moved).select(key, F.col("at").alias("start"), (F.col("at").cast("double") + F.col("seconds")).cast("timestamp").alias("end"))
-    inside = overlapping(ranges, "start", "end", F.lit(since), F.lit(until))
-    assert key_type is not None
-    return merge_ranges(inside, [key], "start", "end") if merge else inside
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    if until <= since:
+        raise CalendarError("a window must end behind its begin")
+    live = found.where("error is null")
+    counted = live.where((F.lit(transparent) | (F.coalesce("transparency", F.lit("OPAQUE")) != "TRANSPARENT")) & (F.lit(cancelled) | (F.coalesce("status", F.lit("")) != "CANCELLED")))
+    own = ["start_wall", "start_zone", "span_seconds", "fixed_offset", "rule", "all_day", "excluded", "added_wall"]
+    fields = [*counted.select(key, "uid", "summary", "all_day", F.col("recurrence_id").isNotNull().alias("moved")).schema, T.StructField("at", T.TimestampType()), T.StructField("end", T.TimestampType())]
+    schema = T.StructType(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            take, starts, ends = [], [], []
+            for k, event in enumerate(batch.select(own).to_pylist()):
+                for begin, end in expand(event, since, until):
+                    take.append(k)
+                    starts.append(begin)
+                    ends.append(end)
+            at = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(at) for n in arrow.names[:-2]), pa.array(starts, arrow.field("at").type), pa.array(ends, arrow.field("end").type)], schema=arrow)
+
+    slim = counted.select(key, "uid", "summary", F.col("recurrence_id").isNotNull().alias("moved"), *own)
+    each = slim.mapInArrow(run, schema)
+    moved = live.where("recurrence_id is not null and uid is not null").select(F.col(key).alias("__key"), F.col("uid").alias("__uid"), F.col("recurrence_id").alias("__at")).distinct()
+    replaced = each[key].eqNullSafe(moved["__key"]) & (each["uid"] == moved["__uid"]) & (each["at"] == moved["__at"]) & ~each["moved"]
+    left = each.join(moved, replaced, "left_anti")
+    inside = overlapping(left, "at", "end", F.lit(since), F.lit(until))
+    if not merge:
+        return inside.select(key, F.col("at").alias("start"), "end", "all_day", "summary", "uid")
+    order = Window.partitionBy(key).orderBy("at", "end", F.col("summary").asc_nulls_first(), F.col("uid").asc_nulls_first())
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = inside.withColumn("__begins", (before.isNull() | (F.col("at") > before)).cast("int")).withColumn("__island", F.sum("__begins").over(order))
+    step = lambda done, s: F.when(s.isNull() | done.eqNullSafe(s), done).when(done.isNull(), s).otherwise(F.concat(done, F.lit("; "), s))
+    listed = F.array_sort(F.collect_list(F.struct("at", "end", "summary", "uid")))
+    grouped = islands.groupBy(key, "__island").agg(F.min("at").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.bool_and("all_day").alias("all_day"), listed.alias("all"))
+    uid = F.when(F.forall("all", lambda x: x["uid"].eqNullSafe(F.col("all")[0]["uid"])), F.col("all")[0]["uid"])
+    return grouped.select(key, "start", "end", "n", "all_day", F.aggregate(F.transform("all", lambda x: x["summary"]), F.lit(None).cast("string"), step).alias("summary"), uid.alias("uid"))
+
+
+NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+
+
+def _nth(n: int) -> str:
+    n = abs(n)
+    return f"{n}{'th' if n % 100 in (11, 12, 13) else {1: 'st', 2: 'nd', 3: 'rd'}.get(n % 10, 'th')}"
+
+
+def _listed(words: list[str]) -> str:
+    return words[0] if len(words) == 1 else f"{', '.join(words[:-1])} and {words[-1]}"
+
+
+def date_text(wall: datetime, whole: bool, zone: str | None) -> str:
+    """A day, or a day and time with the zone as it is written."""
+    if whole:
+        return f"{wall:%Y-%m-%d}"
+    clock = f"{wall:%H:%M:%S}" if wall.second else f"{wall:%H:%M}"
+    return f"{wall:%Y-%m-%d} {clock}" + (" UTC" if zone == "UTC" else f" ({zone})" if zone else "")
+
+
+def rule_text(rule: dict, start: datetime | None = None) -> str | None:
+    """A rule in plain English, or null where it has parts that this doesn't tell."""
+    if rule["other"] or rule["bysetpos"] or rule["freq"] not in ("DAILY", "WEEKLY", "MONTHLY", "YEARLY"):
+        return None
+    unit = {"DAILY": "day", "WEEKLY": "week", "MONTHLY": "month", "YEARLY": "year"}[rule["freq"]]
+    text = f"every {unit}" if rule["interval"] == 1 else f"every {rule['interval']} {unit}s"
+    dates = _listed([f"the {_nth(d)}" if d > 0 else f"{_nth(d)}-to-last day" for d in rule["bymonthday"]]) if rule["bymonthday"] else ""
+    days = [NAMES[w] if not n else f"the last {NAMES[w]}" if n == -1 else f"the {_nth(n)}{'-to-last' if n < 0 else ''} {NAMES[w]}" for n, w in rule["byday"]]
+    days = _listed(days) if days else ""
+    months = _listed([month_name[m] for m in rule["bymonth"]]) if rule["bymonth"] else ""
+    if unit in ("day", "week"):
+        if dates:
+            return None
+        on = days or (NAMES[start.weekday()] if unit == "week" and start else "")
+    elif unit == "month":
+        on = f"{dates} when it falls on {days}" if dates and days else dates or days or (f"the {_nth(start.day)}" if start else "")
+    elif months and (days or dates):
+        on = f"{days or dates} of {months}"
+    elif months:
+        text, on = f"{text} in {months}", f"the {_nth(start.day)}" if start else ""
+    else:
+        on = days or dates or (f"{start.day} {month_name[start.month]}" if start else "")
+    text += f" on {on}" if on else ""
+    if rule["count"] is not None:
+        text += f", {rule['count']} time{'s' if rule['count'] != 1 else ''}"
+    return text + (f" until {date_text(*wall_time(rule['until'], {}))}" if rule["until"] else "")
+
+
+def _length(span: timedelta, whole: bool) -> str:
+    minutes = int(span.total_seconds()) // 60
+    parts = [(minutes // 1440, "day"), *(() if whole else ((minutes % 1440 // 60, "hour"), (minutes % 60, "minute")))]
+    return " ".join(f"{n} {unit}{'s' if n != 1 else ''}" for n, unit in parts if n)
+
+
+def event_text(event: dict, uid: bool = False, description: bool = True) -> str:
+    """A VEVENT component as a block of ``key: value`` lines."""
+    one = {n: (v, p, k) for n, p, v, k in reversed(event["properties"])}
+
+    def word(name: str) -> str | None:
+        return tidy(unescape(one[name][0])) or None if name in one else None
+
+    def dates(name: str) -> str:
+        return ", ".join(date_text(*wall_time(x.partition("/")[0], p, k)) for n, p, v, k in event["properties"] if n == name for x in split_values(v))
+
+    start, end = (wall_time(*one[n]) if n in one else None for n in ("DTSTART", "DTEND"))
+    long = duration(one["DURATION"][0], one["DURATION"][2]) if "DURATION" in one else None
+    lines = [f"Event: {word('SUMMARY') or '(untitled)'}"]
+    told: list[tuple[str, str | None]] = []
+    if start:
+        told.append(("Starts", date_text(*start) + " (all day)" * start[1]))
+    if end:
+        told.append(("Ends", date_text(*end) + (f" (exclusive: last day is {date_text(end[0] - DAY, True, None)})" if end[1] else "")))
+    elif long is not None:
+        told.append(("Duration", one["DURATION"][0].strip()))
+    span = end[0] - start[0] if start and end else long
+    told.append(("Length", _length(span, bool(start and start[1])) if span and span > timedelta() else None))
+    if "RRULE" in one:
+        raw, gloss = one["RRULE"][0].strip(), rule_text(parse_rule(one["RRULE"][0], one["RRULE"][2]), start and start[0])
+        told.append(("Repeats", f"{gloss} (RRULE:{raw})" if gloss else f"RRULE:{raw}"))
+    organizer = re.sub("(?i)^mailto:", "", one["ORGANIZER"][0]).strip() if "ORGANIZER" in one else None
+    if organizer is not None and (name := one["ORGANIZER"][1].get("CN")):
+        organizer = f"{name} <{organizer}>" if organizer else name
+    categories = ", ".join(unescape(x).strip() for n, _, v, _ in event["properties"] if n == "CATEGORIES" for x in split_values(v) if x.strip())
+    told += [("Also on", dates("RDATE")), ("Except", dates("EXDATE")), ("Replaces occurrence", dates("RECURRENCE-ID")), ("Location", word("LOCATION")), ("Status", (word("STATUS") or "").upper())]
+    told.append(("Shows as", "free (does not block time)" if (word("TRANSP") or "").upper() == "TRANSPARENT" else None))
+    told += [("Organizer", organizer), ("Categories", categories), ("URL", one["URL"][0].strip() if "URL" in one else None)]
+    told += [("Description", word("DESCRIPTION") if description else None), ("UID", one["UID"][0].strip() if uid and "UID" in one else None)]
+    for name, value in told:
+        if value:
+            put(lines, 1, name, value)
+    return "\n".join(lines)
+
+
+def calendar_events(text: str, **shown: bool) -> Iterator[dict]:
+    """Each event's number and text."""
+    found = [e for c in components(text)["children"] if c["name"] == "VCALENDAR" for e in c["children"] if e["name"] == "VEVENT"]
+    yield from ({"pos": n, "text": event_text(e, **shown)} for n, e in enumerate(found, 1))
+
+
+def calendar_text(text: str, **shown: bool) -> str:
+    """A short head and every event as a block."""
+    properties = [p for c in components(text)["children"] if c["name"] == "VCALENDAR" for p in c["properties"]]
+    blocks = [e["text"] for e in calendar_events(text, **shown)]
+    head: list[str] = []
+    for name, key in (("X-WR-CALNAME", "Calendar"), ("X-WR-TIMEZONE", "Time zone")):
+        if value := next((tidy(unescape(v)) for n, _, v, _ in properties if n == name), None):
+            put(head, 0, key, value)
+    put(head, 0, "Events", str(len(blocks)))
+    return "\n\n".join(["\n".join(head), *blocks])
+
+
+def read_calendar_texts(rows: DataFrame, key: str, ics: str, uid: bool = False, description: bool = True) -> DataFrame:
+    """(key, text, error): every calendar as one text."""
+    return explode_text(rows, key, ics, lambda t: [{"text": calendar_text(t, uid=uid, description=description)}], "text string")
+
+
+def read_event_texts(rows: DataFrame, key: str, ics: str, label: str = "Event", uid: bool = False, description: bool = True) -> DataFrame:
+    """(key, pos, label, text, error): a source for every event."""
+    return explode_text(rows, key, ics, lambda t: (e | {"label": f"{label} {e['pos']}"} for e in calendar_events(t, uid=uid, description=description)), "pos int, label string, text string")
