@@ -50,7 +50,7 @@ def transcript_speakers(spark, sf_dir):
 
 
 def transcript_turns(spark, sf_dir):
-    """A fold whose state is the block's own start; tests hold it against a loop."""
+    """A fold whose state is the block's own start."""
     return transcripts.coalesce_segments(_segments(spark, sf_dir), "user_id", 3600.0)
 
 
@@ -198,6 +198,18 @@ ORACLE_SQL = {
         WITH f AS (SELECT user_id, event_type, min({_SECONDS}) AS first_at FROM events WHERE event_type IS NOT NULL GROUP BY ALL)
         SELECT user_id, string_agg(event_type, ',' ORDER BY first_at, event_type) AS speakers FROM f GROUP BY user_id
     """,
+    "transcript_turns": f"""
+        WITH RECURSIVE s AS (
+            SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a, b, speaker NULLS FIRST, t NULLS FIRST) AS k
+            FROM (SELECT user_id, {_SECONDS} AS a, {_SECONDS} + 20 AS b, event_type AS speaker, CAST(event_id AS VARCHAR) AS t FROM events)
+        ), f AS (
+            SELECT user_id, k, a, b, speaker, t, a AS begun, 1 AS block FROM s WHERE k = 1
+            UNION ALL SELECT s.user_id, s.k, s.a, s.b, s.speaker, s.t, CASE WHEN s.speaker IS NOT DISTINCT FROM f.speaker AND s.b - f.begun <= 3600 THEN f.begun ELSE s.a END,
+                             CASE WHEN s.speaker IS NOT DISTINCT FROM f.speaker AND s.b - f.begun <= 3600 THEN f.block ELSE f.block + 1 END
+            FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k + 1
+        )
+        SELECT user_id, min(a) AS "start", max(b) AS "end", any_value(speaker) AS speaker, string_agg(t, ' ' ORDER BY k) AS text FROM f GROUP BY user_id, block
+    """,
     "overlapping_events": """
         WITH d AS (SELECT date_trunc('day', min(ts)) AS a FROM events)
         SELECT event_id FROM events, d WHERE ts < a + INTERVAL 3 DAY AND ts + INTERVAL 2 HOUR > a + INTERVAL 1 DAY

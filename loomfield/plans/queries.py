@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomfield.functions import html, text
 from loomfield.operators import coerce as co
 from loomfield.operators import evaluate, mapping, sources, validate
-from loomfield.plans import catalogue
+from loomfield.plans import catalogue, readers
 from loomfield.plans import schema as s
 from loomfield.streaming import windows
 
@@ -229,6 +229,19 @@ ORACLE_SQL = {
     "tidy_documents": f"SELECT doc_id, md5({_TIDY.format(chr(39).join(['regexp_replace(text, ', chr(92) + 'r' + chr(92) + 'n?', ', chr(10), ', 'g', ')']))}) AS tidy_md5 FROM documents",
     **{f"truncate_{p}": _cut_sql(p) for p in ("tail", "head", "middle")},
     "render_conversations": f"SELECT conv_id AS item_id, string_agg({_BLOCK.format(label='role')}, chr(10) || chr(10) ORDER BY turn) AS user_input FROM conversations GROUP BY conv_id",
+    "budget_conversations": """
+        WITH RECURSIVE s AS (
+            SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY length(text), turn) AS k, count(*) OVER (PARTITION BY conv_id) AS all_, sum(length(text)) OVER (PARTITION BY conv_id) AS whole FROM conversations
+        ), g AS (
+            SELECT conv_id, turn, n, k, all_, whole, least(n, 600 // all_) AS given, 600 - least(n, 600 // all_) AS rest FROM s WHERE k = 1
+            UNION ALL SELECT s.conv_id, s.turn, s.n, s.k, s.all_, s.whole, least(s.n, g.rest // (s.all_ - g.k)), g.rest - least(s.n, g.rest // (s.all_ - g.k)) FROM g JOIN s ON s.conv_id = g.conv_id AND s.k = g.k + 1
+        ), c AS (
+            SELECT conv_id, turn, n, CASE WHEN whole <= 600 THEN n ELSE given END AS given FROM g
+        ), r AS (
+            SELECT *, greatest(0, given - length('[… ' || format('{:,}', n) || ' characters omitted …]') - 2) AS room FROM c
+        )
+        SELECT conv_id AS item_id, turn AS pos, CAST(n AS BIGINT) AS original_length, CAST(CASE WHEN n <= given THEN n ELSE room + 1 + length('[… ' || format('{:,}', n - room) || ' characters omitted …]') END AS BIGINT) AS kept_length FROM r
+    """,
     "cast_numbers": "SELECT o_orderkey, round(o_totalprice, 2) AS price, CAST(NULL AS DOUBLE) AS priority FROM orders",
     "split_lists": "SELECT p_partkey, replace(p_type, ' ', '+') AS items FROM part",
     "map_customers": "SELECT c_custkey, c_name AS name, c_mktsegment AS segment, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS DOUBLE) AS balance FROM customer",
@@ -271,5 +284,5 @@ _META = ORACLE_SQL["page_meta"].replace("FROM pages)", "FROM pages WHERE page_id
 ORACLE_SQL["page_sources"] = ORACLE_SQL["page_sources"].replace("{META}", f"(SELECT meta FROM ({_META}))").replace("AS meta FROM pages", "AS meta FROM pages p")
 ORACLE_SQL["request_inputs"] = f"SELECT item_id AS conv_id, md5(user_input) AS input_md5 FROM ({ORACLE_SQL['render_conversations']})"
 
-QUERIES |= catalogue.QUERIES
-ORACLE_SQL |= catalogue.ORACLE_SQL
+QUERIES |= catalogue.QUERIES | readers.QUERIES
+ORACLE_SQL |= catalogue.ORACLE_SQL | readers.ORACLE_SQL

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomfield.sources.rows import explode_text
+
 DELIMITERS, SAMPLE_LINES, MAX_COLUMNS = (",", "\t", ";", "|"), 10, 256
 
 
@@ -193,22 +195,47 @@ def shape(rows: list[list[str | None]], header_row: int = 1, max_rows: int | Non
     return headers(head, width), found if max_rows is None else found[:max_rows], len(found)
 
 
-def read_tables(spark: SparkSession, path: str, header_row: int = 1, max_rows: int | None = None) -> DataFrame:
-    """(path, sheet, row_number, total_rows, cells map<string,string>) of delimited files and workbooks; a file is one task's."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+TABLE = "sheet string, row_number long, total_rows long, cells map<string,string>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for where, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                book = read_workbook(data) if data[:4] == b"PK\x03\x04" else [(None, parse_delimited(data.decode("utf-8", "replace")))]
-                for sheet, grid in book:
-                    names, rows, total = shape(grid, header_row, max_rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([where] * len(rows), pa.string()), pa.array([sheet] * len(rows), pa.string()), pa.array([n for n, _ in rows], pa.int64()), pa.array([total] * len(rows), pa.int64()), pa.array([list(zip(names, cells, strict=True)) for _, cells in rows], pa.map_(pa.string(), pa.string()))],
-                        names=["path", "sheet", "row_number", "total_rows", "cells"],
-                    )
-
-    return files.mapInArrow(run, "path string, sheet string, row_number long, total_rows long, cells map<string,string>")
+
+def grids(data: bytes) -> list[tuple[str | None, list[list[str | None]]]]:
+    """(sheet, rows of text): the worksheets of a workbook, or delimited text as one without a name."""
+    return read_workbook(data) if data[:4] == b"PK\x03\x04" else [(None, parse_delimited(data.decode("utf-8", "replace")))]
+
+
+def pick_sheet(names: list[str | None], wanted: str | int | None) -> list[int]:
+    """Places of the sheets asked for: all, one by its number from 0, or one by its name in any case."""
+    if wanted is None:
+        return list(range(len(names)))
+    if isinstance(wanted, int):
+        found = [wanted] if 0 <= wanted < len(names) else []
+    else:
+        found = [k for k, n in enumerate(names) if n == wanted] or [k for k, n in enumerate(names) if n is not None and n.lower() == wanted.lower()]
+    if not found:
+        raise ValueError(f"no sheet {wanted!r}; there are {', '.join(map(str, names))}")
+    return found[:1]
+
+
+def read_table_column(rows: DataFrame, key: str, content: str, header_row: int = 1, max_rows: int | None = None, sheet: str | int | None = None) -> DataFrame:
+    """(key, sheet, row_number, total_rows, cells map<string,string>, error): rows of workbooks or delimited text in a binary column."""
+
+    def kernel(data) -> Iterator[dict]:
+        found = grids(bytes(data))
+        for k in pick_sheet([name for name, _ in found], sheet):
+            names, shaped, total = shape(found[k][1], header_row, max_rows)
+            yield from ({"sheet": found[k][0], "row_number": n, "total_rows": total, "cells": list(zip(names, cells, strict=True))} for n, cells in shaped)
+
+    return explode_text(rows, key, content, kernel, TABLE)
+
+
+def sheet_names(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, pos, sheet, error): the sheets of each workbook."""
+    return explode_text(rows, key, content, lambda data: ({"pos": k, "sheet": name} for k, (name, _) in enumerate(grids(bytes(data)))), "pos int, sheet string")
+
+
+def read_tables(spark: SparkSession, path: str, header_row: int = 1, max_rows: int | None = None, sheet: str | int | None = None) -> DataFrame:
+    """(path, sheet, row_number, total_rows, cells, error) of delimited files and workbooks; a file is one task's, a broken one a row with its error."""
+    return read_table_column(spark.read.format("binaryFile").load(path).select("path", "content"), "path", "content", header_row, max_rows, sheet)
 
 
 def parse_column(rows: DataFrame, key: str, text: str) -> DataFrame:

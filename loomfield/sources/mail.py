@@ -102,40 +102,69 @@ def split_mbox(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, "(?m)^>(>*From )", "$1")), lambda p: F.length(F.trim(p)) > 0)
 
 
-_HEAD = re.compile(r"^[*_]*(?:From|Von|De|Da)[*_]*\s*:\s*\S", re.I)
-_HEAD_REST = (re.compile(r"^[*_]*(?:Sent|Date|Gesendet|Datum|Envoy[ée]|Enviado|Fecha)[*_]*\s*:", re.I), re.compile(r"^[*_]*(?:Subject|Betreff|Objet|Asunto)[*_]*\s*:", re.I))
-_MARK = re.compile(r"^\s*(?:-{2,}\s*(?:Original Message|Urspr[üu]ngliche Nachricht|Message d'origine|Mensaje original)\s*-{2,}|_{10,})\s*$", re.I)
-_SAID = re.compile(r"^\s*(?:(?:On|Am|Le|El)\b.*\b(?:wrote|schrieb|[ée]crit|escribi[óo])\b.*:|.*\b(?:wrote|schrieb|a [ée]crit|escribi[óo])\s*:)\s*$", re.I)
-_SAYS = re.compile(r"^\s*(?:On|Am|Le|El)\b", re.I)
+# what clients write, in four languages: fixed values
+_FORWARDED = re.compile(r"-{2,}\s*(?:Forwarded message|Weitergeleitete Nachricht|Message transféré|Mensaje reenviado)\s*-{2,}|Begin forwarded message:?", re.I)
+_EARLIER = re.compile(r"-{2,}\s*(?:Original(?: Message| Appointment)?|Urspr[üu]ngliche Nachricht|Message d'origine|Mensaje original|Reply above this line)\s*-{2,}|_{8,}", re.I)
+_HEAD = re.compile(r"[*_]*(?:From|Von|De|Da)[*_]*\s*:\s*\S.*", re.I)
+_HEAD_REST = (re.compile(r"[*_]*(?:Sent|Date|Gesendet|Datum|Envoy[ée]|Enviado|Fecha)[*_]*\s*:", re.I), re.compile(r"[*_]*(?:Subject|Betreff|Objet|Asunto)[*_]*\s*:", re.I))
+_SAID = re.compile(r"(?:(?:On|Am|Le|El)\b.*\b(?:wrote|schrieb|[ée]crit|escribi[óo])\b.*:|.*\b(?:wrote|schrieb|a [ée]crit|escribi[óo])\s*:|\d{4}-\d{2}-\d{2}\b.*<[^>]+@[^>]+>:)", re.I)
+_SAYS = re.compile(r"(?:On|Am|Le|El)\b", re.I)
+
+
+class _Lines:
+    """A message's lines one by one; in a forwarded part with a level of quotes less."""
+
+    def __init__(self, text: str):
+        self.lines, self.at, self.inside = re.split(r"\r\n|\r|\n", text), 0, False
+
+    def peek(self, ahead: int = 0) -> str | None:
+        if self.at + ahead >= len(self.lines):
+            return None
+        line = self.lines[self.at + ahead]
+        return re.sub(r"^>\s?", "", line) if self.inside else line
+
+    def header_block(self) -> bool:
+        """A sender's line with a date and a subject among the next ones."""
+        rest = [(self.peek(k) or "").strip() for k in range(1, 6)]
+        return bool(_HEAD.fullmatch((self.peek() or "").strip())) and all(any(p.match(x) for x in rest) for p in _HEAD_REST)
+
+    def forward_begins(self) -> bool:
+        line = (self.peek() or "").strip()
+        return bool(_FORWARDED.fullmatch(line)) or bool(re.fullmatch("-{10,}", line)) and bool(_HEAD.fullmatch((self.peek(1) or "").strip()))
+
+
+def _without_attribution(kept: list[str]) -> list[str]:
+    """Without the line, or the two or three, at the end that say who wrote what is quoted next."""
+    for n in (1, 2, 3):
+        if n <= len(kept) and _SAID.fullmatch(" ".join(x.strip() for x in kept[-n:] if x.strip())):
+            return kept[:-n]
+    return kept
 
 
 def strip_quotes(text: str, forward: bool = False) -> str:
-    """A message's own words: quoted lines and who wrote them go, and all behind an original-message mark.
+    """A message's own words: quoted lines and who wrote them go, and all behind the mark of an earlier message.
 
-    A forward's quoted part is its content: it stays, one level of quotes less.
+    What is forwarded is content: behind its mark, or in a message that ``forward`` calls one behind the first mark
+    of an earlier message, one level of quotes goes and the rest stays, without the history quoted inside.
     """
-    lines = text.replace("\r\n", "\n").split("\n")
-    if forward:
-        return "\n".join(re.sub(r"^> ?", "", line) for line in lines).strip()
-    out: list[str] = []
-    k = 0
-    while k < len(lines):
-        line = lines[k]
-        rest = lines[k + 1 : k + 6]
-        if _MARK.match(line) or _HEAD.match(line) and all(any(p.match(x.strip()) for x in rest) for p in _HEAD_REST):
+    lines, out, begun = _Lines(text), [], False
+    while (line := lines.peek()) is not None:
+        bare = line.strip()
+        earlier = bool(_EARLIER.fullmatch(bare)) or not lines.inside and lines.header_block()
+        if not lines.inside and lines.forward_begins() or earlier and forward and not begun:
+            lines.inside = begun = True
+            out.append(line)
+        elif bare.startswith(">"):
+            out = _without_attribution(out)
+        elif earlier:
             break
-        if line.lstrip().startswith(">"):
-            k += 1
-            continue
-        pair = f"{line} {lines[k + 1].strip()}" if k + 1 < len(lines) else ""
-        if _SAID.match(line):
-            k += 1
-            continue
-        if _SAYS.match(line) and _SAID.match(pair):
-            k += 2
-            continue
-        out.append(line)
-        k += 1
+        elif _SAID.fullmatch(bare):
+            pass
+        elif _SAYS.match(bare) and _SAID.fullmatch(f"{bare} {(lines.peek(1) or '').strip()}"):
+            lines.at += 1
+        else:
+            out.append(line)
+        lines.at += 1
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
 
 

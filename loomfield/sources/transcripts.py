@@ -3,28 +3,49 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomfield.functions.text import format_clock
 
 
 def coalesce_segments(segments: DataFrame, item: str, seconds: float) -> DataFrame:
     """(item, start, end, speaker, text): a segment joins the block before it while the speaker stays and the
-    block stays within ``seconds``.  The block's own start decides, so it is a fold over each item's segments."""
-    row = F.struct("start", "end", "speaker", "text")
-    grouped = segments.groupBy(item).agg(F.array_sort(F.collect_list(row)).alias("s"))
-    kind = "array<struct<start:double,end:double,speaker:string,text:string>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = (F.size(acc) > 0) & last["speaker"].eqNullSafe(x["speaker"]) & (x["end"] - last["start"] <= seconds)
-        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["speaker"].alias("speaker"), F.concat_ws(" ", last["text"], x["text"]).alias("text"))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(x))).cast(kind)
-
-    folded = F.aggregate(F.col("s").cast(kind), F.array().cast(kind), step)
-    return grouped.select(item, F.explode(folded).alias("b")).select(item, "b.*")
+    block stays within ``seconds``.  The block's own start decides, so it is a fold: items' segments are brought
+    together in order and go through one block at a time, however many there are."""
+    schema = T.StructType([segments.schema[item], *T.StructType.fromDDL("start double, end double, speaker string, text string").fields])
+    ordered = segments.select(item, "start", "end", "speaker", "text").repartition(item).sortWithinPartitions(item, "start", "end", "speaker", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list | None = None  # item, start, end, speaker, texts
+
+        def told(blocks: list[list]) -> pa.RecordBatch:
+            arrow = to_arrow_schema(schema)
+            columns = [[b[k] for b in blocks] for k in range(4)] + [[" ".join(b[4]) for b in blocks]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            done = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, start, end, speaker, text = row
+                joins = block is not None and block[0] == own and block[3] == speaker and None not in (end, block[1]) and end - block[1] <= seconds
+                if joins:
+                    block[2] = end if block[2] is None else max(block[2], end)
+                    block[4] += [text] if text is not None else []
+                else:
+                    done += [block] if block else []
+                    block = [own, start, end, speaker, [text] if text is not None else []]
+            if done:
+                yield told(done)
+        if block:
+            yield told([block])
+
+    return ordered.mapInArrow(run, schema)
 
 
 def chunks(segments: DataFrame, item: str, seconds: float) -> DataFrame:
