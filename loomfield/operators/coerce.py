@@ -196,3 +196,13 @@ class ScriptedProvider:
                 except ValueError:
                     found[key] = text
         return Response(found, {"prompt_tokens": len(request.user_input) // 4, "completion_tokens": 8})
+
+
+def strip_nulls(rows: DataFrame, schema: Schema, column: str = "data_json") -> DataFrame:
+    """``rows`` whose answers have no null fields, as partial answers are given."""
+    return rows.withColumn(column, F.to_json(F.from_json(column, schema.struct_type())))
+
+
+def prime(provider: Provider, schema: Schema, enums: dict | None = None, dialect: str = "standard") -> dict[str, int]:
+    """Send a schema's prompt once with a minimal input, so that a provider's cache holds it before a batch; the usage of that call."""
+    return provider.extract(Request(schema.prompt(), "<source>\n-\n</source>", schema.json_schema(dialect, enums))).usage

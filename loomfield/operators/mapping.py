@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions.text import bare, parse_number, split_list
-from loomfield.plans.schema import ArrayType, BooleanType, EnumType, FieldType, NumberType, Schema
+from loomfield.plans.schema import ArrayType, BooleanType, EnumType, FieldType, NumberType, Schema, array, enum, nested, string
 
 YES = ("true", "yes", "y", "1", "on", "x", "✓")
 NO = ("false", "no", "n", "0", "off", "-", "—")
@@ -87,3 +87,47 @@ def table_text(table: DataFrame, columns: list[str], order: str, width: int = CE
     cells = table.select(F.col(order), *[F.when(F.length(x) > width, F.concat(F.substring(x, 1, width - 1), F.lit("…"))).otherwise(x).alias(c) for c, x in shown.items()])
     widths = cells.agg(*[F.greatest(F.coalesce(F.max(F.length(f"`{c}`")), F.lit(0)), F.lit(min(len(c), width))).alias(c) for c in columns]).first()
     return cells.select(order, F.rtrim(F.concat_ws(" | ", *[F.rpad(F.col(f"`{c}`"), widths[c], " ") for c in columns])).alias("line"))
+
+
+CONFIDENCE = ("high", "medium", "low")
+
+
+def mapping_schema(target: Schema, schema_id: str | None = None) -> Schema:
+    """A schema whose answer says which column feeds which field of ``target``; the fields' paths are its choices."""
+    leaves = target.leaves()
+    if not leaves:
+        raise ValueError(f"{target.id} has no fields")
+    name = schema_id or f"{target.id}ColumnMapping"
+    listed = "\n".join(f"- {leaf.path}: {leaf.field.description or leaf.path}" for leaf in leaves)
+    column = Schema(
+        f"{name}Column",
+        "What one column of the table feeds",
+        {
+            "column": string("The column's header as it stands in the table"),
+            "field": enum(*(leaf.path for leaf in leaves)).describe(f"The field that the column feeds; left out where none fits. The fields:\n{listed}").optional(),
+            "transform": string("How a cell becomes the field's value where it isn't a copy").constrain(max_length=200).optional(),
+            "confidence": enum(*CONFIDENCE).describe("How sure that is").optional(),
+        },
+    )
+    return Schema(name, f"Which columns of a table feed which fields of {target.id}, one entry for each column in their order", {"columns": array(nested(column)).describe("One entry for each column")})
+
+
+def mapping_of(answer: dict) -> list[tuple[str, str | None]]:
+    """The pairs that ``apply_mapping`` takes, from an answer of ``mapping_schema``."""
+    return [(c["column"], c.get("field")) for c in answer.get("columns") or []]
+
+
+def mapping_texts(rows: DataFrame, key: str, headers: str = "headers", sample_rows: int = 5, width: int = CELL_WIDTH) -> DataFrame:
+    """(key, text) for tables as rows (key, row_number, headers array, cells array): numbered columns, then the first rows as an aligned table."""
+    ranked = rows.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy("row_number"))).withColumn("__n", F.count("*").over(Window.partitionBy(key)))
+    few = ranked.where(F.col("__k") <= sample_rows)
+    shown = lambda cells: F.transform(cells, lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "\\s+", " "))
+    cut = lambda cells: F.transform(shown(cells), lambda c: F.when(F.length(c) > width, F.concat(F.substring(c, 1, width - 1), F.lit("…"))).otherwise(c))
+    lines = few.groupBy(key).agg(F.first(headers).alias("h"), F.max("__n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("__k", cut(F.col("cells")).alias("c")))), lambda x: x["c"]).alias("cells"))
+    table = F.concat(F.array(cut(F.col("h"))), F.col("cells"))
+    widths = F.transform(F.sequence(F.lit(0), F.size("h") - 1), lambda j: F.array_max(F.transform(table, lambda r: F.length(F.get(r, j)))))
+    aligned = F.transform(table, lambda r: F.rtrim(F.array_join(F.zip_with(r, widths, lambda c, w: F.rpad(c, w, " ")), " | ")))
+    numbered = F.array_join(F.transform("h", lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c)), "\n")
+    head = F.concat(F.lit("Columns ("), F.size("h").cast("string"), F.lit("):\n"), numbered)
+    count = F.concat(F.lit("Sample rows ("), F.size("cells").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit("):\n"))
+    return lines.select(key, F.concat(head, F.lit("\n\n"), count, F.array_join(aligned, "\n")).alias("text"))

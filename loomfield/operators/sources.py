@@ -60,14 +60,25 @@ def budget_sources(sources: DataFrame, max_chars: int | None, policy: str = "tai
     return capped.withColumn("kept_length", F.when(text, F.length("text")))
 
 
+TAG = "source"
+
+
+def open_tag(label: Column, kind: Column, media_type: Column, end: str = ">") -> Column:
+    """A block's start: its label, and for an image or a document its type."""
+    name = F.when(label.isNotNull(), F.concat(F.lit(' label="'), F.regexp_replace(F.regexp_replace(label, "[\\r\\n]+", " "), '"', "&quot;"), F.lit('"'))).otherwise("")
+    type_ = F.when(kind != "text", F.concat(F.lit(' type="'), F.coalesce(media_type, kind), F.lit('"'))).otherwise("")
+    return F.concat(F.lit(f"<{TAG}"), name, type_, F.lit(end))
+
+
+def safe_text(text: Column) -> Column:
+    """Text that can't close its block early."""
+    return F.regexp_replace(text, f"(?i)</(\\s*{TAG}\\b)", "<\\\\/$1")
+
+
 def rendered(label: Column, text: Column, kind: Column, media_type: Column) -> Column:
     """One source as a block that its own text can't close early."""
-    tag = "source"
-    name = F.when(label.isNotNull(), F.concat(F.lit(' label="'), F.regexp_replace(F.regexp_replace(label, "[\\r\\n]+", " "), '"', "&quot;"), F.lit('"'))).otherwise("")
-    safe = F.regexp_replace(text, f"(?i)</(\\s*{tag}\\b)", "<\\\\/$1")
-    block = F.concat(F.lit(f"<{tag}"), name, F.lit(">\n"), safe, F.lit(f"\n</{tag}>"))
-    placeholder = F.concat(F.lit(f"<{tag}"), name, F.lit(' type="'), F.coalesce(media_type, kind), F.lit('" />'))
-    return F.when(kind == "text", block).otherwise(placeholder)
+    block = F.concat(open_tag(label, kind, media_type), F.lit("\n"), safe_text(text), F.lit(f"\n</{TAG}>"))
+    return F.when(kind == "text", block).otherwise(open_tag(label, kind, media_type, " />"))
 
 
 def render_sources(sources: DataFrame) -> DataFrame:

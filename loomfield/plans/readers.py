@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomfield.functions import html
 from loomfield.functions import text as texts
 from loomfield.operators import coerce as co
-from loomfield.operators import report, validate
+from loomfield.operators import content, fluent, mapping, report, validate
 from loomfield.plans import codes
 from loomfield.plans import schema as s
 from loomfield.sources import audio, calendars, delimited, documents, feeds, images, mail, pdf, writers
@@ -291,7 +291,64 @@ def eval_run_totals(spark, sf_dir):
     return report.totals(items, {"input": 3.0, "output": 15.0}).select(F.col("items").cast("long").alias("items"), F.col("exact").cast("long").alias("exact"), F.col("failed").cast("long").alias("failed")).crossJoin(F.broadcast(report.below(stats, least_precision=0.9).agg(F.max("path").alias("below"))))
 
 
-QUERIES = {f.__name__: f for f in (calendar_daily, calendar_last_fridays, calendar_exceptions, calendar_clock_change, calendar_merged, calendar_texts, calendar_event_texts, format_checks, docx_texts, docx_sections, odt_texts, workbook_cells, workbook_sheets, pdf_page_texts, image_facts, page_image_list, xml_items, json_items, mail_bodies, mail_attachments, mail_forwards, event_sessions, request_keys_agree, page_structured_data, byte_sizes, transcript_texts, wav_lengths, cached_transcripts, eval_run_totals)}
+def _photos(spark, sf_dir) -> DataFrame:
+    """Turns of conversations: what a user says stays text, every third other turn stands for a photo."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("item_id"), F.col("turn").cast("int").alias("pos"), "role", "text")
+    photo = (F.col("role") != "user") & (F.col("pos") % 3 == 1)
+    return rows.select("item_id", "pos", F.when(photo, "image").otherwise("text").alias("kind"), F.when(F.col("pos") % 2 == 0, F.col("role")).alias("label"), F.when(~photo, F.lit("said </source> so")).alias("text"), F.when(photo, "image/png").alias("media_type"))
+
+
+def content_blocks(spark, sf_dir):
+    found = content.content_blocks(_photos(spark, sf_dir))
+    return found.select(F.col("item_id").alias("conv_id"), F.col("block").cast("long").alias("block"), "type", "text", "label", "media_type", F.col("pos").cast("long").alias("pos"))
+
+
+def source_kinds(spark, sf_dir):
+    found = content.kinds_of(_photos(spark, sf_dir))
+    return found.select(F.col("item_id").alias("conv_id"), F.array_join("kinds", ",").alias("kinds"))
+
+
+def mapping_texts(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("r_regionkey"), F.col("n_nationkey").alias("row_number"), F.array(F.lit("Key"), F.lit("Name of it")).alias("headers"), F.array(F.col("n_nationkey").cast("string"), F.col("n_name")).alias("cells"))
+    return mapping.mapping_texts(rows, "r_regionkey", sample_rows=3)
+
+
+def _stamped_pdf(r: dict) -> bytes:
+    dated = writers.pdf([f"{r['s_name']} first", "", "last"], r["s_name"])
+    return dated.replace(b"<< /Title ", b"<< /CreationDate (D:20260102030405+01'00') /Author (Ann) /Title ")
+
+
+def pdf_infos(spark, sf_dir):
+    made = writers.made(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", _stamped_pdf)
+    return pdf.read_info(made, "s_suppkey", "content").select("s_suppkey", F.col("pages").cast("long").alias("pages"), F.col("pages_with_text").cast("long").alias("pages_with_text"), "title", "author", "created")
+
+
+def pdf_texts(spark, sf_dir):
+    made = writers.made(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", _stamped_pdf)
+    return pdf.read_texts(made, "s_suppkey", "content").select("s_suppkey", "text")
+
+
+def pdf_sources(spark, sf_dir):
+    made = writers.made(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", _stamped_pdf)
+    return pdf.read_sources(made, "s_suppkey", "content", "Offer", metadata=False).select("s_suppkey", "label", "text")
+
+
+def chained_answers(spark, sf_dir):
+    """Two coercions: all of a supplier, then only its nation; the scripted provider reads the first answer."""
+    first, second = s.Schema("Full", "All", {"name": s.string(), "nation": s.number(), "balance": s.number().optional()}), s.Schema("Short", "Some", {"nation": s.number()})
+    rows = table(spark, sf_dir, "supplier")
+    text = F.concat_ws("\n", F.concat(F.lit("name: "), "s_name"), F.when(F.col("s_suppkey") % 4 != 3, F.concat(F.lit("nation: "), F.col("s_nationkey").cast("string"))))
+    sources = rows.select(F.col("s_suppkey").alias("item_id"), F.lit(0).alias("pos"), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("label"), text.alias("text"), F.lit(None).cast("string").alias("media_type"), F.lit(None).cast("int").alias("max_chars"))
+    found = fluent.chain(sources, provider=co.ScriptedProvider(("name", "nation", "balance"))).coerce_to(first).coerce_to(second, provider=co.ScriptedProvider(("nation",))).answers
+    return found.select(F.col("item_id").alias("s_suppkey"), "status", F.when(F.col("status") == "ok", F.get_json_object("data_json", "$.nation").cast("double").cast("long")).alias("nation"))
+
+
+def stripped_answers(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit('{"name":null,"nation":'), F.col("s_nationkey").cast("string"), F.lit("}")).alias("data_json"))
+    return co.strip_nulls(rows, s.Schema("Row", "A row", {"name": s.string().optional(), "nation": s.string()}))
+
+
+QUERIES = {f.__name__: f for f in (calendar_daily, calendar_last_fridays, calendar_exceptions, calendar_clock_change, calendar_merged, calendar_texts, calendar_event_texts, format_checks, docx_texts, docx_sections, odt_texts, workbook_cells, workbook_sheets, pdf_page_texts, image_facts, page_image_list, xml_items, json_items, mail_bodies, mail_attachments, mail_forwards, event_sessions, request_keys_agree, page_structured_data, byte_sizes, transcript_texts, wav_lengths, cached_transcripts, eval_run_totals, content_blocks, source_kinds, mapping_texts, pdf_infos, pdf_texts, pdf_sources, chained_answers, stripped_answers)}
 
 _LF = "chr(10)"
 _NATIONS = "SELECT r_regionkey, r_name, n_nationkey, n_name FROM region JOIN nation ON n_regionkey = r_regionkey"
@@ -414,4 +471,32 @@ ORACLE_SQL = {
     "eval_run_totals": """
         SELECT count(*) AS items, count_if(s_suppkey % 3 <> 0) AS exact, 0::BIGINT AS failed, CASE WHEN count_if(s_suppkey % 3 <> 0) < 0.9 * count(*) THEN 'nation' END AS below FROM supplier
     """,
+    "content_blocks": f"""
+        WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS pos, role <> 'user' AND turn % 3 = 1 AS photo, CASE WHEN turn % 2 = 0 THEN role END AS label, row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1 AS later FROM conversations),
+        o AS (SELECT *, CASE WHEN later THEN {_LF} || {_LF} ELSE '' END || '<source' || coalesce(' label="' || label || '"', '') || CASE WHEN photo THEN ' type="image/png"' ELSE '' END || '>' || {_LF} AS head, {_LF} || '</source>' AS tail FROM t),
+        p AS (
+            SELECT conv_id, pos, 0 AS part, 'text' AS type, CASE WHEN photo THEN head ELSE head || 'said <\\/source> so' || tail END AS text, NULL AS label FROM o
+            UNION ALL SELECT conv_id, pos, 1, 'image', NULL, label FROM o WHERE photo UNION ALL SELECT conv_id, pos, 2, 'text', tail, NULL FROM o WHERE photo
+        ),
+        b AS (SELECT *, 2 * sum(CASE WHEN type = 'image' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos, part) - CASE WHEN type = 'image' THEN 1 ELSE 0 END AS block FROM p)
+        SELECT conv_id, CAST(block AS BIGINT) AS block, type, string_agg(text, '' ORDER BY pos, part) AS text, max(label) AS label, CASE WHEN type = 'image' THEN 'image/png' END AS media_type, CASE WHEN type = 'image' THEN min(pos) END AS pos FROM b GROUP BY conv_id, block, type
+    """,
+    "source_kinds": """
+        WITH t AS (SELECT conv_id, CASE WHEN role <> 'user' AND turn % 3 = 1 THEN 'image' ELSE 'text' END AS kind, min(turn) AS first_at FROM conversations GROUP BY ALL)
+        SELECT conv_id, string_agg(kind, ',' ORDER BY first_at) AS kinds FROM t GROUP BY conv_id
+    """,
+    "mapping_texts": f"""
+        WITH n AS (SELECT n_regionkey AS r_regionkey, CAST(n_nationkey AS VARCHAR) AS a, n_name AS b, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation),
+        f AS (SELECT * FROM n WHERE k <= 3), w AS (SELECT r_regionkey, greatest(3, max(length(a))) AS wa, max(n) AS n, count(*) AS shown FROM f GROUP BY r_regionkey)
+        SELECT r_regionkey, 'Columns (2):' || {_LF} || '1. Key' || {_LF} || '2. Name of it' || {_LF} || {_LF} || 'Sample rows (' || shown || ' of ' || any_value(w.n) || '):' || {_LF} || rpad('Key', CAST(any_value(wa) AS INTEGER), ' ') || ' | Name of it' || {_LF}
+               || string_agg(rtrim(rpad(a, CAST(wa AS INTEGER), ' ') || ' | ' || b, ' '), {_LF} ORDER BY k) AS text
+        FROM f JOIN w USING (r_regionkey) GROUP BY r_regionkey, shown
+    """,
+    "pdf_infos": "SELECT s_suppkey, 3::BIGINT AS pages, 2::BIGINT AS pages_with_text, s_name AS title, 'Ann' AS author, TIMESTAMP '2026-01-02 02:04:05' AS created FROM supplier",
+    "pdf_texts": f"""
+        SELECT s_suppkey, concat_ws({_LF}, 'Document metadata:', 'title: ' || s_name, 'author: Ann', 'created: 2026-01-02T02:04:05.000Z', 'pages: 3', '', 'Document text:', '--- Page 1 ---', s_name || ' first', '', '--- Page 3 ---', 'last') AS text FROM supplier
+    """,
+    "pdf_sources": "SELECT s_suppkey, 'Offer (page ' || p || ')' AS label, CASE WHEN p = 1 THEN s_name || ' first' ELSE 'last' END AS text FROM supplier, (SELECT unnest([1, 3]) AS p)",
+    "chained_answers": "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 3 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN s_suppkey % 4 <> 3 THEN CAST(s_nationkey AS BIGINT) END AS nation FROM supplier",
+    "stripped_answers": """SELECT s_suppkey, '{"nation":"' || s_nationkey || '"}' AS data_json FROM supplier""",
 }

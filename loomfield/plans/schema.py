@@ -328,3 +328,30 @@ def resolve_enums(schema: Schema, resolver: Callable[[str], list[str] | DataFram
     if failed:
         raise ValueError("required values can't be resolved: " + "; ".join(sorted(failed)))
     return found
+
+
+class Registry:
+    """Schemas by id, with all that they nest."""
+
+    def __init__(self, *schemas: Schema):
+        self.found: Bundle = {}
+        for schema in schemas:
+            self.register(schema)
+
+    def register(self, schema: Schema) -> None:
+        """Add or replace a schema and those it nests."""
+        self.found |= schema.bundle()
+
+    def get(self, schema_id: str) -> Schema | None:
+        return self.found.get(schema_id)
+
+    def require(self, schema_id: str) -> Schema:
+        if schema_id not in self.found:
+            raise KeyError(f"no schema {schema_id!r}; there are {', '.join(self.found)}")
+        return self.found[schema_id]
+
+    def ids(self) -> list[str]:
+        return list(self.found)
+
+    def bundle(self) -> Bundle:
+        return dict(self.found)

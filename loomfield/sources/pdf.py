@@ -10,6 +10,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 
@@ -257,3 +258,93 @@ def page_texts(data: bytes, pages: list[int] | tuple[int, int] | None = None, mo
 def read_pages(rows: DataFrame, key: str, content: str, pages: list[int] | tuple[int, int] | None = None, most: int | None = None) -> DataFrame:
     """(key, page, text, error) of every page chosen; a file that can't be read is one row with its error."""
     return explode_text(rows, key, content, lambda data: page_texts(bytes(data), pages, most), "page int, text string")
+
+
+def parse_date(value: str | None) -> datetime | None:
+    """A PDF date such as ``D:20260102030405+01'00'``, in UTC."""
+    m = re.match(r"(?:D:)?(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:([+-])(\d{2})'?(\d{2})?|Z)?", (value or "").strip())
+    if not m:
+        return None
+    year, month, day, *clock = (int(x) if x else 0 for x in m.groups()[:6])
+    try:
+        at = datetime(year, month or 1, day or 1, *clock, tzinfo=timezone.utc)
+    except ValueError:
+        return None
+    away = timedelta(hours=int(m[8] or 0), minutes=int(m[9] or 0))
+    return at - away if m[7] == "+" else at + away
+
+
+def _text(value) -> str | None:
+    if isinstance(value, (bytes, bytearray)):
+        value = bytes(value)
+        value = value.decode("utf-16", "replace") if value[:2] in (b"\xfe\xff", b"\xff\xfe") else value.decode("utf-8-sig") if value[:3] == b"\xef\xbb\xbf" else value.decode("cp1252", "replace")
+    return value.strip() or None if isinstance(value, str) else None
+
+
+INFO = "pages int, pages_with_text int, has_text boolean, title string, author string, subject string, keywords string, created timestamp, modified timestamp"
+
+
+def info(data: bytes, most: int | None = None) -> dict:
+    """Page counts and what the document says of itself: the information dictionary, else its XMP packet."""
+    found = Document(data)
+    every = found.pages()
+    said = next((d for m in re.finditer(rb"/Info\s+(\d+)\s+\d+\s+R", data) if isinstance(d := found.get(Ref(int(m[1]))), dict)), {})
+    xmp = re.search(rb"<x:xmpmeta.*?</x:xmpmeta>", data, re.S)
+    packet = xmp[0].decode("utf-8", "replace") if xmp else ""
+
+    def told(key: str, name: str) -> str | None:
+        inside = re.search(rf"<{name}\b[^>]*>(.*?)</{name}>", packet, re.S)
+        return _text(found.get(said.get(key))) or (" ".join(re.sub(r"<[^>]+>", " ", inside[1]).split()) or None if inside else None)
+
+    def when(key: str, name: str) -> datetime | None:
+        value = told(key, name)
+        try:
+            return parse_date(value) if value is None or value[:2] == "D:" else datetime.fromisoformat(value)
+        except ValueError:
+            return parse_date(value)
+
+    chosen = select_pages(len(every), None, most)
+    with_text = sum(bool(layout(found.runs(every[n - 1]))) for n in chosen)
+    return {
+        "pages": len(every), "pages_with_text": with_text, "has_text": with_text > 0, "title": told("Title", "dc:title"), "author": told("Author", "dc:creator"), "subject": told("Subject", "dc:description"),
+        "keywords": told("Keywords", "pdf:Keywords"), "created": when("CreationDate", "xmp:CreateDate"), "modified": when("ModDate", "xmp:ModifyDate"),
+    }
+
+
+def metadata_text(said: dict) -> str:
+    """``key: value`` lines of what is known, the number of pages last."""
+    stamp = lambda x: x.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.000Z") if x else None
+    known = [(k, said[k]) for k in ("title", "author", "subject", "keywords")] + [(k, stamp(said[k])) for k in ("created", "modified")] + [("pages", str(said["pages"]))]
+    return "\n".join(f"{k}: {v}" for k, v in known if v)
+
+
+def page_marker(number: int) -> str:
+    return f"--- Page {number} ---"
+
+
+def document_text(data: bytes, metadata: bool = True, pages: list[int] | tuple[int, int] | None = None, most: int | None = None) -> str:
+    """The metadata first, so that a cut loses pages before it, then each page that has text behind its marker."""
+    body = "\n\n".join(f"{page_marker(p['page'])}\n{p['text']}" for p in page_texts(data, pages, most) if p["text"])
+    head = f"Document metadata:\n{metadata_text(info(data))}" if metadata else ""
+    return "\n\n".join(x for x in (head, f"Document text:\n{body}" if body and metadata else body) if x)
+
+
+def read_info(rows: DataFrame, key: str, content: str, most: int | None = None) -> DataFrame:
+    return explode_text(rows, key, content, lambda data: [info(bytes(data), most)], INFO)
+
+
+def read_texts(rows: DataFrame, key: str, content: str, metadata: bool = True, most: int | None = None) -> DataFrame:
+    """(key, text, error): every document as one text."""
+    return explode_text(rows, key, content, lambda data: [{"text": document_text(bytes(data), metadata, None, most)}], "text string")
+
+
+def read_sources(rows: DataFrame, key: str, content: str, label: str = "Document", metadata: bool = True) -> DataFrame:
+    """(key, pos, label, text, error): the metadata and each page with text as sources of their own."""
+
+    def kernel(data) -> Iterator[dict]:
+        data = bytes(data)
+        parts = [(f"{label} (metadata)", f"Document metadata:\n{metadata_text(info(data))}")] if metadata else []
+        parts += [(f"{label} (page {p['page']})", p["text"]) for p in page_texts(data) if p["text"]]
+        yield from ({"pos": n, "label": name, "text": text} for n, (name, text) in enumerate(parts))
+
+    return explode_text(rows, key, content, kernel, "pos int, label string, text string")
