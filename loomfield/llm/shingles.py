@@ -32,6 +32,8 @@ WIDTH, BANDS, ROWS = 5, 20, 4
 OVER, UNDER = 4, 5
 #: Texts of a band whose pairs are compared directly.
 MOST = 64
+#: Shingles of a chunk of sets, as expected.
+CHUNK_SHINGLES = 200_000
 _CACHE = 300_000
 _CHUNK = 4096
 _ODD = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,7 +123,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def rare_shingles(texts: DataFrame) -> DataFrame:
     """(key, t, c, size, at) of ``texts`` (t, c, text): of each set the rarest shingles that two texts hold, up to
-    a fifth of the set and one, with the size of the set and the shingle's place from the rarest on."""
+    a fifth of the set and one, with the size of the set and the shingle's place from the rarest on.
+
+    Sets are dealt into chunks of bounded expected size.  A chunk sends each of its shingles once, with the number
+    of its texts that hold it, and gets the totals back, so that copies weigh no more than one text of a chunk.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -132,13 +138,35 @@ def rare_shingles(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("t"), part.column("c"), pa.array(sets, pa.list_(pa.int64()))], names=["t", "c", "s"])
 
     sets = keep(texts.select("t", "c", "text").mapInArrow(frugal(run), "t long, c long, s array<long>"), "sets")
-    each = sets.select("t", "c", F.size("s").alias("size"), F.explode("s").alias("key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    mine = each.join(shared, "key").groupBy("t", "c", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("s"))
-    first = F.col("size") - F.size("s")  # shingles of one text come before all others
-    length = F.col("size") - F.ceil(F.col("size") * OVER / UNDER) + 1 - first
-    rows = mine.where(length > 0).select("t", "c", "size", first.alias("first"), F.posexplode(F.slice("s", F.lit(1), length.cast("int"))).alias("at", "s"))
-    return rows.select(F.col("s.key").alias("key"), "t", "c", "size", (F.col("first") + F.col("at")).alias("at"))
+    chunks = max(1, -(-(sets.agg(F.sum(F.size("s"))).first()[0] or 0) // CHUNK_SHINGLES))
+    dealt = sets.withColumn("chunk", F.pmod(F.xxhash64("t"), F.lit(chunks)))
+
+    def own(key: tuple, group: pa.Table) -> pa.Table:
+        found, n = np.unique(group.column("s").combine_chunks().flatten().to_numpy(), return_counts=True)
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(found), pa.int64()), "key": pa.array(found, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    each = keep(dealt.groupBy("chunk").applyInArrow(own, "chunk long, key long, n long"), "dictionaries")
+    shared = keep(each.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "shared")
+    totals = each.select("chunk", "key").join(few(shared), "key")
+
+    def pick(sets: pa.Table, totals: pa.Table) -> pa.Table:
+        keys, n = totals.column("key").to_numpy(), totals.column("n").to_numpy()
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        out: list[tuple] = []
+        for t, c, s in zip(sets.column("t").to_pylist(), sets.column("c").to_pylist(), sets.column("s").combine_chunks(), strict=True):
+            s = s.values.to_numpy()
+            where = np.searchsorted(keys, s)
+            there = (where < len(keys)) & (keys[np.minimum(where, len(keys) - 1)] == s) if len(keys) else np.zeros(len(s), bool)
+            s, count = s[there], n[where[there]]
+            first = len(there) - len(s)  # shingles of one text come before all others
+            length = len(there) - -(-len(there) * OVER // UNDER) + 1 - first
+            best = np.lexsort((s, count))[: max(0, length)]
+            out += [(k, t, c, len(there), first + at) for at, k in enumerate(s[best].tolist())]
+        columns = zip(*out, strict=True) if out else ((),) * 5
+        return pa.table(dict(zip(("key", "t", "c", "size", "at"), (pa.array(x, pa.int64()) for x in columns), strict=True)))
+
+    return dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(pick, "key long, t long, c long, size long, at long")
 
 
 def _near(x: str, y: str) -> Column:
@@ -185,7 +213,7 @@ def edges(docs: DataFrame, known: DataFrame) -> DataFrame:
         return checked(pairs.select(F.col("x.t").alias("ta"), F.col("y.t").alias("tb"), F.col("x.c").alias("a"), F.col("y.c").alias("b")), texts, name)
 
     sketched = keep(with_bands(docs).groupBy("t").agg(F.min("c").alias("c"), F.first("bands").alias("bands")), "sketches")
-    whole = F.struct("t", "c", F.lit(1).alias("size"), F.lit(0).alias("at"))  # bands tell nothing of places
+    whole = F.struct("t", "c", F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("at"))  # bands tell nothing of places
     members = shared(sketched.select(whole.alias("m"), F.explode("bands").alias("key")), "bands")
     # only texts that share a band are looked at again
     mine = keep(members.select("m.t").distinct(), "mine")

@@ -137,6 +137,7 @@ def test_large_bands_lose_no_link(spark, monkeypatch):
     none = spark.createDataFrame([], "a long, b long")
     for most in (64, 8, 1):
         monkeypatch.setattr(shingles, "MOST", most)
+        monkeypatch.setattr(shingles, "CHUNK_SHINGLES", 200_000 if most == 64 else 2000)
         roots = {r.node: r.component for r in graph.connected_components(shingles.edges(docs, none)).collect()}
         assert {k: roots.get(k, k) for k in range(len(texts))} == want
     assert 20 < len(set(want.values())) < len(texts) - 50
