@@ -37,11 +37,11 @@ def run_eval(given: argparse.Namespace) -> int:
 
     spark = SparkSession.builder.getOrCreate()
     provider = _named(given.provider)
-    items, _, stats = report.run_eval(report.load_fixtures(spark, given.fixtures), _named(given.schema), provider() if isinstance(provider, type) else provider)
+    items, _, stats = report.run_eval(report.load_fixtures(spark, given.fixtures), _named(given.schema), provider if hasattr(provider, "extract") and not isinstance(provider, type) else provider())
     items, stats = items.cache(), stats.cache()
     print(report.format_report(stats))
-    total = report.totals(items, {}).first()
-    print(f"{total['items']} fixtures, {total['exact']} exact, {total['failed']} failed")
+    total = report.totals(items, {"input": given.input_price, "output": given.output_price}).first()
+    print(f"{total['items']} fixtures, {total['exact']} exact, {total['failed']} failed, cost {total['cost']:.4f}")
     if given.report:
         report.save_report(stats, given.report)
     missed = report.below(stats, given.min_precision, given.min_recall).orderBy("path").collect()
@@ -66,6 +66,8 @@ def main(arguments: list[str] | None = None) -> int:
     two.add_argument("--report")
     two.add_argument("--min-precision", type=float)
     two.add_argument("--min-recall", type=float)
+    two.add_argument("--input-price", type=float, default=0.0, help="of a million tokens")
+    two.add_argument("--output-price", type=float, default=0.0, help="of a million tokens")
     two.set_defaults(run=run_eval)
     given = parser.parse_args(arguments)
     return given.run(given)
