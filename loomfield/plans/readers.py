@@ -13,7 +13,7 @@ from loomfield.operators import coerce as co
 from loomfield.operators import content, fluent, mapping, report, validate
 from loomfield.plans import codes
 from loomfield.plans import schema as s
-from loomfield.sources import audio, calendars, delimited, documents, feeds, images, mail, pdf, writers
+from loomfield.sources import audio, calendars, delimited, documents, feeds, fetching, images, mail, pdf, writers
 from loomfield.streaming import windows
 
 
@@ -180,6 +180,30 @@ def image_facts(spark, sf_dir):
     return found.join(why, "p_partkey").select("p_partkey", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), fact("camera").alias("camera"), fact("caption").alias("caption"), fact("taken").alias("taken"), fact("orientation").isNotNull().alias("turned"), fact("latitude").cast("double").alias("latitude"), fact("longitude").cast("double").alias("longitude"), "why")
 
 
+def image_texts(spark, sf_dir):
+    """Photos of even parts told from their headers, and pictures of odd ones that have none."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    photo = lambda r: writers.png(3, 4) if r["p_partkey"] % 2 else writers.jpeg(8, 6, writers.exif_block(camera=r["p_brand"], taken="2026:01:02 03:04:05", place=(1.5, -2.25)))
+    made = writers.made(rows, "p_partkey", photo).join(rows.select("p_partkey", "p_brand"), "p_partkey")
+    return fetching.metadata_sources(made, "p_partkey", "content", "p_brand").select("p_partkey", "label", "text")
+
+
+def fetched_images(spark, sf_dir):
+    """Addresses of three pictures an item, two of which are fetched; a scripted fetcher answers by the address."""
+    small = writers.png(2, 2)
+
+    def answer(url: str, timeout: float, most: int) -> tuple[int, str | None, bytes]:
+        k = int(url.rsplit("/", 1)[-1])
+        if k % 5 == 4:
+            raise TimeoutError
+        return [(200, "image/png", small), (404, None, b""), (200, "text/html", b"x"), (200, None, b"unknown")][k % 5]
+
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.array(*map(F.lit, range(3)))).alias("pos"), F.col("s_name").alias("name"))
+    asked = rows.select("s_suppkey", "pos", F.concat(F.lit("https://x.example/"), (F.col("s_suppkey") * 3 + F.col("pos")).cast("string")).alias("url"), F.when(F.col("pos") == 0, F.col("name")).alias("alt"))
+    found = fetching.fetch_images(asked, "s_suppkey", fetch=answer, most=2)
+    return found.select("s_suppkey", F.col("pos").cast("long").alias("pos"), "label", "media_type", F.substring_index("reason", ":", 1).alias("reason"))
+
+
 def page_image_list(spark, sf_dir):
     """Images of pages made from parts: relative and absolute addresses, an icon and a small one left out."""
     key = F.col("p_partkey").cast("string")
@@ -348,7 +372,7 @@ def stripped_answers(spark, sf_dir):
     return co.strip_nulls(rows, s.Schema("Row", "A row", {"name": s.string().optional(), "nation": s.string()}))
 
 
-QUERIES = {f.__name__: f for f in (calendar_daily, calendar_last_fridays, calendar_exceptions, calendar_clock_change, calendar_merged, calendar_texts, calendar_event_texts, format_checks, docx_texts, docx_sections, odt_texts, workbook_cells, workbook_sheets, pdf_page_texts, image_facts, page_image_list, xml_items, json_items, mail_bodies, mail_attachments, mail_forwards, event_sessions, request_keys_agree, page_structured_data, byte_sizes, transcript_texts, wav_lengths, cached_transcripts, eval_run_totals, content_blocks, source_kinds, mapping_texts, pdf_infos, pdf_texts, pdf_sources, chained_answers, stripped_answers)}
+QUERIES = {f.__name__: f for f in (calendar_daily, calendar_last_fridays, calendar_exceptions, calendar_clock_change, calendar_merged, calendar_texts, calendar_event_texts, format_checks, docx_texts, docx_sections, odt_texts, workbook_cells, workbook_sheets, pdf_page_texts, image_facts, page_image_list, xml_items, json_items, mail_bodies, mail_attachments, mail_forwards, event_sessions, request_keys_agree, page_structured_data, byte_sizes, transcript_texts, wav_lengths, cached_transcripts, eval_run_totals, content_blocks, source_kinds, mapping_texts, pdf_infos, pdf_texts, pdf_sources, chained_answers, stripped_answers, image_texts, fetched_images)}
 
 _LF = "chr(10)"
 _NATIONS = "SELECT r_regionkey, r_name, n_nationkey, n_name FROM region JOIN nation ON n_regionkey = r_regionkey"
@@ -499,4 +523,13 @@ ORACLE_SQL = {
     "pdf_sources": "SELECT s_suppkey, 'Offer (page ' || p || ')' AS label, CASE WHEN p = 1 THEN s_name || ' first' ELSE 'last' END AS text FROM supplier, (SELECT unnest([1, 3]) AS p)",
     "chained_answers": "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 3 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN s_suppkey % 4 <> 3 THEN CAST(s_nationkey AS BIGINT) END AS nation FROM supplier",
     "stripped_answers": """SELECT s_suppkey, '{"nation":"' || s_nationkey || '"}' AS data_json FROM supplier""",
+    "image_texts": f"""
+        SELECT p_partkey, p_brand || ' (photo metadata)' AS label, CASE WHEN p_partkey % 2 = 0 THEN concat_ws({_LF}, 'From the image file''s headers, not from the picture:', 'Taken: 2026-01-02T03:04:05', 'Camera''s place: 1.500000, -2.250000 (latitude, longitude)', 'Camera: ' || p_brand, 'Dimensions: 8×6 pixels')
+               ELSE concat_ws({_LF}, 'From the image file''s headers, not from the picture:', 'Dimensions: 3×4 pixels', 'Neither a time nor a place is recorded.') END AS text FROM part
+    """,
+    "fetched_images": """
+        WITH a AS (SELECT s_suppkey, p::BIGINT AS pos, s_name, (s_suppkey * 3 + p) % 5 AS k FROM supplier, (SELECT unnest([0, 1, 2]) AS p))
+        SELECT s_suppkey, pos, CASE WHEN pos = 0 THEN s_name ELSE 'Image ' || (pos + 1) END AS label, CASE WHEN pos < 2 AND k = 0 THEN 'image/png' END AS media_type,
+               CASE WHEN pos = 2 THEN 'count' WHEN k = 1 THEN 'status' WHEN k = 2 THEN 'content_type' WHEN k = 3 THEN 'unsupported' WHEN k = 4 THEN 'timeout' END AS reason FROM a
+    """,
 }
