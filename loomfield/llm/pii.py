@@ -125,7 +125,7 @@ def disclosing_terms(rows: DataFrame) -> DataFrame:
     entities = keep(holds.groupBy("e").agg(F.sum("c").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts"), "entities")
     # each text's entities that others hold too stay beside its terms, so that no terms are shuffled for the join
     shared = holds.join(few(entities.select("e")), "e").groupBy("h").agg(F.collect_list("e").alias("es"))
-    context = texts.drop("es").join(few(keep(shared, "shared")), "h").select("c", F.explode("es").alias("e"), "ts").select("c", "e", F.explode("ts").alias("t"))
+    context = texts.drop("es").join(few(keep(shared, "shared")), "h").select("h", "c", F.explode("es").alias("e"), "ts").select("h", "c", "e", F.explode("ts").alias("t"))
     together = keep(context.groupBy("e", "t").agg(F.sum("c").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT), "together")
     n = rows.count()
     information = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
@@ -139,8 +139,8 @@ def disclosing_terms(rows: DataFrame) -> DataFrame:
     terms = each.join(few(wanted), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
     loss = F.log2(F.col("n_t") / F.col("n_et"))  # IC(e) - PMI(e, t)
     flagged = keep(likely.join(terms, "t").where(loss <= F.col("bound")).select("e", "t", (F.col("n_t") == F.col("n_et")).alias("only")), "flagged")
-    by_text = holds.join(few(flagged.select("e").distinct()), "e").select("h", "e").join(flagged, "e").join(texts.select("h", "ts"), "h").where(F.array_contains("ts", F.col("t")))
-    found = by_text.groupBy("h", "t").agg(F.bool_or("only").alias("only"))
+    # a text's own terms meet the flagged ones, so that rows stay in proportion to the texts, whatever an entity has of either
+    found = context.join(few(flagged), ["e", "t"]).groupBy("h", "t").agg(F.bool_or("only").alias("only"))
     return keep(found.groupBy("h").agg(F.array_sort(F.collect_set("t")).alias("terms"), F.array_sort(F.collect_set(F.when(F.col("only"), F.col("t")))).alias("gone")), "disclosing")
 
 
