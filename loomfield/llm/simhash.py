@@ -19,7 +19,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,18 +89,25 @@ def groups(prints: DataFrame, doc_id: str = "doc_id", column: str = "fingerprint
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, the fingerprint (signed long) and the component id."""
-    prints = keep(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fingerprint"), "prints")
+    prints = keep(with_fingerprint(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).select("doc_id", "fingerprint"), "prints")
     return prints.join(groups(prints), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def _hashable(field: T.StructField) -> Column:
+    """A column, or for those that have no hash (with maps or variants inside) their JSON."""
+    kind = field.dataType.simpleString()
+    column = F.col(f"`{field.name}`")
+    return F.to_json(F.struct(column.alias("x"))) if "map<" in kind or "variant" in kind else column
+
+
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (nulls last), ties by the rows' hash.
 
     ``similar`` links texts of five-word shingles at 0.8 or more as well as those within two bits.
     """
     h, names = fresh(docs, "hash"), docs.columns
-    hashed = docs.withColumn(h, F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-    slim = hashed.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(h).alias("h"))
+    hashed = docs.withColumn(h, F.xxhash64(*map(_hashable, docs.schema.fields)))
+    slim = hashed.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(h).alias("h"))
     printed = keep(with_fingerprint(slim), "prints")
     prints = printed.select("doc_id", "h", "fingerprint")
     texts = printed.where("text is not null").select("fingerprint", "text") if similar else None
@@ -108,5 +115,6 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("h").alias("h"))
     best = joined.groupBy("root").agg(F.min(rank).alias("b"))
     best = keep(best.select(F.col("b.i").alias("__i"), F.col("b.h").alias("__h")).distinct(), "best")
-    same = hashed[doc_id].eqNullSafe(best["__i"]) & (hashed[h] == best["__h"])
-    return hashed.join(best, same, "left_semi").dropDuplicates([doc_id, h]).select(*names)
+    same = hashed[f"`{doc_id}`"].eqNullSafe(best["__i"]) & (hashed[h] == best["__h"])
+    # repeated rows are combined before the shuffle
+    return hashed.join(best, same, "left_semi").dropDuplicates([doc_id, h]).select(*[F.col(f"`{c}`") for c in names])

@@ -88,6 +88,14 @@ def test_deduplicate_keeps_one_of_each_component(spark):
     assert sorted(found) == sorted(want)
 
 
+def test_deduplicate_odd_names_and_types(spark):
+    rows = [(k, "the very same text of five words and more" if k % 2 else f"text {k} of its own " * 5, {"a": str(k)}) for k in range(8)] + [(1, "the very same text of five words and more", {"a": "1"})]
+    docs = spark.createDataFrame(rows, "`my.id` long, `my.text` string, m map<string,string>")
+    kept = simhash.deduplicate(docs, "my.id", "my.text")
+    assert kept.schema == docs.schema and sorted(r["my.id"] for r in kept.collect()) == [0, 1, 2, 4, 6]
+    assert simhash.near_duplicates(docs, "my.id", "my.text").count() == 9
+
+
 def plain_shingles(text):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or ({" ".join(w)} if w else set())
