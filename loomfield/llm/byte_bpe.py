@@ -42,6 +42,8 @@ BLOCK_BYTES, BLOCK_WORDS = 16 << 20, 300_000
 #: Fewest hash buckets of words; more where the session shuffles to more tasks.
 BUCKETS = 256
 _CACHE = 300_000
+#: Ids decoded together.
+_JOINED = 200_000
 _TEXT, _ORDER = -1, -2
 #: White space as Unicode (and so the library's pattern engine) has it; Python's own \s has four more.
 _W = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -245,18 +247,45 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     return both.groupBy("block").applyInArrow(regroup, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
+class TokenBytes:
+    """The table of token bytes by id: where each token's bytes begin in one buffer, and how many they are."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by_rank = {rank: token for token, rank in ranks.items()}
+        tokens = [by_rank.get(k, b"") for k in range(max(by_rank, default=-1) + 1)]
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def join(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids one after another, and where each id's end; an id that the table hasn't has none."""
+        there = (ids >= 0) & (ids < len(self.sizes))
+        at = np.where(there, ids, 0)
+        size = np.where(there, self.sizes[at], 0) if len(self.sizes) else np.zeros(len(ids), np.int64)
+        ends = np.cumsum(size)
+        first = self.starts[at] if len(self.sizes) else at
+        return self.flat[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``encoded`` with the bytes of its ids, by the table of each token's bytes; null ids give null."""
-    by_rank = {rank: token for token, rank in read_ranks(path).items()}
-    sent = encoded.sparkSession.sparkContext.broadcast([by_rank.get(k, b"") for k in range(max(by_rank) + 1)])  # bounded by the vocabulary
+    """``encoded`` with the bytes of its ids: a join with the token-byte table on the map side; null ids give null."""
+    sent = encoded.sparkSession.sparkContext.broadcast(TokenBytes(read_ranks(path)))  # bounded by the vocabulary
     at, schema = encoded.columns.index(ids), T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = sent.value.__getitem__
         for batch in batches:
-            column = batch.column(at)
-            # one list at a time, so that Python objects of few texts are alive at once
-            found = [b"".join(map(token, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else None for x in column]
+            lists, found = batch.column(at), []
+            stops = lists.offsets.to_numpy().astype(np.int64)
+            k = 0
+            while k < len(lists):  # some hundred thousand ids at a time, or one long list
+                to = max(k + 1, int(np.searchsorted(stops, stops[k] + _JOINED, "right")) - 1)
+                flat, ends = sent.value.join(lists.values[stops[k] : stops[to]].to_numpy(zero_copy_only=False).astype(np.int64))
+                past = np.concatenate([[0], ends])[stops[k : to + 1] - stops[k]].tolist()
+                data = flat.tobytes()
+                found += [data[a:b] for a, b in zip(past, past[1:], strict=False)]
+                k = to
+            if lists.null_count:
+                found = [x if there else None for x, there in zip(found, lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, out])
 
     return encoded.mapInArrow(frugal(run), schema)

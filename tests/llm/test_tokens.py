@@ -124,6 +124,16 @@ def test_packed_ids_are_those_of_the_crc(spark):
         assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length
 
 
+def test_decoding_of_odd_ids(spark, monkeypatch):
+    ranks = byte_bpe.read_ranks(RANKS)
+    token = {v: k for k, v in ranks.items()}
+    rows = [(1, [5, 1, 5]), (2, None), (3, []), (4, [-1, 10**9, 7]), (5, list(range(300)) * 3)]
+    for together in (200_000, 4):
+        monkeypatch.setattr(byte_bpe, "_JOINED", together)
+        got = {r.k: r.decoded for r in byte_bpe.decode(spark.createDataFrame(rows, "k int, ids array<int>").coalesce(1), RANKS).collect()}
+        assert {k: x if x is None else bytes(x) for k, x in got.items()} == {k: x if x is None else b"".join(token.get(i, b"") for i in x) for k, x in rows}
+
+
 def test_integers_round_trip():
     rng = np.random.default_rng(1)
     for values in (np.empty(0, np.int64), np.asarray([0, 127, 128, 16383, 16384, 1 << 21, (1 << 28) - 1]), rng.integers(0, 1 << 27, 1000)):
