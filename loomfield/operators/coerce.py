@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
 import time
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -55,23 +56,28 @@ class Provider(Protocol):
 
 @dataclass
 class Backoff:
-    """A shared pause: doubles with each failure in a row, any success ends it."""
+    """A pause that a task's calls share: doubles with each failure in a row, any success ends it."""
 
     base: float = BASE_DELAY
     most: float = MAX_DELAY
     streak: int = 0
     until: float = 0.0
+    lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
 
     def wait(self) -> None:
-        if (left := self.until - time.monotonic()) > 0:
+        with self.lock:
+            left = self.until - time.monotonic()
+        if left > 0:
             time.sleep(left)
 
     def failed(self) -> None:
-        self.streak += 1
-        self.until = time.monotonic() + min(self.most, self.base * 2 ** (self.streak - 1))
+        with self.lock:
+            self.streak += 1
+            self.until = time.monotonic() + min(self.most, self.base * 2 ** (self.streak - 1))
 
     def succeeded(self) -> None:
-        self.streak, self.until = 0, 0.0
+        with self.lock:
+            self.streak, self.until = 0, 0.0
 
 
 def canonical(value) -> str:
@@ -160,15 +166,20 @@ def record(answers: DataFrame, path: str, schema: Schema) -> None:
     answers.where("status = 'ok'").select("request_key", F.lit(schema.id).alias("schema_id"), "user_input", "data_json", F.current_timestamp().alias("recorded_at")).write.mode("append").partitionBy("schema_id").parquet(path)
 
 
-def coerce(sources: DataFrame, schema: Schema, provider: Provider | None = None, recordings: DataFrame | None = None, strict: bool = True, repair: str = "none", enums: dict | None = None, max_chars: int | None = None, policy: str = "tail", concurrency: int = CONCURRENCY, retries: int = RETRIES, base_delay: float = BASE_DELAY) -> DataFrame:
+def coerce(sources: DataFrame, schema: Schema, provider: Provider | None = None, recordings: DataFrame | None = None, strict: bool = True, repair: str = "none", enums: dict | None = None, max_chars: int | None = None, policy: str = "tail", concurrency: int = CONCURRENCY, retries: int = RETRIES, base_delay: float = BASE_DELAY, answers_path: str | None = None) -> DataFrame:
     """Sources to one result row for each item: data_json, issues, resolved, usage, attempts, status, error.
 
-    With recordings, only misses reach the provider; without a provider a miss is a failed item.
+    With recordings, only misses reach the provider; without a provider a miss is a failed item.  With
+    ``answers_path``, a folder all executors share, answers are written there at once and read from there, so that
+    results that are computed again call nobody again.
     """
     rows = requests(sources, schema, max_chars, policy, enums=enums)
     hits, misses = replay(rows, recordings) if recordings is not None else (None, rows)
     if provider is not None:
         live = call(misses, provider, schema, enums, concurrency=concurrency, retries=retries, base_delay=base_delay)
+        if answers_path is not None:
+            live.write.mode("overwrite").parquet(answers_path)
+            live = live.sparkSession.read.schema(live.schema).parquet(answers_path)
     else:
         live = misses.select("*", F.lit(None).cast("string").alias("data_json"), F.lit(None).cast(USAGE).alias("usage"), F.lit(0).alias("attempts"), F.lit("failed").alias("status"), F.lit("replay_miss: no recording").alias("error"))
     answers = hits.unionByName(live) if hits is not None else live

@@ -54,6 +54,22 @@ def test_chains_settings_and_spans(spark):
         fluent.reset()
 
 
+def test_answers_are_kept(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    where = str(calls)
+
+    class Counting(co.ScriptedProvider):  # local, so that executors get it by value
+        def extract(self, request):
+            open(f"{where}/{len(__import__('os').listdir(where))}", "w").close()
+            return super().extract(request)
+
+    rows = spark.createDataFrame([(1, 0, "text", None, "name: a\nkey: 1", None, None)], SOURCES)
+    found = co.coerce(rows, FULL, Counting(("name", "key")), answers_path=f"file://{tmp_path}/answers")
+    assert [found.count() for _ in range(3)] == [1, 1, 1] and len(list(calls.iterdir())) == 1
+    assert found.first().status == "ok"
+
+
 def test_tracing(spark):
     kept, out = tracing.MemorySink(), io.StringIO()
     tracer = tracing.Tracer((kept, lambda x: tracing.console_sink(x, out)), {"item": 7})
