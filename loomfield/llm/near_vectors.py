@@ -2,6 +2,8 @@
 
 1. Valid vectors are grouped into classes of equal vectors, so copies never meet each other as rows.
 2. Centroids are fitted on a bounded sample; every class goes to its home cluster and the next nearest ones.
+   Many centroids are fitted in two levels, the second inside each cluster of the first by a task of its own, and
+   a class looks for its clusters below the nearest ones of the first level.
    A cluster of more than ``SHARD`` members is dealt into blocks, and all its members are queries to each.
 3. Every block builds a robust-pruned graph of its members; the adjacency lists of a class are united.
 4. In every block the queries search the united graph greedily from the block's medoid, then expand from all
@@ -21,11 +23,13 @@ vectors of their own.  Vectors of different lengths have no cosine and never lin
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomfield.llm.common import keep
@@ -33,7 +37,9 @@ from loomfield.llm.graph import connected_components, forest
 
 THRESHOLD = 0.9
 #: Rows that centroids are fitted on, most clusters, members of a block, and queries audited.
-SAMPLE, CLUSTERS, SHARD, AUDIT = 20_000, 4096, 2048, 512
+SAMPLE, CLUSTERS, SHARD, AUDIT = 20_000, 65_536, 2048, 512
+#: Most clusters of one level, rows of the sample for each cluster of the second, clusters of the first looked below.
+LEVEL, PER_CLUSTER, BELOW = 1024, 16, 4
 #: Planted cosines lie between the threshold and this share of the way from it to 1; fewest true links that tell a share.
 PLANTED_SPAN, LINKS_TOLD = 0.3, 100
 #: Clusters a class goes to, neighbours kept by pruning, candidates pruned from, beam width, pruning factor.
@@ -85,6 +91,62 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 7) -> np.
     return centres
 
 
+@dataclass(frozen=True)
+class Centres:
+    """Centroids of all clusters, and where there are two levels those of the first and which clusters lie below each."""
+
+    flat: np.ndarray
+    top: np.ndarray | None = None
+    stops: np.ndarray | None = None  # clusters below the k-th of the first level are stops[k] to stops[k + 1]
+
+    def nearest(self, x: np.ndarray, m: int) -> np.ndarray:
+        """The nearest clusters of each row, -1 where fewer lie below those looked at; the first is its home."""
+        if self.top is None:
+            return np.argsort(-(x @ self.flat.T), axis=1, kind="stable")[:, :m]
+        first = np.argsort(-(x @ self.top.T), axis=1, kind="stable")[:, :BELOW]
+        near, best = np.full((len(x), m), -1), np.full((len(x), m), -np.inf)
+        for k in np.unique(first).tolist():
+            rows = np.flatnonzero((first == k).any(axis=1))
+            a, b = self.stops[k], self.stops[k + 1]
+            if a == b:
+                continue
+            sims = np.concatenate([best[rows], x[rows] @ self.flat[a:b].T], axis=1)
+            ids = np.concatenate([near[rows], np.broadcast_to(np.arange(a, b), (len(rows), b - a))], axis=1)
+            order = np.argsort(-sims, axis=1, kind="stable")[:, :m]
+            best[rows], near[rows] = np.take_along_axis(sims, order, axis=1), np.take_along_axis(ids, order, axis=1)
+        return near
+
+
+def fit_centres(classes: DataFrame, total: int, dimension: int, k: int) -> Centres:
+    """About ``k`` centroids; beyond ``LEVEL`` in two levels, of which the driver fits the first and collects the second."""
+    sample = classes.select("v").sample(min(1.0, 1.2 * SAMPLE / max(total, 1)), seed=5).limit(SAMPLE).toArrow()
+    if not sample.num_rows:
+        sample = classes.select("v").limit(1).toArrow()
+    first = centroids(unit(matrix(sample.column("v"), dimension)), k if k <= LEVEL else math.ceil(math.sqrt(k)))
+    if k <= LEVEL:
+        return Centres(first)
+    share = min(1.0, PER_CLUSTER * k / max(total, 1))
+    sent = classes.sparkSession.sparkContext.broadcast(first)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            home = np.argmax(unit(matrix(batch.column("v"), dimension)) @ sent.value.T, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), batch.column("v")], names=["top", "v"])
+
+    def fit(key: tuple, group: pa.Table) -> pa.Table:
+        x = unit(matrix(group.column("v"), dimension))
+        found = centroids(x, max(1, round(len(x) / (PER_CLUSTER if share < 1 else max(1, total / k)))))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * dimension, pa.int32()), pa.array(found.ravel()))
+        return pa.table({"top": pa.array([key[0].as_py()] * len(found), pa.int32()), "v": lists})
+
+    dealt = keep(classes.select("v").sample(share, seed=6).mapInArrow(assign, "top int, v array<double>"), "sampled")
+    # a first-level cluster that holds much of the sample is fitted in parts of bounded size
+    parts = dealt.withColumn("part", F.pmod(F.xxhash64("v"), F.ceil(F.count("*").over(Window.partitionBy("top")) / SAMPLE)))
+    found = parts.groupBy("top", "part").applyInArrow(lambda key, group: fit(key, group), "top int, v array<double>").toArrow().sort_by("top")
+    tops = found.column("top").to_numpy()
+    return Centres(matrix(found.column("v"), dimension), first, np.searchsorted(tops, np.arange(len(first) + 1)))
+
+
 def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alpha: float = ALPHA) -> list[np.ndarray]:
     """Adjacency of unit vectors: of each one's nearest candidates, the nearest is taken again and again, and
     those that are ``alpha`` times nearer to it than to the vector itself go; links then hold both ways."""
@@ -196,21 +258,21 @@ def range_search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, threshol
             yield a + pq[true], px[true]
 
 
-def deal(classes: DataFrame, centres: np.ndarray, dimension: int, overlap: int) -> DataFrame:
+def deal(classes: DataFrame, centres: Centres, dimension: int, overlap: int) -> DataFrame:
     """(cluster, home, cid, v, n) for each class and each of its nearest clusters."""
     sent = classes.sparkSession.sparkContext.broadcast(centres)  # at most CLUSTERS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = sent.value
-        m = min(overlap, len(c))
+        m = min(overlap, len(c.flat))
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                sims = unit(matrix(part.column("v"), dimension)) @ c.T
-                near = np.argsort(-sims, axis=1, kind="stable")[:, :m]
-                take = pa.array(np.repeat(np.arange(part.num_rows), m))
-                home = np.tile(np.arange(m) == 0, part.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), pa.array(home), *(part.column(k).take(take) for k in ("cid", "v", "n"))], names=["cluster", "home", "cid", "v", "n"])
+                near = c.nearest(unit(matrix(part.column("v"), dimension)), m)
+                there = near.ravel() >= 0
+                take = pa.array(np.repeat(np.arange(part.num_rows), m)[there])
+                home = np.tile(np.arange(m) == 0, part.num_rows)[there]
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel()[there].astype(np.int32)), pa.array(home), *(part.column(k).take(take) for k in ("cid", "v", "n"))], names=["cluster", "home", "cid", "v", "n"])
 
     return classes.mapInArrow(run, "cluster int, home boolean, cid long, v array<double>, n long")
 
@@ -225,7 +287,7 @@ def _blocks(dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, queries
 
 
-def search(classes: DataFrame, centres: np.ndarray, dimension: int, threshold: float, overlap: int, beam: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def search(classes: DataFrame, centres: Centres, dimension: int, threshold: float, overlap: int, beam: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Kept (cid, links) and (a, b) edges over classes that keep components together."""
     dealt = keep(deal(classes, centres, dimension, overlap), "dealt")
     members, queries = _blocks(dealt)
@@ -320,7 +382,7 @@ def components(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def compare(classes: DataFrame, centres: np.ndarray, dimension: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """As ``search``, by comparing all classes of all tiles that may link: exact, with quadratic work in a hot group."""
     spark = classes.sparkSession
-    sent = spark.sparkContext.broadcast(centres)  # at most CLUSTERS rows
+    sent = spark.sparkContext.broadcast(centres)  # at most LEVEL rows
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -450,10 +512,7 @@ def _of_dimension(spark: SparkSession, classes: DataFrame, dimension: int, thres
     classes = classes.select("cid", "v", "n")
     total = classes.count()
     k = min(CLUSTERS, -(-total * OVERLAP // (SHARD // 2))) if total > SHARD else 1
-    sample = classes.select("v").sample(min(1.0, 1.2 * SAMPLE / max(total, 1)), seed=5).limit(SAMPLE).toArrow()
-    if not sample.num_rows:
-        sample = classes.select("v").limit(1).toArrow()
-    centres = centroids(unit(matrix(sample.column("v"), dimension)), k)
+    centres = fit_centres(classes, total, dimension, k)
     planted = keep(plant(classes, dimension, threshold), "planted")
     n, both = planted.count(), classes.unionByName(planted)
     overlap, beam = OVERLAP, BEAM
@@ -465,4 +524,4 @@ def _of_dimension(spark: SparkSession, classes: DataFrame, dimension: int, thres
         if recall < WIDEN:
             break
         overlap, beam = 2 * overlap, 2 * beam
-    return *compare(classes, centres, dimension, threshold)[:2], 1.0
+    return *compare(classes, centres.flat if centres.top is None else centres.top, dimension, threshold)[:2], 1.0

@@ -247,7 +247,7 @@ def test_vectors_over_many_shards_and_blocks(spark, monkeypatch):
 
 
 def test_few_links_just_over_the_threshold(spark, monkeypatch):
-    """Planted links show what a sample of rows with few true links can't, and the exact way finds all."""
+    """Planted links show what a sample of rows with few true links can't: the target of 0.99 is met."""
     monkeypatch.setattr(near_vectors, "SHARD", 256)
     rng = np.random.default_rng(11)
     x = rng.normal(size=(5000, 32))
@@ -257,8 +257,28 @@ def test_few_links_just_over_the_threshold(spark, monkeypatch):
     c = rng.uniform(0.901, 0.93, (240, 1))
     x = np.concatenate([x, c * x[:240] + np.sqrt(1 - c * c) * w / np.linalg.norm(w, axis=1, keepdims=True)])
     got = near_vectors.near_vectors(spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)).collect()
-    assert sum(r.n_links for r in got) == np.count_nonzero(x @ x.T >= 0.9) - len(x) > 400
-    assert {r.recall for r in got} == {1.0}
+    true = np.count_nonzero(x @ x.T >= 0.9) - len(x)
+    assert 400 < 0.99 * true <= sum(r.n_links for r in got) <= true
+    assert min(r.recall for r in got) >= 0.99
+
+
+def test_two_levels_of_clusters(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "SHARD", 60)
+    monkeypatch.setattr(near_vectors, "LEVEL", 8)
+    seen = []
+    fit = near_vectors.fit_centres
+    monkeypatch.setattr(near_vectors, "fit_centres", lambda *x: seen.append(fit(*x)) or seen[-1])
+    rng = np.random.default_rng(7)
+    x = np.concatenate([c + 0.1 * rng.normal(size=(3, 16)) for c in rng.normal(size=(700, 16))])
+    rows = [(k, v) for k, v in enumerate(x.tolist())]
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.count_nonzero(u @ u.T >= 0.9, axis=1) - 1
+    assert seen[0].top is not None and len(seen[0].flat) > 60 and seen[0].stops[-1] == len(seen[0].flat)
+    assert sum(r.n_links for r in got) >= 0.98 * want.sum() and all(r.n_links <= want[r.vec_id] for r in got)
+    near = seen[0].nearest(u[:50], 3)
+    exact = np.argmax(u[:50] @ seen[0].flat.T, axis=1)
+    assert (near[:, 0] == exact).mean() > 0.8
 
 
 def test_components_of_dense_links(monkeypatch):
