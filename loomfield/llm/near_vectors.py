@@ -13,7 +13,7 @@
    over the threshold, in a random direction; planted vectors are searched like all others, count for nothing,
    and tell the share of known links that was found.  The true links of as many classes, by brute force over all
    rows, are audited as well.  Where either share is below the target the search is repeated with more overlap
-   and a wider beam; where that doesn't reach it, or too much is missing, all pairs of tiles whose clusters'
+   and a wider beam; where that doesn't reach it, too much is missing or it would cost more, all pairs of tiles whose clusters'
    radii allow a link are compared in full, which is exact.  The share is the column ``recall``.
 
 Defined results: a null, empty or zero vector, and one with null or non-finite components, links with
@@ -45,8 +45,9 @@ PLANTED_SPAN, LINKS_TOLD = 0.3, 100
 #: Clusters a class goes to, neighbours kept by pruning, candidates pruned from, beam width, pruning factor.
 OVERLAP, DEGREE, CANDIDATES, BEAM, ALPHA = 3, 20, 48, 32, 1.2
 RECALL, TRIES = 0.99, 3
-#: Recall below which a group lies over more clusters than a wider search would reach.
-WIDEN = 0.9
+#: Recall below which a group lies over more clusters than a wider search would reach, and classes up to which
+#: comparing all of them costs less than a wider search.
+WIDEN, ALL_COMPARED = 0.9, 100_000
 #: Rows and bytes of vectors of a tile of the full comparison.
 TILE, TILE_BYTES = 8192, 64 << 20
 _QUERIES = 256
@@ -521,7 +522,7 @@ def _of_dimension(spark: SparkSession, classes: DataFrame, dimension: int, thres
         recall = audit(classes, counts, n, met.count(), dimension, threshold)
         if recall >= target:
             return counts, edges, recall
-        if recall < WIDEN:
+        if recall < WIDEN or total <= ALL_COMPARED:
             break
         overlap, beam = 2 * overlap, 2 * beam
     return *compare(classes, centres.flat if centres.top is None else centres.top, dimension, threshold)[:2], 1.0
