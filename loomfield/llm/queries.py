@@ -89,7 +89,32 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
+_BLANK, _WORD = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": f"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents
+        ), w AS (
+            SELECT r, list_filter(string_split_regex(t, '{_BLANK}+'), lambda x: x <> '') AS w FROM d
+        ), windows AS (
+            SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM w, unnest(range(1, len(w) - 6)) AS u(i)
+        ), twice AS (
+            SELECT r, g FROM windows GROUP BY r, g HAVING count(*) > 1
+        ), covered AS (
+            SELECT r, count(DISTINCT i + k) AS n FROM windows JOIN twice USING (r, g), unnest(range(8)) AS u(k) GROUP BY r
+        ), m AS (
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{_BLANK}', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+                   length(regexp_replace(t, '\\P{{Lu}}', '', 'g')) AS capitals, length(regexp_replace(t, '\\P{{L}}', '', 'g')) AS letters, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS stutters
+            FROM d JOIN w USING (r) LEFT JOIN covered USING (r)
+        ), b AS (
+            SELECT *, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > len(l) OR 10 * capitals > 4 * word_chars OR 10 * stutters > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * letters < 4 * word_chars) AS kept
+        FROM b
+    """,
     "op4_near_vectors": """
         WITH RECURSIVE v AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
