@@ -91,7 +91,62 @@ QUERIES = {
 
 _BLANK, _WORD = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
 
+_PERSONAL = {
+    "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+",
+    "ip": "[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+",
+    "card": "[0-9](?:[\\x20-]?[0-9])+",
+    "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
+}
+
+
+def _located(rows: str, kind: str, pattern: str) -> str:
+    """Matches of a pattern with their code points, from the lengths of what lies between and before."""
+    return f"""
+        SELECT t, '{kind}' AS kind, m[i] AS v, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+        FROM (SELECT t, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS p FROM {rows}), unnest(range(1, len(m) + 1)) AS u(i)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_pii": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), texts AS (SELECT t, count(*) AS c FROM d GROUP BY t),
+        matched AS ({" UNION ALL ".join(_located("texts", k, x) for k, x in _PERSONAL.items())}),
+        spans AS (
+            SELECT *, s + length(v) AS e, regexp_replace(v, '[^0-9]', '', 'g') AS g FROM matched
+        ), base AS (
+            SELECT *, CASE kind WHEN 'email' THEN 1 WHEN 'ip' THEN 2 WHEN 'card' THEN 3 ELSE 4 END AS k FROM spans
+            WHERE CASE kind WHEN 'email' THEN TRUE WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda x: CAST(x AS DOUBLE) > 255)) = 0
+                  WHEN 'card' THEN length(g) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(g) + 1), lambda i: CASE WHEN (length(g) - i) % 2 = 0 THEN CAST(g[i] AS INTEGER) WHEN CAST(g[i] AS INTEGER) > 4 THEN 2 * CAST(g[i] AS INTEGER) - 9 ELSE 2 * CAST(g[i] AS INTEGER) END)) % 10 = 0
+                  ELSE length(g) BETWEEN 9 AND 15 END
+        ), entities AS (
+            SELECT DISTINCT t, e FROM (
+                SELECT t, kind || ':' || v AS e FROM base UNION ALL
+                SELECT t, kind || '~' || CASE kind WHEN 'email' THEN lower(regexp_extract(v, '@(.*)$', 1)) WHEN 'ip' THEN regexp_extract(v, '^([0-9]+\\.[0-9]+)', 1) WHEN 'card' THEN left(g, 6) ELSE left(g, 4) END FROM base
+            )
+        ), own AS (
+            SELECT t, unnest(list_distinct(regexp_extract_all(regexp_replace(t, '\\S*@\\S*', ' ', 'g'), '\\p{{L}}+'))) AS w FROM (SELECT DISTINCT t FROM entities)
+        ), n_e AS (
+            SELECT e, sum(c) AS n_e FROM entities JOIN texts USING (t) GROUP BY e HAVING count(*) >= {pii.SUPPORT}
+        ), n_et AS (
+            SELECT e, w, sum(c) AS n_et FROM entities JOIN n_e USING (e) JOIN own USING (t) JOIN texts USING (t) GROUP BY e, w HAVING count(*) >= {pii.SUPPORT}
+        ), n_t AS (
+            SELECT w, sum(c) AS n_t FROM (SELECT c, unnest(list_distinct(regexp_extract_all(t, '\\p{{L}}+'))) AS w FROM texts) GROUP BY w
+        ), flagged AS (
+            SELECT e, w, n_t = n_et AS gone FROM n_et JOIN n_e USING (e) JOIN n_t USING (w)
+            WHERE log2(n_t / n_et) <= log2((SELECT CAST(count(*) AS DOUBLE) FROM d) / n_e) * (1 - 1 / {pii.ALPHA}::DOUBLE)
+        ), told AS (
+            SELECT t, w, bool_or(gone) AS gone FROM entities JOIN own USING (t) JOIN flagged USING (e, w) GROUP BY t, w
+        ), words AS ({_located("(SELECT DISTINCT t FROM told)", "word", "\\p{L}+")}),
+        terms AS (
+            SELECT words.t, CASE WHEN gone THEN 'gone' ELSE 'term' END AS kind, s, s + length(v) AS e FROM words JOIN told ON told.t = words.t AND told.w = words.v
+        ), written AS (
+            SELECT t, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS b, count_if(k = 1) AS n1, count_if(k = 2) AS n2, count_if(k = 3) AS n3, count_if(k = 4) AS n4 FROM base GROUP BY t
+        ), said AS (
+            SELECT t, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY kind, s) AS x FROM terms GROUP BY t
+        )
+        SELECT doc_id, coalesce(n1, 0) AS n_email, coalesce(n2, 0) AS n_ip, coalesce(n3, 0) AS n_card, coalesce(n4, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, concat_ws(',', b, x) AS spans
+        FROM d LEFT JOIN written USING (t) LEFT JOIN said USING (t)
+    """,
     "op5_quality_rules": f"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents
