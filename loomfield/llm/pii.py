@@ -126,23 +126,23 @@ def disclosing_terms(rows: DataFrame) -> DataFrame:
     n = rows.count()
     information = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
     bound = information * (1 - 1 / ALPHA)
-    # each text's entities that others hold too stay beside its terms, so that no terms are shuffled for the join
     shared = holds.join(few(entities), "e").groupBy("h").agg(F.collect_list(F.struct("e", "n_e", bound.alias("bound"))).alias("es"))
-    pairs = texts.drop("es").join(few(keep(shared, "shared")), "h").select("h", "c", F.inline("es"), "ts").select("h", "c", "e", "n_e", "bound", F.explode("ts").alias("t"))
     # a term occurs at least as often as in these texts, and with an entity at most as often as that occurs: what is
-    # in a single text or too common for the entity can't disclose it
-    seen = keep(texts.select("c", F.explode("ts").alias("t")).groupBy("t").agg(F.sum("c").alias("n_h"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts"), "seen")
+    # in a single text or too common for the entity can't disclose it, and goes before entities multiply the rows
+    words = texts.select("h", "c", F.explode("ts").alias("t"))
+    seen = keep(words.groupBy("t").agg(F.sum("c").alias("n_h"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts"), "seen")
     possible = F.log2(F.col("n_h") / F.col("n_e")) <= F.col("bound") + 1e-9
-    context = keep(pairs.join(few(seen), "t").where(possible).select("h", "c", "e", "t", "bound"), "context")
-    together = context.groupBy("e", "t").agg(F.sum("c").alias("n_et"), F.count("*").alias("texts"), F.first("bound").alias("bound")).where(F.col("texts") >= SUPPORT)
-    likely = keep(together.join(few(seen), "t").where(F.log2(F.col("n_h") / F.col("n_et")) <= F.col("bound") + 1e-9).select("e", "t", "n_et", "bound"), "likely")
+    context = words.join(seen, "t").join(few(keep(shared, "shared")), "h").select("h", "c", "t", "n_h", F.inline("es")).where(possible)
+    context = keep(context.select("h", "c", "e", "t", "n_h", "bound"), "context")
+    together = context.groupBy("e", "t").agg(F.sum("c").alias("n_et"), F.count("*").alias("texts"), F.first("bound").alias("bound"), F.first("n_h").alias("n_h")).where(F.col("texts") >= SUPPORT)
+    likely = keep(together.where(F.log2(F.col("n_h") / F.col("n_et")) <= F.col("bound") + 1e-9).select("e", "t", "n_et", "bound"), "likely")
     wanted = keep(likely.select("t").distinct(), "wanted")
     each = rows.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))).alias("t"))
     terms = each.join(few(wanted), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
     loss = F.log2(F.col("n_t") / F.col("n_et"))  # IC(e) - PMI(e, t)
     flagged = keep(likely.join(terms, "t").where(loss <= F.col("bound")).select("e", "t", (F.col("n_t") == F.col("n_et")).alias("only")), "flagged")
     # a text's own terms meet the flagged ones, so that rows stay in proportion to the texts, whatever an entity has of either
-    found = context.select("h", "e", "t").join(few(flagged), ["e", "t"]).groupBy("h", "t").agg(F.bool_or("only").alias("only"))
+    found = context.select("h", "e", "t").join(flagged, ["e", "t"]).groupBy("h", "t").agg(F.bool_or("only").alias("only"))
     return keep(found.groupBy("h").agg(F.array_sort(F.collect_set("t")).alias("terms"), F.array_sort(F.collect_set(F.when(F.col("only"), F.col("t")))).alias("gone")), "disclosing")
 
 
