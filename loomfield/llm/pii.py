@@ -8,8 +8,8 @@ being shares of the corpus's documents.  Such terms are removed from the documen
 they occur with nothing else, or generalised to a placeholder.  Evidence is a pair seen in ``SUPPORT`` different
 texts: in a single one every rare word stands with every value, which tells nothing; its class still counts.
 
-Spans are computed once and kept.  Pairs of entities and terms are counted first, over the texts with entities;
-only the terms that may disclose are counted in all documents.
+Spans are computed once and kept.  The terms of all documents are counted first, combined before the shuffle; a
+text's terms meet its entities where these counts allow that they disclose them.
 
 Patterns are written so that a long run is looked at once: possessive repeats and look-behind allow no
 other match than the plain ones.  Positions are code points and come from the lengths of what lies between
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import few, fresh, keep
+from loomfield.llm.common import FEW_ROWS, few, fresh, keep
 from loomfield.llm.quality import let
 
 KINDS = ("email", "ip", "card", "phone")
@@ -122,27 +122,30 @@ def disclosing_terms(rows: DataFrame) -> DataFrame:
     # copies of a text are one row with their number
     texts = keep(held.groupBy("h").agg(F.first("es").alias("es"), F.first("ts").alias("ts"), F.count("*").alias("c")), "texts")
     holds = texts.select("h", "c", F.explode("es").alias("e"))
-    entities = keep(holds.groupBy("e").agg(F.sum("c").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts"), "entities")
     n = rows.count()
-    information = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
-    bound = information * (1 - 1 / ALPHA)
-    shared = holds.join(few(entities), "e").groupBy("h").agg(F.collect_list(F.struct("e", "n_e", bound.alias("bound"))).alias("es"))
-    # a term occurs at least as often as in these texts, and with an entity at most as often as that occurs: what is
-    # in a single text or too common for the entity can't disclose it, and goes before entities multiply the rows
-    words = texts.select("h", "c", F.explode("ts").alias("t"))
-    seen = keep(words.groupBy("t").agg(F.sum("c").alias("n_h"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts"), "seen")
-    possible = F.log2(F.col("n_h") / F.col("n_e")) <= F.col("bound") + 1e-9
-    context = words.join(seen, "t").join(few(keep(shared, "shared")), "h").select("h", "c", "t", "n_h", F.inline("es")).where(possible)
-    context = keep(context.select("h", "c", "e", "t", "n_h", "bound"), "context")
-    together = context.groupBy("e", "t").agg(F.sum("c").alias("n_et"), F.count("*").alias("texts"), F.first("bound").alias("bound"), F.first("n_h").alias("n_h")).where(F.col("texts") >= SUPPORT)
-    likely = keep(together.where(F.log2(F.col("n_h") / F.col("n_et")) <= F.col("bound") + 1e-9).select("e", "t", "n_et", "bound"), "likely")
-    wanted = keep(likely.select("t").distinct(), "wanted")
-    each = rows.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))).alias("t"))
-    terms = each.join(few(wanted), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
+    bound = F.log2(F.lit(float(max(n, 1))) / F.col("n_e")) * (1 - 1 / ALPHA)
+    entities = holds.groupBy("e").agg(F.sum("c").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
+    # a term is with an entity at most as often as that occurs, so what is in more documents than ``most`` can't disclose it
+    entities = entities.select("e", F.monotonically_increasing_id().alias("k"), bound.alias("bound"), (F.col("n_e") * F.pow(F.lit(2.0), bound) * (1 + 1e-9)).alias("most"))
+    entities = keep(entities, "entities")
+    top = entities.agg(F.max("most")).head()[0] or 0.0
+    shared = holds.join(few(entities), "e").groupBy("h").agg(F.max("most").alias("most"), F.collect_list(F.struct("k", "bound", F.col("most").alias("most_k"))).alias("es"))
+    shared = keep(shared, "shared")
+    # the terms of all documents are counted before entities multiply any rows, so the shuffle grows as the input does
+    each = rows.where(F.lit(top > 0)).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))).alias("t"))
+    terms = keep(each.groupBy("t").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= SUPPORT), "terms")
+    words = texts.join(few(shared.select("h", "most")), "h").select("h", "c", "most", F.explode("ts").alias("t"))
+    common = terms.where(F.col("n_t") > top).select("t")
+    if common.count() <= FEW_ROWS:  # words that can disclose nothing are not shuffled
+        words = words.join(F.broadcast(common), "t", "left_anti")
+    rare = words.join(terms, "t").where(F.col("n_t") <= F.col("most")).select("h", "c", "t", "n_t")
+    context = rare.join(few(shared.select("h", "es")), "h").select("h", "c", "t", "n_t", F.inline("es")).where(F.col("n_t") <= F.col("most_k"))
+    context = keep(context.drop("most_k"), "context")
+    together = context.groupBy("k", "t").agg(F.sum("c").alias("n_et"), F.count("*").alias("texts"), F.first("bound").alias("bound"), F.first("n_t").alias("n_t")).where(F.col("texts") >= SUPPORT)
     loss = F.log2(F.col("n_t") / F.col("n_et"))  # IC(e) - PMI(e, t)
-    flagged = keep(likely.join(terms, "t").where(loss <= F.col("bound")).select("e", "t", (F.col("n_t") == F.col("n_et")).alias("only")), "flagged")
+    flagged = keep(together.where(loss <= F.col("bound")).select("k", "t", (F.col("n_t") == F.col("n_et")).alias("only")), "flagged")
     # a text's own terms meet the flagged ones, so that rows stay in proportion to the texts, whatever an entity has of either
-    found = context.select("h", "e", "t").join(flagged, ["e", "t"]).groupBy("h", "t").agg(F.bool_or("only").alias("only"))
+    found = context.select("h", "k", "t").join(flagged, ["k", "t"]).groupBy("h", "t").agg(F.bool_or("only").alias("only"))
     return keep(found.groupBy("h").agg(F.array_sort(F.collect_set("t")).alias("terms"), F.array_sort(F.collect_set(F.when(F.col("only"), F.col("t")))).alias("gone")), "disclosing")
 
 

@@ -341,6 +341,19 @@ def test_terms_by_plain_pmi(spark):
     assert sum(map(bool, want)) >= 50
 
 
+def test_only_terms_that_may_disclose_meet_entities(spark, monkeypatch):
+    # with tables too large for broadcasts: words that all documents hold don't multiply by the entities of a text
+    kept, keep = {}, pii.keep
+    monkeypatch.setattr(pii, "keep", lambda df, name: kept.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(pii, "few", lambda df: df)
+    monkeypatch.setattr(pii, "FEW_ROWS", 0, raising=False)
+    texts = [f"all of these words stand here {'too ' * (k % 5)}" for k in range(300)]
+    texts += [f"all of these words stand here Lee me@a.example +49 30 {k}234567 1.2.3.{k}" for k in range(3)] + ["here Lee and alone 9.9.9.9"]
+    found = {r.doc_id: {s.value for s in r.terms} for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == dict(enumerate(plain_terms(texts))) and found[300] == {"Lee"}
+    assert {r.t for r in kept["context"].select("t").distinct().collect()} == {"Lee"}
+
+
 def test_terms_of_the_whole_table(spark):
     found = pii.find(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     assert found.where("size(terms) > 0").count() > 0
