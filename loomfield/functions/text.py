@@ -114,8 +114,10 @@ def truncate_text(text: Column, limit: Column, policy: str = "tail") -> Column:
     return F.when(n <= limit, text).otherwise(cut)
 
 
-def format_size(n: Column) -> Column:
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(F.floor(n / 1024 + 0.5).cast("string"), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", n / (1024 * 1024)), F.lit(" MB")))
+def format_size(n: Column, half_even: bool = False) -> Column:
+    """Bytes as B, KB or MB; halves of a tenth of a megabyte go up, or with ``half_even`` to the even tenth, as C's printf does."""
+    mb = n / (1024 * 1024)
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(F.floor(n / 1024 + 0.5).cast("string"), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", F.bround(mb, 1) if half_even else mb), F.lit(" MB")))
 
 
 def format_clock(seconds: Column) -> Column:

@@ -270,9 +270,10 @@ def page_structured_data(spark, sf_dir):
 
 
 def byte_sizes(spark, sf_dir):
+    """Sizes, clocks and addresses; its SQL rounds as printf does, which shows from 262,144 orders on."""
     rows = table(spark, sf_dir, "orders")
     n = (F.col("o_orderkey") * 997).cast("long")
-    return rows.select("o_orderkey", texts.format_size(n).alias("size"), texts.format_clock((F.col("o_orderkey") % 90_000).cast("double")).alias("clock"), texts.format_address(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")), F.lit("a@x.example")).alias("address"))
+    return rows.select("o_orderkey", texts.format_size(n, half_even=True).alias("size"), texts.format_clock((F.col("o_orderkey") % 90_000).cast("double")).alias("clock"), texts.format_address(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")), F.lit("a@x.example")).alias("address"))
 
 
 def _notes(spark, sf_dir) -> DataFrame:

@@ -48,6 +48,13 @@ def test_small_texts(spark):
     assert one(spark, "Fwd: x", text.is_forward) is True
 
 
+def test_halves_of_a_tenth_of_a_megabyte(spark):
+    """249.25 MB goes up as in the source's rendering; byte_sizes' SQL has printf, to the even tenth."""
+    assert one(spark, 997 * 262_144, text.format_size, "long") == "249.3 MB"
+    even = [one(spark, n, lambda c: text.format_size(c, half_even=True), "long") for n in (997 * 262_144, 999 * 262_144, 997 * 262_144 + 1, 1_363_149)]
+    assert even == ["249.2 MB", "249.8 MB", "249.3 MB", "1.3 MB"] == [f"{997 / 4:.1f} MB", f"{999 / 4:.1f} MB", f"{(997 * 262_144 + 1) / 2**20:.1f} MB", "1.3 MB"]
+
+
 def plain_cut(t, limit, policy):
     if len(t) <= limit:
         return t
