@@ -5,7 +5,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from loomfield.sources import audio, documents, images, pdf
+from loomfield.sources import audio, documents, images, mail, pdf, writers
 from loomfield.sources.transcripts import wav_seconds
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -99,3 +99,19 @@ def test_images(spark):
     page = '<meta property="og:image" content="/a.jpg"><img src="logo.png"><img src="b.jpg" width=50><img srcset="c.jpg 100w, d.jpg 900w" alt="D"><img src="/a.jpg"><img src="e.svg">'
     pages = spark.createDataFrame([(1, "https://x.example/p/q", page)], "page_id int, url string, html string")
     assert [(r.pos, r.url, r.alt) for r in images.read_page_images(pages).orderBy("pos").collect()] == [(0, "https://x.example/a.jpg", None), (1, "https://x.example/p/d.jpg", "D")]
+
+
+def one_split(spark, tmp_path, rows: int) -> str:
+    """A file of one row group, which is one split of the reader."""
+    path = str(tmp_path / "rows.parquet")
+    spark.range(rows).selectExpr("id AS k", "sha2(cast(id AS string), 256) AS t").coalesce(1).write.parquet(path)
+    return path
+
+
+def test_mails_made_of_one_split_are_dealt_out(spark, tmp_path):
+    rows = spark.read.parquet(one_split(spark, tmp_path, 3000))
+    assert rows.rdd.getNumPartitions() == 1
+    made = writers.made(rows, "k", lambda r: writers.message("a@x.example", "b@x.example", r["t"], "own words", [("a.txt", r["t"])]))
+    assert made.rdd.getNumPartitions() >= 8
+    found, _ = mail.text_attachments(mail.read_messages(made, "k", "content"), "k")
+    assert found.select("k", F.trim("text")).exceptAll(rows).count() == 0 and found.count() == 3000
