@@ -38,7 +38,7 @@ def explode_text(rows: DataFrame, key: str, column: str, kernel: Callable[[objec
     """(key, fields of ``ddl``, error): a row for each dictionary the kernel yields; a failure is one row with its error."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    slim = rows.select(F.col(f"`{key}`"), F.col(f"`{column}`").alias("__in"))
+    slim = spread(rows.select(F.col(f"`{key}`"), F.col(f"`{column}`").alias("__in")))
     schema = T.StructType([slim.schema[0], *T.StructType.fromDDL(ddl).fields, T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

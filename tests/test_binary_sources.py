@@ -114,4 +114,14 @@ def test_mails_made_of_one_split_are_dealt_out(spark, tmp_path):
     made = writers.made(rows, "k", lambda r: writers.message("a@x.example", "b@x.example", r["t"], "own words", [("a.txt", r["t"])]))
     assert made.rdd.getNumPartitions() >= 8
     found, _ = mail.text_attachments(mail.read_messages(made, "k", "content"), "k")
-    assert found.select("k", F.trim("text")).exceptAll(rows).count() == 0 and found.count() == 3000
+    assert found.select("k", F.regexp_replace("text", "\\s", "")).exceptAll(rows).count() == 0 and found.count() == 3000
+
+
+def test_pages_of_one_split_are_dealt_out_and_others_left_alone(spark, tmp_path):
+    rows = spark.read.parquet(one_split(spark, tmp_path, 3000))
+    pages = rows.select(F.col("k").alias("page_id"), F.lit("https://x.example/").alias("url"), F.concat(F.lit('<img src="'), "t", F.lit('.png">')).alias("html"))
+    found = images.read_page_images(pages)
+    assert found.rdd.getNumPartitions() >= 8
+    assert found.select("page_id", F.regexp_extract("url", "/(\\w+)[.]png$", 1)).exceptAll(rows).count() == 0 and found.count() == 3000
+    again = spark.createDataFrame(pages.limit(3).collect()).coalesce(1)
+    assert images.read_page_images(again).rdd.getNumPartitions() == 1
