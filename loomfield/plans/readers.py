@@ -14,6 +14,7 @@ from loomfield.operators import content, fluent, mapping, report, validate
 from loomfield.plans import codes
 from loomfield.plans import schema as s
 from loomfield.sources import audio, calendars, delimited, documents, feeds, fetching, images, mail, pdf, writers
+from loomfield.sources.rows import spread
 from loomfield.streaming import windows
 
 
@@ -35,7 +36,7 @@ def _line(name: str, value: Column) -> Column:
 
 
 def _busy(rows: DataFrame, key: str, since: datetime, until: datetime, **options) -> DataFrame:
-    found = calendars.busy_ranges(calendars.read_events(rows, key, "ics"), key, since, until, **options)
+    found = calendars.calendar_ranges(rows, key, "ics", since, until, **options)
     return found.select(key, F.col("start").alias("starts"), F.col("end").alias("ends"), "all_day", "summary")
 
 
@@ -49,7 +50,8 @@ def calendar_daily(spark, sf_dir):
 def calendar_last_fridays(spark, sf_dir):
     """An order's day and the next three last Fridays of a month."""
     stamp = F.concat(F.lit("DTSTART:"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("T090000Z"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", _calendar(_line("UID:", F.col("o_orderkey")), stamp, "DURATION:PT2H", "RRULE:FREQ=MONTHLY;BYDAY=-1FR;COUNT=4").alias("ics"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))  # before the texts are made
+    rows = orders.select("o_orderkey", _calendar(_line("UID:", F.col("o_orderkey")), stamp, "DURATION:PT2H", "RRULE:FREQ=MONTHLY;BYDAY=-1FR;COUNT=4").alias("ics"))
     return _busy(rows, "o_orderkey", _utc(1980, 1, 1), _utc(2100, 1, 1), merge=False).select("o_orderkey", "starts", "ends")
 
 

@@ -124,3 +124,33 @@ def test_calendar_text(spark):
     )
     each = calendars.read_event_texts(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t", "Booking", uid=True, description=False).collect()
     assert [r.label for r in each] == ["Booking 1", "Booking 2", "Booking 3"] and each[0].text.endswith("UID: u1") and "One" not in each[0].text
+
+
+def test_calendars_read_and_expanded_in_one_step(spark, tmp_path):
+    """As in two steps: moved ones by a folded name and from another row of the key, errors, nulls and zones."""
+    lines = lambda *x: ["UID:a", "SUMMARY:Class", "DURATION:PT1H", *x]
+    weekly = lines("DTSTART:20260105T090000Z", "RRULE:FREQ=DAILY;COUNT=4", "EXDATE:20260106T090000Z")
+    zone = "BEGIN:VTIMEZONE\r\nTZID:Own\r\nBEGIN:STANDARD\r\nTZOFFSETTO:+0300\r\nEND:STANDARD\r\nEND:VTIMEZONE\r\n"
+    texts = [
+        (1, ics(weekly)), (2, ics(weekly, lines("RECUR\r\n RENCE-ID:20260107T090000Z", "DTSTART:20260109T090000Z"))), (1, ics(lines("RECURRENCE-ID:20260108T090000Z", "DTSTART:20260110T090000Z", "STATUS:CANCELLED"))),
+        (3, ics(["UID:b"])), (4, None), (5, ics(lines("DTSTART;TZID=Own:20260105T090000"), zone=zone)), (6, ics(lines("DTSTART;TZID=Own:20260105T090000"))), (7, ics(lines("DTSTART:20260105T090000Z", "TRANSP:TRANSPARENT"))),
+    ]
+    rows = spark.createDataFrame(texts, "k int, t string")
+    window = at(2026, 1, 1), at(2026, 2, 1)
+    for given in (rows, rows.where("k in (5, 6)")):
+        for options in ({"merge": False}, {"merge": True}, {"merge": False, "transparent": True, "cancelled": True}):
+            two = calendars.busy_ranges(calendars.read_events(given, "k", "t"), "k", *window, **options)
+            one = calendars.calendar_ranges(given, "k", "t", *window, **options)
+            assert one.schema == two.schema and sorted(map(str, one.collect())) == sorted(map(str, two.collect())) != []
+    with pytest.raises(calendars.CalendarError):
+        calendars.calendar_ranges(rows, "k", "t", at(2026, 1, 1), at(2026, 1, 1))
+
+
+def test_calendars_of_one_split_are_dealt_out_and_parsed_once(spark, tmp_path):
+    path = str(tmp_path / "calendars.parquet")
+    spark.range(2000).selectExpr("id AS k", f"replace('{ics(['UID:a', 'DTSTART:20260105T090000Z', 'DURATION:PT1H', 'RRULE:FREQ=WEEKLY;COUNT=4'])}', 'UID:a', 'UID:' || sha2(cast(id AS string), 256)) AS t").coalesce(1).write.parquet(path)
+    found = calendars.calendar_ranges(spark.read.parquet(path), "k", "t", at(2026, 1, 1), at(2027, 1, 1), merge=False)
+    assert found.rdd.getNumPartitions() >= 8
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    assert found.count() == 8000
