@@ -11,6 +11,7 @@ from loomfield.operators import coerce as co
 from loomfield.operators import evaluate, mapping, provenance, sources, validate
 from loomfield.plans import schema as s
 from loomfield.sources import calendars, delimited, feeds, mail, transcripts
+from loomfield.sources.rows import spread
 from loomfield.streaming import windows
 
 
@@ -147,8 +148,8 @@ def weekly_orders(spark, sf_dir):
     """Each order's date as a calendar event that recurs four times a week apart."""
     stamp = F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss'Z'")
     ics = F.concat(F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:"), F.col("o_orderkey").cast("string"), F.lit("\r\nDTSTART:"), stamp, F.lit("\r\nDURATION:PT1H\r\nRRULE:FREQ=WEEKLY;COUNT=4\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n"))
-    found = calendars.read_events(table(spark, sf_dir, "orders").select("o_orderkey", ics.alias("ics")), "o_orderkey", "ics")
-    busy = calendars.busy_ranges(found, "o_orderkey", datetime(1970, 1, 1, tzinfo=timezone.utc), datetime(2100, 1, 1, tzinfo=timezone.utc))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))  # before the texts are made
+    busy = calendars.calendar_ranges(orders.select("o_orderkey", ics.alias("ics")), "o_orderkey", "ics", datetime(1970, 1, 1, tzinfo=timezone.utc), datetime(2100, 1, 1, tzinfo=timezone.utc))
     return busy.select("o_orderkey", F.col("start").alias("starts"), F.col("end").alias("ends"))
 
 
