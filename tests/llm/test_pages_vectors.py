@@ -302,3 +302,43 @@ def test_a_third_of_distinct_vectors_in_one_group(spark):
     assert sum(r.n_links for r in got) >= 0.99 * want.sum() > 10**7
     assert all(have[k].n_links <= want[k] for k in have)
     assert {have[k].component_id for k in np.flatnonzero(want[:10_000] > 0).tolist()} == {0}
+
+
+def test_pages_become_objects_a_slice_at_a_time():
+    """What a worker makes of a batch is bounded by bytes, not by the batch's rows."""
+    import pyarrow as pa
+
+    from loomfield.llm.common import pieces
+
+    sizes = [300, 0, None, 700, 5000, 1, 999, 1]
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([None if n is None else "x" * n for n in sizes], kind)], names=["k", "t"])
+        parts = list(pieces(batch, 1, 1000))
+        assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(len(sizes)))
+        held = [sum(len(x or "") for x in p.column(1).to_pylist()) for p in parts]
+        assert held == [1000, 5000, 1000, 1]
+        assert not list(pieces(batch.slice(0, 0), 1))
+
+
+def test_the_page_kernel_gives_back_slices(monkeypatch):
+    import pyarrow as pa
+
+    from loomfield.llm import html_extract
+
+    class Pages:
+        """Takes the kernel that a frame of pages would run."""
+
+        schema = type("Schema", (), {"fields": []})()
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(html_extract.T, "StructType", lambda fields: type("Made", (), {"names": ["page_id", "text"]})())
+    monkeypatch.setattr(html_extract.F, "col", lambda c: type("Column", (), {"alias": lambda self, _: self})())
+    run = html_extract.extract(Pages(), keep=("page_id",))
+    html = "<article><p>" + "some words of a page. " * 30_000 + "</p></article>"
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([html] * 4)], names=["page_id", "__html"])
+    assert [p.num_rows for p in run(iter([batch]))] == [1, 1, 1, 1]
