@@ -107,3 +107,14 @@ def test_mapping_nests_casts_and_overwrites(spark):
     pairs = [("name", "name"), ("Guests", "sleeps"), ("PETS", "pets"), ("Tags", "tags"), ("Kind", "kind"), ("Town", "address.city"), ("Alt", "name"), ("Gone", "address.zip"), ("Kind", None)]
     got = [r.data_json for r in mapping.apply_mapping(rows, pairs, listing).collect()]
     assert got == ['{"name":"Sea \\"view\\"","sleeps":"4 guests","pets":true,"tags":["a","b"],"kind":"Flat","address":{"city":"Rome"}}', '{"name":"x","sleeps":"many","pets":"maybe","kind":"tent"}']
+
+
+def test_mail_bodies_are_read_by_many_tasks(spark, tmp_path):
+    """The query's suppliers in one split of some kilobytes, whose mails are seconds of work."""
+    from loomfield.plans import readers
+
+    spark.range(4000).selectExpr("id AS s_suppkey", "sha2(cast(id AS string), 256) AS s_name", "cast(id % 25 AS int) AS s_nationkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    found = readers.mail_bodies(spark, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/supplier.parquet").rdd.getNumPartitions() == 1 and found.rdd.getNumPartitions() >= 8
+    got = found.selectExpr("count(*) AS n", "count(DISTINCT s_suppkey) AS keys", "count_if(subject = 'Offer ' || s_suppkey AND body LIKE 'Own words of %and after it') AS whole").first()
+    assert tuple(got) == (4000, 4000, 4000)
